@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators and their SQL."""
 
-from codelattice.llm import bpe, line_dedup
+from codelattice.llm import bpe, line_dedup, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_simhash_components": simhash.op3_simhash_components,
     "op10_subword_codec": bpe.op10_subword_codec,
 }
 
