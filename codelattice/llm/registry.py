@@ -1,12 +1,13 @@
 """Registered queries of the training-data operators and their SQL."""
 
-from codelattice.llm import bpe, line_dedup, quality_rules, secret_scan, simhash
+from codelattice.llm import bpe, line_dedup, quality_rules, secret_scan, simhash, tree_model
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_simhash_components": simhash.op3_simhash_components,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op9_context_tree_score": tree_model.op9_context_tree_score,
     "op10_subword_codec": bpe.op10_subword_codec,
 }
 
