@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their SQL."""
 
-from codelattice.llm import bpe, decontaminate, language_id, line_dedup, quality_rules, secret_scan, simhash, tree_model
+from codelattice.llm import bpe, decontaminate, language_id, line_dedup, quality_model, quality_rules, secret_scan, simhash, tree_model
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_quality_model": quality_model.op8_quality_model,
     "op9_context_tree_score": tree_model.op9_context_tree_score,
     "op10_subword_codec": bpe.op10_subword_codec,
 }
