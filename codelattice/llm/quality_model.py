@@ -152,15 +152,21 @@ def sample_chunks(text: str, most: int = SAMPLE_CHUNKS) -> list[np.ndarray]:
     return [np.array(c) for c in every]
 
 
-def learn(labelled: DataFrame, rows_a_label: int = SAMPLE_ROWS) -> ByteNetwork:
-    """The network fitted to a bounded sample of rows with ``doc_id``, ``text`` and ``quality``.
+def _constant(network: ByteNetwork, offset: float) -> ByteNetwork:
+    network.weights["top"][:] = 0
+    network.weights["offset"][:] = offset
+    return network
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows_a_label: int = SAMPLE_ROWS) -> ByteNetwork:
+    """The network fitted to a bounded sample of the texts that have a quality of 0 or 1.
 
     Of each label, the ``rows_a_label`` rows with the smallest hash of their id
     are taken, and of each row ``SAMPLE_CHUNKS`` chunks of ``CHUNK`` bytes, cut
     in the workers; this bound is all that comes to the driver. Labels count
     equally often in the fit and as often as in the table in the result, by
-    the offset. Without rows of both labels every text scores the share of
-    label 1, or one half without any.
+    the offset. Where only one label has texts, every text scores close to it,
+    and one half without any.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,20 +174,20 @@ def learn(labelled: DataFrame, rows_a_label: int = SAMPLE_ROWS) -> ByteNetwork:
             chunks = [[c.tobytes() for c in sample_chunks(text)] for text in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(chunks, pa.list_(pa.binary()))], ["quality", "chunks"])
 
-    rows = labelled.filter(F.col("quality").isin(0, 1)).select(F.col("quality").cast("int").alias("quality"), "doc_id", "text")
+    rows = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("quality").cast("int").alias("quality"), "doc_id")
     shares = {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}
     network = ByteNetwork()
     total = sum(shares.values())
     if len(shares) < 2:
-        network.weights["top"][:] = 0
-        network.weights["offset"][:] = 0 if not total else (6 if 1 in shares else -6)
-        return network
-    ids = [rows.filter(F.col("quality") == q).select("quality", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_label) for q in (0, 1)]
-    picked = ids[0].union(ids[1]).distinct()
-    got = rows.join(F.broadcast(picked), ["quality", "doc_id"], "left_semi").select("quality", "text").mapInArrow(cut, "quality int, chunks array<binary>").toArrow()
+        return _constant(network, 0 if not total else (6 if 1 in shares else -6))
+    ids = [rows.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_label) for q in (0, 1)]
+    picked = ids[0].union(ids[1]).distinct()  # at most twice rows_a_label ids: fit to be broadcast
+    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", "text").mapInArrow(cut, "quality int, chunks array<binary>").toArrow()
     quality = np.array(got.column("quality").to_pylist(), np.float32)
     texts = [[np.frombuffer(c, np.int16) for c in chunks] for chunks in got.column("chunks").to_pylist()]
     order = sorted(range(len(texts)), key=lambda i: (quality[i], [c.tobytes() for c in texts[i]]))  # the same fit however rows arrive
+    if len(set(quality.tolist())) < 2:  # labels without texts
+        return _constant(network, 0 if not len(quality) else (6 if quality[0] else -6))
     rare = min((0, 1), key=lambda q: int((quality == q).sum()))
     times = int(np.clip(np.round((quality != rare).sum() / max(1, (quality == rare).sum())), 1, 10))
     use = np.array([i for i in order for _ in range(times if quality[i] == rare else 1)])
@@ -203,8 +209,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, training: Column, passed:
     from. Ids with several labels count once for each. Columns of the new names are
     replaced, others pass (``passed``, if given).
     """
-    wanted = labels.filter(training).select("doc_id", "quality")
-    network = learn(docs.select("doc_id", "text").join(wanted, "doc_id"))
+    network = learn(docs, labels.filter(training))
     fresh = ["score", "predicted"]
     own = [c for c in (passed if passed is not None else docs.columns) if c not in fresh]
     rows = docs.select(F.struct(*own).alias("row"), F.col("text"))
