@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from codelattice.llm.common import in_training, is_held_out, stored, table, text
 DEPTH = 5
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 COUNT_BYTES = 16 << 20
-SHARD_NODES = 8_000_000
+SHARD_NODES = 4_000_000
 FREQUENT_WORDS = 400_000
 CACHE_BITS = 21
 MODULUS, HELD_OUT = 5, 1
@@ -58,70 +59,162 @@ def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
 # ---------------------------------------------------------------- the tree
 
 
-def _log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series for x of one half and more, six steps up, where it is exact to ten digits."""
-    x = x.cast("double")
     y = x + 6
-    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    return series - F.log(x * (x + 1) * (x + 2)) - F.log((x + 3) * (x + 4) * (x + 5))
+    series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - np.log(x * (x + 1) * (x + 2)) - np.log((x + 3) * (x + 4) * (x + 5))
 
 
-def _log_estimate(zeros: Column, ones: Column) -> Column:
-    """Krichevsky-Trofimov probability of a sequence with so many zeros and ones."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - F.lit(float(np.log(np.pi)))
+def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Krichevsky-Trofimov log probability of a sequence with so many zeros and ones."""
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
 
 
-def context_tree(grams: DataFrame, depth: int) -> DataFrame:
-    """(depth, context, node, p): the probability that the next bit is 1.
+class Level:
+    """Nodes of one depth and one number k of known bits, by sorted (context, known bits).
 
-    A byte is eight bits; ``node`` is a 1 followed by those already known, so
-    each context has up to 255 binary nodes. For each, the zeros and ones that
-    followed it give a Krichevsky-Trofimov probability. Upwards, a node's
-    weighted probability is the mean of its own and of the product of its
-    longer contexts'. That ratio says how far each depth is to be trusted, and
-    downwards the estimates of all depths are mixed by it. ``p`` is that mix
-    where no longer context has been seen, the rest being one half.
-
-    Each level is a sum over the level below it, grouped by context and node,
-    and each level down one join, so the work is spread however many contexts
-    the corpus has.
+    ``weighted`` is the log of a node's weighted probability and ``own`` the
+    share that its own estimate has in it, 1 where no context is longer.
     """
-    bits = F.explode(F.array(*(F.struct(F.lit(k).alias("k")) for k in range(8))))
-    symbol = F.col("gram").bitwiseAND(F.lit(255))
-    steps = grams.select(F.shiftrightunsigned("gram", 8).alias("context"), symbol.alias("symbol"), "n", bits.alias("b"))
-    chains = [F.struct((F.lit(1 << k) + F.shiftright("symbol", 8 - k)).alias("node"), F.shiftright("symbol", 7 - k).bitwiseAND(F.lit(1)).alias("bit")) for k in range(8)]
-    nodes = steps.select("context", "n", F.get(F.array(*chains), F.col("b.k")).alias("x")).groupBy("context", F.col("x.node").alias("node")).agg(
-        F.sum(F.when(F.col("x.bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-        F.sum(F.when(F.col("x.bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
-    )
-    levels = {depth: stored(nodes.withColumn("weighted", _log_estimate(F.col("zeros"), F.col("ones"))).withColumn("own", F.lit(1.0)))}
-    half = F.lit(float(np.log(0.5)))
-    for d in range(depth - 1, -1, -1):
-        above = levels[d + 1].groupBy(F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context"), "node").agg(
-            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("longer")
-        )
-        own = half + _log_estimate(F.col("zeros"), F.col("ones"))
-        longer = half + F.col("longer")
-        weighted = F.greatest(own, longer) + F.log1p(F.exp(-F.abs(own - longer)))
-        levels[d] = stored(above.select("context", "node", "zeros", "ones", weighted.alias("weighted"), F.exp(own - weighted).alias("own")))
-    estimate = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    so_far, out = None, None
-    for d in range(depth + 1):
-        level = levels[d]
-        if so_far is None:
-            level = level.withColumn("mixed", F.lit(0.0)).withColumn("rest", F.lit(1.0))
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray | None):
+        self.keys, self.zeros, self.ones = keys, zeros, ones
+        estimate = log_estimate(zeros, ones)
+        if longer is None:
+            self.weighted, self.own = estimate, np.ones(len(keys))
         else:
-            shorter = F.col("context").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))
-            level = level.withColumn("shorter", shorter).join(so_far, ["shorter", "node"])
-        mixed = F.col("mixed") + F.col("rest") * F.col("own") * estimate
-        rest = F.col("rest") * (1 - F.col("own"))
-        level = stored(level.select("context", "node", mixed.alias("mixed"), rest.alias("rest")))
-        rows = level.select(F.lit(d).alias("depth"), "context", F.col("node").cast("int").alias("node"), (F.col("mixed") + F.col("rest") / 2).cast("float").alias("p"))
-        out = rows if out is None else out.union(rows)
-        so_far = level.select(F.col("context").alias("shorter"), "node", "mixed", "rest")
+            self.weighted = np.logaddexp(estimate, longer) + np.log(0.5)
+            self.own = np.exp(np.log(0.5) + estimate - self.weighted)
+
+    def mix(self, mixed: np.ndarray, rest: np.ndarray) -> None:
+        """Adds the own estimates to what shorter contexts left."""
+        self.mixed = mixed + rest * self.own * (self.ones + 0.5) / (self.zeros + self.ones + 1)
+        self.rest = rest * (1 - self.own)
+
+    def probability(self) -> np.ndarray:
+        return self.mixed + self.rest / 2
+
+
+def bit_levels(grams: np.ndarray, counts: np.ndarray, depth: int, longer: list[np.ndarray] | None) -> list[Level]:
+    """The eight levels of sorted, distinct grams of ``depth`` context bytes and a symbol."""
+    out = []
+    for k in range(8):
+        keys = grams >> np.uint64(8 - k)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        ones = np.add.reduceat(counts * ((grams >> np.uint64(7 - k)) & np.uint64(1)), starts)
+        out.append(Level(keys[starts], np.add.reduceat(counts, starts) - ones, ones, longer and longer[k]))
     return out
 
 
+def shorter(keys: np.ndarray, depth: int, k: int) -> np.ndarray:
+    """The keys without the oldest of their ``depth`` bytes."""
+    return keys & np.uint64((1 << (8 * (depth - 1) + k)) - 1)
+
+
+def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, place = np.unique(grams, return_inverse=True)
+    return distinct, np.bincount(place, counts, len(distinct))
+
+
+def subtree(grams: np.ndarray, counts: np.ndarray, depth: int, least: int = 2) -> dict[int, list[Level]]:
+    """Levels from ``depth`` up to ``least`` of the grams of some whole contexts of ``least`` bytes."""
+    grams, counts = summed(grams, counts)
+    levels = {depth: bit_levels(grams, counts, depth, None)}
+    for d in range(depth - 1, least - 1, -1):
+        grams, counts = summed(grams & np.uint64((1 << 8 * (d + 1)) - 1), counts)
+        plain = bit_levels(grams, counts, d, None)
+        below = levels[d + 1]
+        longer = [np.bincount(np.searchsorted(plain[k].keys, shorter(below[k].keys, d + 1, k)), below[k].weighted, len(plain[k].keys)) for k in range(8)]
+        levels[d] = [Level(x.keys, x.zeros, x.ones, y) for x, y in zip(plain, longer, strict=True)]
+    return levels
+
+
+def mix_down(levels: dict[int, list[Level]], mixed: list[np.ndarray], rest: list[np.ndarray]) -> None:
+    """From the shortest contexts, for which ``mixed`` and ``rest`` hold, to the longest."""
+    first = min(levels)
+    for k in range(8):
+        levels[first][k].mix(mixed[k], rest[k])
+        for d in range(first + 1, max(levels) + 1):
+            above, level = levels[d - 1][k], levels[d][k]
+            at = np.searchsorted(above.keys, shorter(level.keys, d, k))
+            level.mix(above.mixed[at], above.rest[at])
+
+
+def rows_of(levels: dict[int, list[Level]]) -> tuple[np.ndarray, np.ndarray]:
+    """Node numbers and bit probabilities of all levels."""
+    keys, p = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+    for d, level in levels.items():
+        for k, x in enumerate(level):
+            known = x.keys & np.uint64((1 << k) - 1)
+            keys.append(node_key(np.uint64(d), x.keys >> np.uint64(k), known | np.uint64(1 << k)))
+            p.append(x.probability().astype(np.float32))
+    return np.concatenate(keys), np.concatenate(p)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(b.column("gram").to_numpy(zero_copy_only=False).view(np.uint64), b.column("n").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def context_tree(grams: DataFrame, depth: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """(pair, key, p) for contexts of two bytes and more, and the keys and p of shorter ones.
+
+    p is the probability that the next bit is 1. A byte is eight bits; a node
+    is a context with those bits of the next byte that are already known. The
+    zeros and ones that followed it give a Krichevsky-Trofimov probability.
+    Upwards, a node's weighted probability is the mean of its own and of the
+    product of its longer contexts'. That ratio says how far each depth is to
+    be trusted, and downwards the estimates of all depths are mixed by it.
+    ``p`` is that mix where no longer context has been seen, the rest being
+    one half.
+
+    Contexts that end in the same two bytes are a tree of their own, so the
+    grams are dealt by range of these bytes and each task builds the trees of
+    its range. What joins them, at most 255 nodes for each of 65,536 pairs, is
+    summed to contexts of one byte by Spark; only those (65,280 at most) come
+    to the driver. The trees are then built again, with what they are under.
+    """
+    spark = grams.sparkSession
+    pair = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    dealt = stored(grams.withColumn("pair", pair).repartitionByRange("pair"))
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, counts = _whole(batches)
+        if len(flat):
+            for k, x in enumerate(subtree(flat, counts, depth)[2]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x.keys), k)), pa.array(x.keys.view(np.int64)), pa.array(x.zeros), pa.array(x.ones), pa.array(x.weighted)], ["k", "key", "zeros", "ones", "weighted"])
+
+    ends = dealt.select("gram", "n").mapInArrow(roots, "k long, key long, zeros double, ones double, weighted double")
+    one_byte = ends.groupBy("k", F.expr("key & (shiftleft(1L, cast(8 + k as int)) - 1)").alias("key")).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toArrow().sort_by([("k", "ascending"), ("key", "ascending")])
+    top: dict[int, list[Level]] = {0: [], 1: []}
+    for k in range(8):
+        rows = one_byte.filter(pa.compute.equal(one_byte.column("k"), k))
+        keys, zeros, ones, longer = (rows.column(c).to_numpy() for c in ("key", "zeros", "ones", "weighted"))
+        level = Level(keys.astype(np.uint64), zeros, ones, longer)
+        up, place = np.unique(shorter(level.keys, 1, k), return_inverse=True)
+        top[1].append(level)
+        top[0].append(Level(up, *(np.bincount(place, x, len(up)) for x in (zeros, ones, level.weighted))))
+    mix_down(top, [np.zeros(len(x.keys)) for x in top[0]], [np.ones(len(x.keys)) for x in top[0]])
+    sent = spark.sparkContext.broadcast([(x.keys, x.mixed, x.rest) for x in top[1]])
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, counts = _whole(batches)
+        if not len(flat):
+            return
+        levels = subtree(flat, counts, depth)
+        at = [np.searchsorted(keys, shorter(x.keys, 2, k)) for k, (x, (keys, _, _)) in enumerate(zip(levels[2], sent.value, strict=True))]
+        mix_down(levels, [m[i] for i, (_, m, _) in zip(at, sent.value, strict=True)], [r[i] for i, (_, _, r) in zip(at, sent.value, strict=True)])
+        keys, p = rows_of(levels)
+        order = np.argsort(((keys >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint16), kind="stable")
+        for part in np.array_split(order, max(1, len(order) >> 18)):
+            yield pa.RecordBatch.from_arrays([pa.array(((keys[part] >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int32)), pa.array(keys[part].view(np.int64)), pa.array(p[part])], ["pair", "key", "p"])
+
+    return stored(dealt.select("gram", "n").mapInArrow(nodes, "pair int, key long, p float")), rows_of(top)
+
+
 class CodeLengths:
     """log2 of the probability of a gram's last byte, from a part of the tree.
 
@@ -156,14 +249,18 @@ class CodeLengths:
 
     def lengths(self, grams: np.ndarray) -> np.ndarray:
         """0 for grams that another part is for."""
+        ours = self.contexts[(grams >> np.uint64(8)) & np.uint64(0xFFFF)]
+        out = np.zeros(len(grams))
+        out[ours] = self.remembered(grams[ours])
+        return out
+
+    def remembered(self, grams: np.ndarray) -> np.ndarray:
         slot = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)
         missing = np.flatnonzero(self.cached[slot] != grams)
         value = self.value[slot]
         if len(missing):
             new, back = np.unique(grams[missing], return_inverse=True)
-            ours = self.contexts[(new >> np.uint64(8)) & np.uint64(0xFFFF)]
-            scored = np.zeros(len(new))
-            scored[ours] = self.fresh(new[ours])
+            scored = self.fresh(new)
             value[missing] = scored[back]
             place = (new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)
             self.cached[place] = new
@@ -175,34 +272,28 @@ def node_key(depth, context, node):
     return (depth << np.uint64(60)) | (context << np.uint64(8)) | node
 
 
-def _shards(tree: DataFrame, shard_nodes: int) -> list[np.ndarray]:
-    """Sets of last two bytes whose nodes are about ``shard_nodes`` together, as masks of all 65,536."""
-    pair = F.col("context").bitwiseAND(F.lit(0xFFFF))
-    sizes = tree.filter("depth >= 2").groupBy(pair.alias("pair")).agg(F.count("*").alias("n")).toPandas()
-    shards, room = [], 0
-    for pair, n in sorted(zip(sizes.pair, sizes.n, strict=True)):
-        if not shards or n > room:
-            shards.append(np.zeros(1 << 16, bool))
+def _ranges(tree: DataFrame, shard_nodes: int) -> list[tuple[int, int]]:
+    """Ranges of last two bytes, first and last, with about ``shard_nodes`` nodes each and all pairs together."""
+    sizes = tree.groupBy("pair").agg(F.count("*").alias("n")).toArrow()
+    cuts, room = [0], shard_nodes
+    for pair, n in sorted(zip(sizes.column("pair").to_pylist(), sizes.column("n").to_pylist(), strict=True)):
+        if n > room and room < shard_nodes:
+            cuts.append(pair)
             room = shard_nodes
-        shards[-1][pair] = True
         room -= n
-    shards = shards or [np.ones(1 << 16, bool)]
-    shards[0] |= ~np.logical_or.reduce(shards)  # pairs that training never saw
-    return shards
-
-
-def _nodes_of(tree: DataFrame, mask: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
-    spark = tree.sparkSession
-    part = tree
-    if not alone:
-        pairs = spark.createDataFrame([(int(i),) for i in np.flatnonzero(mask)], "pair int")
-        deep = tree.filter("depth >= 2").withColumn("pair", F.col("context").bitwiseAND(F.lit(0xFFFF)).cast("int")).join(pairs, "pair", "left_semi").drop("pair")
-        part = tree.filter("depth < 2").union(deep)
-    rows = part.toArrow()
-    column = lambda name: rows.column(name).to_numpy().astype(np.uint64)
-    keys = node_key(column("depth"), column("context"), column("node"))
+    return list(zip(cuts, [*(c - 1 for c in cuts[1:]), 0xFFFF], strict=True))
+
+
+def _nodes_of(tree: DataFrame, top: tuple[np.ndarray, np.ndarray], first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys and probabilities of the nodes for a range of last two bytes, and that range as a mask."""
+    rows = tree.filter(F.col("pair").between(first, last)).select("key", "p").toArrow()
+    keys = np.concatenate([top[0], rows.column("key").to_numpy().view(np.uint64)])
+    p = np.concatenate([top[1], rows.column("p").to_numpy()])
+    del rows
     order = np.argsort(keys)
-    return keys[order], np.clip(rows.column("p").to_numpy()[order], 1e-7, 1 - 1e-7)
+    mask = np.zeros(1 << 16, bool)
+    mask[first : last + 1] = True
+    return keys[order], np.clip(p[order], 1e-7, 1 - 1e-7), mask
 
 
 # ---------------------------------------------------------------- words
@@ -265,7 +356,7 @@ def score_texts(docs: DataFrame, training: Column, depth: int = DEPTH, shard_nod
         raise ValueError("depth: 2 to 6 bytes")
     spark = docs.sparkSession
     learned = docs.filter(training)
-    tree = stored(context_tree(stored(gram_counts(learned, depth)), depth))
+    tree, top = context_tree(gram_counts(learned, depth), depth)
     counts = stored(word_counts(learned))
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = int(row[0]), int(row[1])
@@ -275,10 +366,9 @@ def score_texts(docs: DataFrame, training: Column, depth: int = DEPTH, shard_nod
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    shards = _shards(tree, shard_nodes)
     done = None
-    for number, mask in enumerate(shards):
-        sent = spark.sparkContext.broadcast((*_nodes_of(tree, mask, len(shards) == 1), mask))
+    for number, (low, high) in enumerate(_ranges(tree, shard_nodes)):
+        sent = spark.sparkContext.broadcast(_nodes_of(tree, top, low, high))
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent, first=number == 0) -> Iterator[pa.RecordBatch]:
             keys, p, contexts = sent.value
