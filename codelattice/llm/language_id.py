@@ -69,8 +69,8 @@ class Model:
         A word in a script of no learned language scores 0 for all.
         """
         bucket, sizes = sequences(words)
-        if not len(words):
-            return np.zeros((0, len(self.languages)), np.float32)
+        if not len(words) or not self.languages:
+            return np.zeros((len(words), len(self.languages)), np.float32)
         sums = np.add.reduceat(self.scores[bucket], np.cumsum(sizes) - sizes, axis=0)
         candidates = self.uses[script_of(words)]
         sums = np.where(candidates, sums, -np.inf)

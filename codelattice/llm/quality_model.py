@@ -101,7 +101,7 @@ class ByteNetwork:
         out, seen = self.responses(chunks)
         highest, places = out.max(1), out.argmax(1)
         counts = np.bincount(owner, minlength=n).astype(np.float32)
-        pooled = np.zeros((n, 2 * FILTERS), np.float32)
+        pooled = np.zeros((n, 2 * FILTERS), out.dtype)
         np.maximum.at(pooled[:, :FILTERS], owner, highest)
         np.add.at(pooled[:, FILTERS:], owner, out.mean(1) / counts[owner][:, None])
         error = ((self.probability(pooled) - labels) / n).astype(np.float32)

@@ -1,0 +1,40 @@
+"""Small document tables for the operators' tests."""
+
+import zlib
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SF = "/root/testdata/sf0.001"
+
+
+def docs(spark, texts, lang="en", first_id=1):
+    rows = [(i, text, lang if isinstance(lang, str) or lang is None else lang[i - first_id], "s", len(text or "")) for i, text in enumerate(texts, first_id)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def edge_docs(spark):
+    """Nulls in each column, empty and long texts, repeated rows and ties."""
+    long_text = "alpha beta gamma delta epsilon zeta eta theta " * 4000
+    rows = [
+        (1, "One plain line of words here.\nAnd another one, rather long.", "en", "s", 10),
+        (1, "One plain line of words here.\nAnd another one, rather long.", "en", "s", 10),
+        (2, None, None, None, None),
+        (3, "", "en", "s", 0),
+        (4, "  \t\n \x0b\x0c\r ", "en", "s", 9),
+        (5, long_text, "en", "s", len(long_text)),
+        (6, "x" * 30000, "en", "s", 30000),
+        (None, "A row without an id, with some words in it.", "en", "s", 5),
+        (7, "日本語のテキスト 😀 naïve café \x00 end", None, "s", 5),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def clashing(frame, *names):
+    from pyspark.sql import functions as F
+
+    for name in names:
+        frame = frame.withColumn(name, F.lit("was here"))
+    return frame
+
+
+def remainder(doc_id, modulus):
+    return zlib.crc32(str(doc_id).encode()) % modulus
