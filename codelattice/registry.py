@@ -1,4 +1,653 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries of the library and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Every query reads the order tables of a folder as a catalog (``sources.catalog``)
+and runs over all of it. Lookups take their keys from the tables too: the
+classes and methods that stack frames name, or every project. Nested results
+are flattened or joined to text, so that other engines can be compared.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codelattice.functions import columns as fn
+from codelattice.operators import context, graph, ingest, lookup, snapshots, sync
+from codelattice.plans import dsl, graph_json
+from codelattice.schema import Catalog
+from codelattice.sources import generated
+from codelattice.sources.catalog import from_orders, with_views
+from codelattice.streaming import frames as frame_stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of the catalog under its name, with its SQL over the catalog's views."""
+
+    def register(build: Callable[[Catalog], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(from_orders(spark, sf_dir))
+
+        QUERIES[build.__name__] = run
+        if sql:
+            ORACLES[build.__name__] = with_views(sql)
+        return build
+
+    return register
+
+
+def text_of(items: Column | str) -> Column:
+    return F.array_join(items, ",")
+
+
+_JSON_LIST = "coalesce(array_to_string(cast(json({0}) as varchar[]), ','), '')"
+_ENDPOINT = "http_method is not null and http_path is not null"
+_BY_LINE = "line_number nulls last, method_name, id"
+
+# ---------------------------------------------------------------- lookups
+
+
+@query("select id, name, repository_url, status, row_number() over (order by created_at desc, id) as place from kg_projects")
+def projects_latest_first(c: Catalog) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy(F.desc("created_at"), "id"))
+    return lookup.all_projects(c).select("id", "name", "repository_url", "status", place.alias("place"))
+
+
+@query("select id, name from kg_projects where status in ('ANALYZED', 'ERROR')")
+def projects_to_sync(c: Catalog) -> DataFrame:
+    return lookup.projects_in(c, "ANALYZED", "ERROR").select("id", "name")
+
+
+@query("select id, name from kg_projects p where exists (select 1 from kg_classes where project_id = p.id)")
+def projects_with_graph(c: Catalog) -> DataFrame:
+    return lookup.projects_with_graph(c).select("id", "name")
+
+
+@query(
+    """with wanted as (select distinct class_name from kg_frames)
+select full_class_name, c.id, project_id, class_type, n > 1 as ambiguous from (
+  select c.*, count(*) over (partition by full_class_name) as n, row_number() over (partition by full_class_name order by p.name nulls last, c.id) as r
+  from kg_classes c left join kg_projects p on p.id = c.project_id) c join wanted on class_name = full_class_name where r = 1"""
+)
+def classes_by_name(c: Catalog) -> DataFrame:
+    return lookup.classes_by_name(c, c.frames).select("full_class_name", "id", "project_id", "class_type", "ambiguous")
+
+
+@query(
+    """with wanted as (select distinct package_name as prefix from kg_classes union select distinct 'co.nation' || project_id from kg_classes)
+select prefix, full_class_name from wanted join kg_classes on package_name = prefix or starts_with(package_name, prefix || '.')"""
+)
+def classes_by_package_prefix(c: Catalog) -> DataFrame:
+    packages = c.classes.select(F.col("package_name").alias("prefix")).union(c.classes.select(F.concat(F.lit("co.nation"), "project_id")))
+    return lookup.classes_in_packages(c, packages).select("prefix", "full_class_name")
+
+
+@query("select project_id, full_class_name, row_number() over (partition by project_id order by full_class_name) as place from kg_classes")
+def classes_of_each_project(c: Catalog) -> DataFrame:
+    from pyspark.sql import Window
+
+    return c.classes.select("project_id", "full_class_name", F.row_number().over(Window.partitionBy("project_id").orderBy("full_class_name")).alias("place"))
+
+
+@query("select project_id, count(*) as class_count from kg_classes group by project_id")
+def class_counts(c: Catalog) -> DataFrame:
+    return lookup.class_counts(c)
+
+
+@query("select project_id, full_class_name from kg_classes where description is null")
+def unenriched_classes(c: Catalog) -> DataFrame:
+    return lookup.unenriched(c).select("project_id", "full_class_name")
+
+
+@query(f"select project_id, full_class_name, m.id, method_name, http_method, http_path from kg_methods m join kg_classes c on c.id = class_id where {_ENDPOINT}")
+def endpoints_of_each_project(c: Catalog) -> DataFrame:
+    return lookup.endpoints(c).select("project_id", "full_class_name", "id", "method_name", "http_method", "http_path")
+
+
+@query(f"select project_id, count(*) as endpoint_count from kg_methods m join kg_classes c on c.id = class_id where {_ENDPOINT} group by project_id")
+def endpoint_counts(c: Catalog) -> DataFrame:
+    return lookup.endpoint_counts(c)
+
+
+@query(f"select class_id, id, method_name, row_number() over (partition by class_id order by {_BY_LINE}) as rank from kg_methods")
+def methods_in_order(c: Catalog) -> DataFrame:
+    return lookup.ranked_methods(c).select("class_id", "id", "method_name", "rank")
+
+
+@query("with wanted as (select distinct class_name from kg_frames) select full_class_name, m.id, method_name, line_number from wanted join kg_classes c on full_class_name = class_name join kg_methods m on class_id = c.id")
+def methods_of_named_classes(c: Catalog) -> DataFrame:
+    wanted = c.frames.select(F.col("class_name").alias("full_class_name")).distinct()
+    return lookup.methods_with_class(c).join(wanted, "full_class_name", "left_semi").select("full_class_name", "id", "method_name", "line_number")
+
+
+@query("select class_id, method_name, id, line_number, n as overloads from (select *, count(*) over (partition by class_id, method_name) as n, row_number() over (partition by class_id, method_name order by line_number nulls last, id) as r from kg_methods) where r = 1")
+def first_method_of_each_name(c: Catalog) -> DataFrame:
+    return lookup.methods_named(c).select("class_id", "method_name", "id", "line_number", "overloads")
+
+
+@query("select method_id, position, full_class_name as type_name, class_type, description as type_description from kg_params p left join kg_classes c on c.id = p.class_id")
+def parameters_with_types(c: Catalog) -> DataFrame:
+    return lookup.parameters(c).select("method_id", "position", "type_name", "class_type", "type_description")
+
+
+# ---------------------------------------------------------------- aggregates and functions
+
+
+@query("select project_id, class_type, count(*) as classes from kg_classes group by project_id, class_type")
+def class_type_histogram(c: Catalog) -> DataFrame:
+    return graph.type_histogram(c)
+
+
+@query(
+    """with parts as (select project_id, string_split(package_name, '.') as p from kg_classes where package_name is not null),
+ends as (select project_id, min(p) as a, max(p) as b from parts group by project_id),
+steps as (select project_id, a, unnest(range(0, len(a) + 1)) as n, b from ends)
+select project_id, array_to_string(a[1:max(n)], '.') as base_package from steps where a[1:n] = b[1:n] group by project_id, a"""
+)
+def base_package_of_each_project(c: Catalog) -> DataFrame:
+    return graph.base_packages(c)
+
+
+@query(
+    """select p.id, name, coalesce(nodes, 0) as nodes, coalesce(entry_points, 0) as entry_points, coalesce(edges, 0) as edges from kg_projects p
+left join (select project_id, count(*) as nodes, count(*) filter (entry_point) as entry_points from kg_classes group by project_id) n on n.project_id = p.id
+left join (select project_id, count(*) as edges from kg_edges group by project_id) e on e.project_id = p.id"""
+)
+def graph_counts(c: Catalog) -> DataFrame:
+    return graph.counts(c)
+
+
+@query(
+    """select id, string_split(repository_url, '/')[-1] as last, regexp_extract(repository_url, '([^/]+)\\.git$', 1) as repository,
+regexp_matches(repository_url, '^https://[\\w.-]+(/[\\w.-]+)+\\.git$') as https, starts_with(repository_url, 'git@') as ssh,
+not contains(repository_url, ' ') as valid from kg_projects"""
+)
+def repository_urls(c: Catalog) -> DataFrame:
+    url = F.col("repository_url")
+    return c.projects.select("id", F.get(F.reverse(F.split(url, "/")), 0).alias("last"), fn.repository_name(url).alias("repository"), fn.is_https(url).alias("https"), fn.is_ssh(url).alias("ssh"), fn.is_repository_url(url).alias("valid"))
+
+
+@query(
+    """select id, regexp_extract(full_class_name, '[^.]*$') as simple, nullif(regexp_extract(full_class_name, '^(.*)\\.[^.]*$', 1), '') as package,
+class_type in ('CONTROLLER', 'LISTENER') as handles, class_type in ('SERVICE', 'ENTITY') as logic, replace(replace(source_file, '.java', ''), '/', '.') as identifier,
+upper(class_type) as kind, package_name = 'co.nation' || project_id or starts_with(package_name, 'co.nation' || project_id || '.') as inside from kg_classes"""
+)
+def class_names(c: Catalog) -> DataFrame:
+    name, kind = F.col("full_class_name"), fn.class_type(F.lower("class_type"))
+    return c.classes.select(
+        "id", fn.simple_name(name).alias("simple"), fn.package_name(name).alias("package"), fn.handles_requests(kind).alias("handles"), fn.has_business_logic(kind).alias("logic"),
+        fn.identifier_of_path(F.col("source_file"), "java").alias("identifier"), kind.alias("kind"), fn.in_package(F.col("package_name"), F.concat(F.lit("co.nation"), "project_id")).alias("inside"),
+    )
+
+
+@query(
+    f"""select id, http_method || ' ' || http_path as endpoint, {_ENDPOINT} as is_endpoint, {_JSON_LIST.format("business_logic")} as logic,
+{_JSON_LIST.format("exceptions")} as errors, method_name as bare from kg_methods"""
+)
+def method_fields(c: Catalog) -> DataFrame:
+    method, path = F.col("http_method"), F.col("http_path")
+    named = fn.bare_method_name(F.concat("method_name", F.lit(" (Order o)")))
+    return c.methods.select("id", fn.http_endpoint(method, path).alias("endpoint"), fn.is_endpoint(method, path).alias("is_endpoint"), text_of(fn.json_list(F.col("business_logic"))).alias("logic"), text_of(fn.json_list(F.col("exceptions"))).alias("errors"), named.alias("bare"))
+
+
+# ---------------------------------------------------------------- graph
+
+
+@query(
+    """with near as (select src as node, dst as other, project_id from kg_edges union select dst, src, project_id from kg_edges)
+select c.project_id, full_class_name, coalesce(d.n, 0) as dependencies, coalesce(r.n, 0) as dependents, coalesce(b.n, 0) as neighbours from kg_classes c
+left join (select project_id, src, count(*) as n from kg_edges group by 1, 2) d on d.project_id = c.project_id and src = full_class_name
+left join (select project_id, dst, count(*) as n from kg_edges group by 1, 2) r on r.project_id = c.project_id and dst = full_class_name
+left join (select project_id, node, count(*) as n from near group by 1, 2) b on b.project_id = c.project_id and node = full_class_name"""
+)
+def graph_degrees(c: Catalog) -> DataFrame:
+    return graph.degrees(c)
+
+
+@query(
+    """select c.project_id, full_class_name, coalesce(d.t, '') as dependencies, coalesce(r.t, '') as dependents from kg_classes c
+left join (select project_id, src, string_agg(dst, ',' order by dst) as t from kg_edges group by 1, 2) d on d.project_id = c.project_id and src = full_class_name
+left join (select project_id, dst, string_agg(src, ',' order by src) as t from kg_edges group by 1, 2) r on r.project_id = c.project_id and dst = full_class_name"""
+)
+def graph_adjacency(c: Catalog) -> DataFrame:
+    return graph.adjacency(c).withColumns({x: text_of(x) for x in ("dependencies", "dependents")})
+
+
+@query("select project_id, src as node, dst as neighbour from kg_edges union select project_id, dst, src from kg_edges")
+def graph_neighbours(c: Catalog) -> DataFrame:
+    return graph.neighbours(c.edges)
+
+
+_LINKS = """select m.project_id, m.full_class_name as owner, method_name, position, t.full_class_name as target
+from kg_params p join (select m.id, method_name, project_id, full_class_name from kg_methods m join kg_classes c on c.id = class_id) m on m.id = method_id
+join kg_classes t on t.id = p.class_id and t.project_id = m.project_id"""
+
+
+@query(_LINKS)
+def graph_parameter_links(c: Catalog) -> DataFrame:
+    return graph.parameter_links(c)
+
+
+@query(f"select distinct project_id, owner, target from ({_LINKS})")
+def graph_parameter_targets(c: Catalog) -> DataFrame:
+    return graph.parameter_targets(c)
+
+
+# Depth by rounds without a path twice: a recursive union of (node, depth) that the number of nodes bounds.
+@query(
+    """with recursive reach as (
+  select project_id, full_class_name, 0 as depth from kg_classes where entry_point
+  union
+  select e.project_id, e.dst, r.depth + 1 from reach r join kg_edges e on e.project_id = r.project_id and e.src = r.full_class_name where r.depth < 12),
+depths as (select project_id, full_class_name, min(depth) as depth from reach group by 1, 2)
+select c.project_id, c.full_class_name, depth, depth is null as orphan,
+  row_number() over (partition by c.project_id order by depth nulls last, case when depth is null then ordinal end nulls first, c.full_class_name) as place
+from kg_classes c left join depths d on d.project_id = c.project_id and d.full_class_name = c.full_class_name"""
+)
+def graph_analysis_order(c: Catalog) -> DataFrame:
+    return graph.analysis_order(c)
+
+
+ORACLES["graph_analysis_order"] = ORACLES["graph_analysis_order"].replace("with ", "with recursive ", 1).replace("recursive reach", "reach")
+
+
+@query("select c.project_id, c.full_class_name, source_file, c.id, entry_point, class_type, description from kg_classes c")
+def graph_json_nodes(c: Catalog) -> DataFrame:
+    return graph_json.nodes(graph_json.from_json(graph_json.to_json(c)))
+
+
+@query("select project_id, src, dst from kg_edges")
+def graph_json_edges(c: Catalog) -> DataFrame:
+    return graph_json.edges(graph_json.from_json(graph_json.to_json(c)))
+
+
+@query(f"select distinct project_id, owner, method_name, position, target from ({_LINKS})")
+def graph_json_parameters(c: Catalog) -> DataFrame:
+    return graph_json.method_links(graph_json.from_json(graph_json.to_json(c)))
+
+
+@query(f"select project_id, full_class_name, method_name, m.description, http_method, http_path, line_number, {_JSON_LIST.format('business_logic')} as logic from kg_methods m join kg_classes c on c.id = class_id")
+def graph_json_methods(c: Catalog) -> DataFrame:
+    rows = graph_json.methods(graph_json.from_json(graph_json.to_json(c)))
+    return rows.select("project_id", "full_class_name", F.col("methodName").alias("method_name"), "description", F.col("httpMethod").alias("http_method"), F.col("httpPath").alias("http_path"), F.col("lineNumber").alias("line_number"), F.coalesce(text_of("businessLogic"), F.lit("")).alias("logic"))
+
+
+@query("select m.id, coalesce('about ' || full_class_name, m.description) as description, exceptions, line_number from kg_methods m left join (select c.id, full_class_name from kg_classes c where description is null) c on c.id = class_id")
+def enriched_methods(c: Catalog) -> DataFrame:
+    blank = lookup.unenriched(c).select(F.col("id").alias("class_id"), F.concat(F.lit("about "), "full_class_name").alias("description"))
+    updates = blank.join(c.methods.select("class_id", "method_name").distinct(), "class_id").withColumn("business_logic", F.lit(None).cast("string"))
+    return graph.apply_enrichment(c.methods, updates).select("id", "description", "exceptions", "line_number")
+
+
+# ---------------------------------------------------------------- graph queries
+
+
+@query(f"select name as project, full_class_name as class_name, class_type, method_name, http_method, http_path, m.description, {_JSON_LIST.format('business_logic')} as logic from kg_methods m join kg_classes c on c.id = class_id join kg_projects p on p.id = project_id where {_ENDPOINT}")
+def dsl_endpoints_all(c: Catalog) -> DataFrame:
+    rows = dsl.endpoints(c, logic=True)
+    return rows.select("project", F.col("className").alias("class_name"), F.col("classType").alias("class_type"), F.col("methodName").alias("method_name"), F.col("httpMethod").alias("http_method"), F.col("httpPath").alias("http_path"), "description", text_of("businessLogic").alias("logic"))
+
+
+_METHOD_LIST = f"select class_id, string_agg(method_name || '|' || coalesce(http_method || ' ' || http_path, '-'), ',' order by {_BY_LINE}) as t, count(*) as n from kg_methods"
+
+
+@query(
+    f"""select p.name as project, full_class_name as class_name, class_type, c.description, source_file, entry_point, coalesce(d.t, '') as dependencies, coalesce(r.t, '') as dependents, coalesce(m.t, '') as methods
+from kg_classes c join kg_projects p on p.id = c.project_id
+left join (select project_id, src, string_agg(dst, ',' order by dst) as t from kg_edges group by 1, 2) d on d.project_id = c.project_id and src = full_class_name
+left join (select project_id, dst, string_agg(src, ',' order by src) as t from kg_edges group by 1, 2) r on r.project_id = c.project_id and dst = full_class_name
+left join ({_METHOD_LIST} group by class_id) m on m.class_id = c.id"""
+)
+def dsl_classes_all(c: Catalog) -> DataFrame:
+    rows = dsl.classes(c, includes=("dependencies", "dependents", "methods"))
+    return rows.select("project", F.col("className").alias("class_name"), F.col("classType").alias("class_type"), "description", F.col("sourceFile").alias("source_file"), F.col("entryPoint").alias("entry_point"), text_of("dependencies").alias("dependencies"), text_of("dependents").alias("dependents"), text_of(_method_texts("methods")).alias("methods"))
+
+
+def _method_texts(name: str) -> Column:
+    return F.transform(name, lambda m: F.concat(m["methodName"], F.lit("|"), F.coalesce(m["httpEndpoint"], F.lit("-"))))
+
+
+@query(f"select p.name as project, full_class_name as class_name, class_type, c.description, coalesce(m.n, 0) as n_endpoints, coalesce(m.t, '') as endpoints from kg_classes c join kg_projects p on p.id = c.project_id left join ({_METHOD_LIST} where {_ENDPOINT} group by class_id) m on m.class_id = c.id where entry_point")
+def dsl_entry_points_all(c: Catalog) -> DataFrame:
+    rows = dsl.entry_points(c)
+    return rows.select("project", F.col("className").alias("class_name"), F.col("classType").alias("class_type"), "description", F.size("endpoints").cast("long").alias("n_endpoints"), text_of(_method_texts("endpoints")).alias("endpoints"))
+
+
+def _wanted(c: Catalog) -> DataFrame:
+    """Three spellings of each project's class types and of its entry points: exact, simple and part of a name."""
+    named = c.classes.join(c.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id")
+    return named.select("project", F.explode(F.array("full_class_name", F.upper("simple_name"), F.upper("package_name"))).alias("wanted"))
+
+
+_WANTED = """wanted as (select distinct name as project, unnest([full_class_name, upper(simple_name), upper(package_name)]) as wanted
+  from kg_classes c join kg_projects p on p.id = c.project_id)"""
+_RESOLVED = f"""{_WANTED},
+ranked as (select w.project, wanted, c.full_class_name, c.id, c.project_id, row_number() over (partition by w.project, wanted order by
+    case when full_class_name = wanted then 1 when lower(simple_name) = lower(wanted) then 2 else 3 end, ordinal) as r
+  from wanted w join kg_projects p on p.name = w.project join kg_classes c on c.project_id = p.id and contains(lower(full_class_name), lower(wanted))),
+node as (select * from ranked where r = 1)"""
+
+
+@query(f"with {_RESOLVED} select project, wanted, full_class_name from node")
+def dsl_resolve_names(c: Catalog) -> DataFrame:
+    return dsl.resolve(c, _wanted(c)).select("project", "wanted", "full_class_name")
+
+
+@query(
+    """with frames as (select distinct class_name, method_name from kg_frames),
+asked as (select name as project, full_class_name as wanted, upper(f.method_name) as "check", c.id from frames f join kg_classes c on full_class_name = class_name join kg_projects p on p.id = project_id)
+select project, wanted as class_name, "check", m.id is not null as "exists", m.method_name, m.description from asked a left join (
+  select *, row_number() over (partition by class_id, lower(method_name) order by line_number nulls last, id) as r from kg_methods) m on m.class_id = a.id and lower(m.method_name) = lower("check") and r = 1"""
+)
+def dsl_check_methods(c: Catalog) -> DataFrame:
+    projects = c.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project"))
+    asked = c.frames.join(c.classes, F.col("class_name") == F.col("full_class_name")).join(projects, "project_id").select("project", F.col("class_name").alias("wanted"), F.upper("method_name").alias("check")).distinct()
+    rows = dsl.check(c, dsl.resolve(c, asked.select("project", "wanted")), asked)
+    return rows.select("project", F.col("className").alias("class_name"), "check", "exists", F.col("methodName").alias("method_name"), "description")
+
+
+@query("select name as project, src as of, dst as class_name, class_type, c.description, source_file from kg_edges e join kg_projects p on p.id = e.project_id left join kg_classes c on c.project_id = e.project_id and full_class_name = dst")
+def dsl_dependencies(c: Catalog) -> DataFrame:
+    return _linked(c, "dependencies")
+
+
+@query("select name as project, dst as of, src as class_name, class_type, c.description, source_file from kg_edges e join kg_projects p on p.id = e.project_id left join kg_classes c on c.project_id = e.project_id and full_class_name = src")
+def dsl_dependents(c: Catalog) -> DataFrame:
+    return _linked(c, "dependents")
+
+
+def _linked(c: Catalog, direction: str) -> DataFrame:
+    nodes = c.classes.join(c.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id")
+    rows = dsl.linked(c, nodes, direction)
+    return rows.select("project", "of", F.col("className").alias("class_name"), F.col("classType").alias("class_type"), "description", F.col("sourceFile").alias("source_file"))
+
+
+@query(f"select name as project, full_class_name as class_name, method_name, m.description, http_method, http_path, line_number, {_JSON_LIST.format('exceptions')} as errors from kg_methods m join kg_classes c on c.id = class_id join kg_projects p on p.id = project_id")
+def dsl_methods(c: Catalog) -> DataFrame:
+    nodes = c.classes.join(c.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id")
+    rows = dsl.methods_of(c, nodes)
+    return rows.select("project", F.col("className").alias("class_name"), F.col("methodName").alias("method_name"), "description", F.col("httpMethod").alias("http_method"), F.col("httpPath").alias("http_path"), F.col("lineNumber").alias("line_number"), text_of("exceptions").alias("errors"))
+
+
+# ---------------------------------------------------------------- contexts
+
+_PREFIX = """parts as (select project_id, string_split(package_name, '.') as p from kg_classes where package_name is not null),
+ends as (select project_id, min(p) as a, max(p) as b from parts group by project_id),
+steps as (select project_id, a, unnest(range(0, len(a) + 1)) as n, b from ends),
+prefixes as (select project_id, array_to_string(a[1:max(n)], '.') as base_package from steps where a[1:n] = b[1:n] group by project_id, a)"""
+
+
+@query(
+    f"""with {_PREFIX} select p.id as project_id, name, base_package, coalesce(k.n, 0) as class_count, coalesce(e.n, 0) as endpoint_count from kg_projects p
+left join prefixes on prefixes.project_id = p.id left join (select project_id, count(*) as n from kg_classes group by 1) k on k.project_id = p.id
+left join (select project_id, count(*) as n from kg_methods m join kg_classes c on c.id = class_id where {_ENDPOINT} group by 1) e on e.project_id = p.id"""
+)
+def context_projects(c: Catalog) -> DataFrame:
+    return context.list_projects(c).select("project_id", "name", "base_package", "class_count", "endpoint_count")
+
+
+@query(
+    """with queries as (select distinct name as project, upper(simple_name) as q from kg_classes c join kg_projects p on p.id = project_id where entry_point)
+select project, q as query, full_class_name as class_name, class_type, entry_point, count(*) over (partition by project, q) * 0 + (select count(*) from kg_classes x where x.project_id = c.project_id) as total
+from queries join kg_projects p on p.name = project join kg_classes c on c.project_id = p.id and contains(lower(full_class_name), lower(q))"""
+)
+def context_search(c: Catalog) -> DataFrame:
+    named = c.classes.join(c.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id")
+    queries = named.filter("entry_point").select("project", F.upper("simple_name").alias("query")).distinct()
+    return context.search(c, queries).select("project", "query", F.col("className").alias("class_name"), F.col("classType").alias("class_type"), F.col("entryPoint").alias("entry_point"), "total")
+
+
+@query(
+    f"""with wanted as (select distinct class_name from kg_frames)
+select w.class_name, c.id is not null as found, class_type, c.description, repository_url, coalesce(m.t, '') as methods, coalesce(d.t, '') as dependencies
+from wanted w left join kg_classes c on full_class_name = w.class_name left join kg_projects p on p.id = c.project_id
+left join (select class_id, string_agg(method_name || '|' || {_JSON_LIST.format("business_logic")}, ';' order by {_BY_LINE}) as t from kg_methods group by class_id) m on m.class_id = c.id
+left join (select project_id, src, string_agg(dst, ',' order by dst) as t from kg_edges group by 1, 2) d on d.project_id = c.project_id and src = full_class_name"""
+)
+def context_classes(c: Catalog) -> DataFrame:
+    rows = context.class_context(c, c.frames)
+    listed = F.transform("methods", lambda m: F.concat(m["name"], F.lit("|"), text_of(m["businessLogic"])))
+    return rows.select(F.col("className").alias("class_name"), "found", F.col("classType").alias("class_type"), "description", F.col("projectUrl").alias("repository_url"), F.coalesce(F.array_join(listed, ";"), F.lit("")).alias("methods"), F.coalesce(text_of("graphInfo.dependencies"), F.lit("")).alias("dependencies"))
+
+
+_FIRST = "(select *, row_number() over (partition by class_id, method_name order by line_number nulls last, id) as r from kg_methods)"
+
+
+@query(
+    f"""with wanted as (select distinct class_name, method_name from kg_frames),
+links as (select project_id, owner, method_name, string_agg(position || ':' || target, ',' order by position, target) as t from (select distinct * from ({_LINKS})) group by 1, 2, 3)
+select w.class_name, w.method_name, m.id is not null as found, m.http_method || ' ' || m.http_path as endpoint, m.description, m.line_number, source_file,
+  case when c.id is null then 'No context available for this method' when m.id is null then 'Class found but method not indexed' end as message, coalesce(l.t, '') as types
+from wanted w left join kg_classes c on full_class_name = w.class_name left join {_FIRST} m on m.class_id = c.id and m.method_name = w.method_name and r = 1
+left join links l on l.project_id = c.project_id and l.owner = c.full_class_name and l.method_name = w.method_name"""
+)
+def context_methods(c: Catalog) -> DataFrame:
+    rows = context.method_context(c, c.frames)
+    types = F.transform("parameterTypes", lambda p: F.concat_ws(":", p["position"].cast("string"), p["typeName"]))
+    return rows.select(F.col("className").alias("class_name"), F.col("methodName").alias("method_name"), "found", F.col("httpEndpoint").alias("endpoint"), "description", F.col("lineNumber").alias("line_number"), F.col("sourceFile").alias("source_file"), "message", text_of(types).alias("types"))
+
+
+@query(
+    f"""select trace_id, ord, class_name, f.method_name, f.line_number, class_type, m.description, m.http_method || ' ' || m.http_path as endpoint, m.id is not null as found
+from kg_frames f left join kg_classes c on full_class_name = class_name left join {_FIRST} m on m.class_id = c.id and m.method_name = f.method_name and r = 1"""
+)
+def context_traces(c: Catalog) -> DataFrame:
+    rows = context.trace_context(c, c.frames)
+    return rows.select("trace_id", "ord", F.col("className").alias("class_name"), F.col("methodName").alias("method_name"), F.col("lineNumber").alias("line_number"), F.col("classType").alias("class_type"), "description", F.col("httpEndpoint").alias("endpoint"), "found")
+
+
+_TRACED = f"""traced as (select trace_id, ord, c.project_id, class_name, m.id is not null as found from kg_frames f left join kg_classes c on full_class_name = class_name
+  left join {_FIRST} m on m.class_id = c.id and m.method_name = f.method_name and r = 1)"""
+
+
+@query(f"with {_TRACED}, first as (select trace_id, arg_min(project_id, ord) as project_id from traced where found group by trace_id) select t.trace_id, repository_url from (select distinct trace_id from traced) t left join first f on f.trace_id = t.trace_id left join kg_projects p on p.id = f.project_id")
+def context_trace_projects(c: Catalog) -> DataFrame:
+    return context.trace_projects(c, context.trace_context(c, c.frames)).select("trace_id", F.col("projectUrl").alias("repository_url"))
+
+
+@query(
+    f"""with {_TRACED}, own as (select distinct trace_id, project_id, class_name from traced where project_id is not null),
+near as (select project_id, src as a, dst as b from kg_edges union select project_id, dst, src from kg_edges),
+other as (select distinct trace_id, o.project_id, b as class_name from own o join near n on n.project_id = o.project_id and a = class_name),
+rest as (select * from other o where not exists (select 1 from own x where x.trace_id = o.trace_id and x.class_name = o.class_name))
+select trace_id, row_number() over (partition by trace_id order by class_name, line_number nulls last, method_name nulls last, m.id nulls first) as "order", class_name, method_name, class_type, m.description
+from rest join kg_classes c on c.project_id = rest.project_id and full_class_name = class_name left join kg_methods m on m.class_id = c.id"""
+)
+def context_related(c: Catalog) -> DataFrame:
+    rows = context.related_dependencies(c, context.trace_context(c, c.frames))
+    return rows.select("trace_id", "order", F.col("className").alias("class_name"), F.col("methodName").alias("method_name"), F.col("classType").alias("class_type"), "description")
+
+
+@query(
+    f"""with links as (select project_id, owner, method_name, string_agg(target, ',' order by position, target) as t from (select distinct * from ({_LINKS})) group by 1, 2, 3)
+select c.project_id, full_class_name as class_name, entry_point, coalesce(d.n, 0) as dependencies, coalesce(r.n, 0) as dependents, coalesce(l.t, '') as types from kg_classes c
+left join (select project_id, src, count(*) as n from kg_edges group by 1, 2) d on d.project_id = c.project_id and src = full_class_name
+left join (select project_id, dst, count(*) as n from kg_edges group by 1, 2) r on r.project_id = c.project_id and dst = full_class_name
+left join (select project_id, owner, string_agg(method_name || '=' || t, ';' order by method_name) as t from links group by 1, 2) l on l.project_id = c.project_id and owner = full_class_name"""
+)
+def context_dependencies(c: Catalog) -> DataFrame:
+    rows = context.class_dependencies(c)
+    types = F.transform("methodParameterTypes", lambda m: F.concat(m["methodName"], F.lit("="), text_of(F.transform(m["parameterTypes"], lambda p: p["className"]))))
+    size = lambda name: F.size(name).cast("long").alias(name)
+    return rows.select("project_id", F.col("className").alias("class_name"), F.col("entryPoint").alias("entry_point"), size("dependencies"), size("dependents"), F.array_join(types, ";").alias("types"))
+
+
+@query(
+    f"""select p.id as project_id, name, coalesce(t.n, 0)::int as total_classes, coalesce(t.e, 0)::int as total_entry_points, h.t as breakdown, coalesce(x.t, '') as entry_points from kg_projects p
+left join (select project_id, count(*) as n, count(*) filter (entry_point) as e from kg_classes group by 1) t on t.project_id = p.id
+left join (select project_id, string_agg(class_type || ':' || n, ',' order by class_type) as t from (select project_id, class_type, count(*) as n from kg_classes group by 1, 2) group by 1) h on h.project_id = p.id
+left join (select project_id, string_agg(full_class_name || '[' || coalesce(e, '') || ']', ';' order by full_class_name) as t from kg_classes c
+  left join (select class_id, string_agg(http_method || ' ' || http_path, ',' order by http_method || ' ' || http_path) as e from kg_methods where {_ENDPOINT} group by 1) m on m.class_id = c.id where entry_point group by 1) x on x.project_id = p.id"""
+)
+def context_overview(c: Catalog) -> DataFrame:
+    rows = context.project_overview(c)
+    breakdown = F.transform(F.array_sort(F.map_entries("classTypeBreakdown")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    entries = F.transform("entryPoints", lambda e: F.concat(e["className"], F.lit("["), text_of(e["httpEndpoints"]), F.lit("]")))
+    return rows.select("project_id", F.col("projectName").alias("name"), F.col("totalClasses").alias("total_classes"), F.col("totalEntryPoints").alias("total_entry_points"), text_of(breakdown).alias("breakdown"), F.array_join(entries, ";").alias("entry_points"))
+
+
+@query(
+    f"""with links as (select project_id, owner, method_name, string_agg(target, ',' order by position, target) as t from (select distinct * from ({_LINKS})) group by 1, 2, 3)
+select name, full_class_name as class_name, m.method_name, http_method, http_path, m.description, {_JSON_LIST.format("business_logic")} as logic, {_JSON_LIST.format("exceptions")} as errors, coalesce(t, '') as parameters
+from kg_methods m join kg_classes c on c.id = class_id join kg_projects p on p.id = c.project_id
+left join links l on l.project_id = c.project_id and owner = full_class_name and l.method_name = m.method_name where entry_point and {_ENDPOINT}"""
+)
+def context_service_api(c: Catalog) -> DataFrame:
+    flat = context.service_api(c).select(F.col("projectName").alias("name"), F.explode("controllers").alias("c")).select("name", F.col("c.className").alias("class_name"), F.explode("c.endpoints").alias("e"))
+    parameters = F.transform("e.parameters", lambda p: p["className"])
+    return flat.select("name", "class_name", F.col("e.methodName").alias("method_name"), F.col("e.httpMethod").alias("http_method"), F.col("e.httpPath").alias("http_path"), F.col("e.description").alias("description"), text_of("e.businessLogic").alias("logic"), text_of("e.exceptions").alias("errors"), text_of(parameters).alias("parameters"))
+
+
+# ---------------------------------------------------------------- synchronisation
+
+_STATES = """states as (select o_custkey, count(*) filter (o_orderdate < timestamp '1995-06-01') as a, count(*) filter (o_orderdate >= timestamp '1995-01-01') as b from orders group by 1),
+actions as (select project_id, full_class_name, case when b = 0 then 'delete' when a = 0 then 'add' when a <> b then 'update' else 'keep' end as action
+  from states join kg_classes on id = 'c' || o_custkey where a > 0 or b > 0)"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[Catalog, DataFrame, DataFrame]:
+    """Two states of the sources: a class is there in each if it had methods then, and its file changes with their number."""
+    catalog = from_orders(spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    early, late = F.col("o_orderdate") < "1995-06-01", F.col("o_orderdate") >= "1995-01-01"
+    sums = orders.groupBy("o_custkey").agg(F.count_if(early).alias("a"), F.count_if(late).alias("b"))
+    both = sums.join(catalog.classes, F.concat(F.lit("c"), F.col("o_custkey").cast("string")) == F.col("id"))
+    state = lambda n: both.filter(F.col(n) > 0).select("id", "project_id", "full_class_name", "source_file", F.col("source_file").alias("path"), F.col(n).cast("string").alias("content"))
+    return catalog, state("a"), state("b")
+
+
+def _actions(old: DataFrame, new: DataFrame) -> DataFrame:
+    changes = sync.file_changes(sync.listing(old), sync.listing(new)).filter("change in ('added', 'modified')")
+    return sync.classify(old, new, changes.select("project_id", F.col("path").alias("source_file")))
+
+
+def sync_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, old, new = _states(spark, sf_dir)
+    return _actions(old, new)
+
+
+def sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog, old, new = _states(spark, sf_dir)
+    rows = sync.counters(catalog.projects, _actions(old, new))
+    return rows.select(F.col("projectName").alias("name"), F.col("addedClasses").alias("added"), F.col("updatedClasses").alias("updated"), F.col("deletedClasses").alias("deleted"), F.col("unchangedClasses").alias("unchanged"))
+
+
+def sync_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, old, new = _states(spark, sf_dir)
+    return sync.merged(old, new, _actions(old, new)).select("id", "project_id", "full_class_name", "content")
+
+
+QUERIES |= {"sync_actions": sync_actions, "sync_counters": sync_counters, "sync_merged": sync_merged}
+ORACLES |= {
+    "sync_actions": with_views(f"with {_STATES} select * from actions"),
+    "sync_counters": with_views(
+        f"with {_STATES} select name, count(*) filter (action = 'add') as added, count(*) filter (action = 'update') as updated, count(*) filter (action = 'delete') as deleted, count(*) filter (action = 'keep') as unchanged from kg_projects p left join actions on project_id = p.id group by name"
+    ),
+    "sync_merged": with_views(f"with {_STATES} select 'c' || o_custkey as id, project_id, full_class_name, b::varchar as content from states join kg_classes on id = 'c' || o_custkey where b > 0"),
+}
+
+
+@query("select project_id, c.id as class_id, m.id as method_id from kg_classes c join kg_methods m on class_id = c.id where class_type <> 'DTO'")
+def rows_after_cascade(c: Catalog) -> DataFrame:
+    left = snapshots.delete_classes(c, c.classes.filter("class_type = 'DTO'").select("id"))
+    return left.methods.join(left.classes.select(F.col("id").alias("class_id"), "project_id"), "class_id").select("project_id", "class_id", F.col("id").alias("method_id"))
+
+
+# ---------------------------------------------------------------- sources parsed
+
+
+@query(
+    f"""select project_id, full_class_name as identifier, 'LISTENER' as class_type, true as entry_point from kg_classes where class_type = 'LISTENER' union all
+select project_id, full_class_name, case class_type when 'DTO' then 'OTHER' else class_type end, class_type = 'CONTROLLER' from kg_classes where class_type <> 'LISTENER'"""
+)
+def ingest_java_nodes(c: Catalog) -> DataFrame:
+    return ingest.java(generated.java_files(c))["nodes"].select("project_id", "identifier", "class_type", "entry_point")
+
+
+@query("select project_id, src, dst from kg_edges")
+def ingest_java_edges(c: Catalog) -> DataFrame:
+    return ingest.java_edges(ingest.java(generated.java_files(c)))
+
+
+@query(
+    f"""select project_id, full_class_name as identifier, method_name, case when http_method is null then null else http_method end as http_method,
+case when http_method is null then null else http_path end as http_path, {_JSON_LIST.format("exceptions")} as errors from kg_methods m join kg_classes c on c.id = class_id"""
+)
+def ingest_java_methods(c: Catalog) -> DataFrame:
+    rows = ingest.java(generated.java_files(c))["methods"]
+    return rows.select("project_id", "identifier", "method_name", "http_method", "http_path", text_of("exceptions").alias("errors"))
+
+
+@query(f"select project_id, full_class_name as identifier, method_name, http_method, http_path from kg_methods m join kg_classes c on c.id = class_id where {_ENDPOINT}")
+def ingest_script_endpoints(c: Catalog) -> DataFrame:
+    rows = ingest.script(generated.script_files(c))["methods"]
+    return rows.filter(fn.is_endpoint(F.col("http_method"), F.col("http_path"))).select("project_id", "identifier", "method_name", "http_method", "http_path")
+
+
+@query("select project_id, src, dst from kg_edges")
+def ingest_script_edges(c: Catalog) -> DataFrame:
+    return ingest.script_edges(ingest.script(generated.script_files(c)))
+
+
+@query("select project_id, src, dst from kg_edges")
+def ingest_go_edges(c: Catalog) -> DataFrame:
+    rows = ingest.go_edges(ingest.go(generated.go_files(c)))
+    bare = lambda name: F.translate(F.regexp_replace(name, "^example.org/m/", ""), "/", ".").alias(name)
+    return rows.select("project_id", bare("src"), bare("dst"))
+
+
+@query("select project_id, full_class_name as identifier, method_name, exceptions is not null as panics from kg_methods m join kg_classes c on c.id = class_id")
+def ingest_go_methods(c: Catalog) -> DataFrame:
+    rows = ingest.go(generated.go_files(c))["methods"]
+    return rows.select("project_id", F.translate(F.regexp_replace("identifier", "^example.org/m/", ""), "/", ".").alias("identifier"), "method_name", (F.size("exceptions") > 0).alias("panics"))
+
+
+# ---------------------------------------------------------------- other tables
+
+
+def readme_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.char_length(fn.readme(F.col("text"))).cast("long").alias("kept"), F.sha2(fn.readme_description(F.col("text")).cast("binary"), 256).alias("description_sha256"))
+
+
+def page_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return pages.select("page_id", F.explode(links).alias("target")).groupBy("page_id", "target").agg(F.count("*").alias("times"))
+
+
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    reply = F.concat(F.lit("```json\nHere it is: "), "props", F.lit("\n```"))
+    return events.select("event_id", fn.json_in_reply(reply).alias("json"))
+
+
+def streamed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame_stream.enrich_events(spark, sf_dir).select("event_id", "class_name", "method_name", "class_type", "found")
+
+
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame_stream.count_events(spark, sf_dir)
+
+
+QUERIES |= {"readme_fields": readme_fields, "page_imports": page_imports, "event_properties": event_properties, "streamed_frames": streamed_frames, "streamed_counts": streamed_counts}
+ORACLES |= {
+    "readme_fields": "select doc_id, length(case when length(text) > 10000 then text[1:10000] || chr(10) || '...(truncated)' else text end)::bigint as kept, sha256(text[1:500]) as description_sha256 from documents where trim(text) <> '' union all select doc_id, null, null from documents where trim(coalesce(text, '')) = ''",
+    "page_imports": "select page_id, target, count(*) as times from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as target from pages) group by 1, 2",
+    "event_properties": "select event_id, props as json from events",
+    "streamed_frames": with_views(
+        f"""with found as (select c.id, full_class_name, class_type from kg_classes c)
+select event_id, case when event_type = 'error' then 'org.ext.Dispatcher' else full_class_name end as class_name,
+case event_type when 'click' then 'handle1' when 'view' then 'handle2' when 'purchase' then 'handle3' when 'signup' then 'handle9' else 'dispatch' end as method_name,
+case when event_type <> 'error' then class_type end as class_type,
+event_type <> 'error' and exists (select 1 from kg_methods m where m.class_id = found.id and m.method_name = case event_type when 'click' then 'handle1' when 'view' then 'handle2' when 'purchase' then 'handle3' when 'signup' then 'handle9' else 'dispatch' end) as found
+from events left join found on id = 'c' || user_id"""
+    ),
+    "streamed_counts": "select time_bucket(interval '1 day', ts, timestamp '1970-01-01')::date::varchar as day, event_type, count(*) as events from events group by 1, 2",
+}
