@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice.functions.columns import bare_method_name, http_endpoint, json_list
 from codelattice.operators.graph import adjacency, base_packages, neighbours, parameter_links, type_histogram
-from codelattice.operators.lookup import ENDPOINT, class_counts, classes_by_name, endpoint_counts
+from codelattice.operators.lookup import has_endpoint, class_counts, classes_by_name, endpoint_counts
 from codelattice.schema import Catalog
 
-_LINE = F.coalesce(F.col("line_number"), F.lit(2**31 - 1))
+def _line() -> Column:
+    """Lines, with those of methods without one last."""
+    return F.coalesce(F.col("line_number"), F.lit(2**31 - 1))
+
 
 
 def list_projects(catalog: Catalog) -> DataFrame:
@@ -44,7 +47,7 @@ def class_context(catalog: Catalog, names: DataFrame) -> DataFrame:
     """
     found = classes_by_name(catalog, names)
     method = F.struct(F.col("method_name").alias("name"), "description", json_list(F.col("business_logic")).alias("businessLogic"))
-    listed = catalog.methods.groupBy(F.col("class_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(_LINE.alias("l"), F.col("method_name").alias("n"), F.col("id").alias("i"), method.alias("m")))).alias("_m"))
+    listed = catalog.methods.groupBy(F.col("class_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(_line().alias("l"), F.col("method_name").alias("n"), F.col("id").alias("i"), method.alias("m")))).alias("_m"))
     graph = adjacency(catalog)
     joined = found.join(listed, "id", "left").join(graph, ["project_id", "full_class_name"], "left")
     urls = catalog.projects.select(F.col("id").alias("project_id"), F.col("repository_url").alias("projectUrl"), F.col("description").alias("projectDescription"))
@@ -68,7 +71,7 @@ def _first_methods(catalog: Catalog) -> DataFrame:
     """The first method of each class and name, as a struct."""
     columns = ("id", "description", "business_logic", "exceptions", "http_method", "http_path", "line_number")
     row = F.struct(*columns)
-    return catalog.methods.groupBy("class_id", "method_name").agg(F.min_by(row, F.struct(_LINE, "id")).alias("m"))
+    return catalog.methods.groupBy("class_id", "method_name").agg(F.min_by(row, F.struct(_line(), "id")).alias("m"))
 
 
 def method_context(catalog: Catalog, pairs: DataFrame) -> DataFrame:
@@ -186,7 +189,7 @@ def project_overview(catalog: Catalog) -> DataFrame:
     """Every project: classes, entry points, classes by type (a map), and entry points with their endpoints."""
     breakdown = type_histogram(catalog).groupBy("project_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_type", F.col("classes").cast("int"))))).alias("classTypeBreakdown"))
     totals = catalog.classes.groupBy("project_id").agg(F.count("*").cast("int").alias("totalClasses"), F.count_if("entry_point").cast("int").alias("totalEntryPoints"))
-    ends = catalog.methods.filter(ENDPOINT).groupBy(F.col("class_id").alias("id")).agg(F.array_sort(F.collect_list(http_endpoint(F.col("http_method"), F.col("http_path")))).alias("httpEndpoints"))
+    ends = catalog.methods.filter(has_endpoint()).groupBy(F.col("class_id").alias("id")).agg(F.array_sort(F.collect_list(http_endpoint(F.col("http_method"), F.col("http_path")))).alias("httpEndpoints"))
     none = F.array().cast("array<string>")
     entries = catalog.classes.filter("entry_point").join(ends, "id", "left").select("project_id", F.struct(F.col("full_class_name").alias("className"), F.col("class_type").alias("classType"), "description", F.coalesce("httpEndpoints", none).alias("httpEndpoints")).alias("e"))
     entries = entries.groupBy("project_id").agg(F.array_sort(F.collect_list("e")).alias("entryPoints"))
@@ -204,7 +207,7 @@ def service_api(catalog: Catalog) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("position", F.col("target").alias("className"), F.col("class_type").alias("classType"), "description"))).alias("parameters")
     )
     owner = catalog.classes.filter("entry_point").select(F.col("id").alias("class_id"), "project_id", "full_class_name", F.col("description").alias("class_description"))
-    rows = catalog.methods.filter(ENDPOINT).join(owner, "class_id").join(typed, ["project_id", "full_class_name", "method_name"], "left")
+    rows = catalog.methods.filter(has_endpoint()).join(owner, "class_id").join(typed, ["project_id", "full_class_name", "method_name"], "left")
     rows = rows.withColumn("parameters", F.coalesce("parameters", F.from_json(F.lit("[]"), rows.schema["parameters"].dataType)))
     endpoint = F.struct(F.col("http_path").alias("httpPath"), F.col("http_method").alias("httpMethod"), F.col("method_name").alias("methodName"), "description", json_list(F.col("business_logic")).alias("businessLogic"), json_list(F.col("exceptions")).alias("exceptions"), "parameters")
     controllers = rows.groupBy("project_id", F.col("full_class_name").alias("className"), F.col("class_description").alias("description")).agg(F.array_sort(F.collect_list(endpoint)).alias("endpoints"))

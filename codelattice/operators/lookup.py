@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from codelattice.functions.columns import dotted_prefixes, is_endpoint
 from codelattice.schema import Catalog
 
-ENDPOINT = is_endpoint(F.col("http_method"), F.col("http_path"))
+def has_endpoint() -> Column:
+    return is_endpoint(F.col("http_method"), F.col("http_path"))
 
 
 def method_order() -> list[Column]:
@@ -83,7 +84,7 @@ def methods_with_class(catalog: Catalog) -> DataFrame:
 
 def endpoints(catalog: Catalog) -> DataFrame:
     """Methods with an HTTP method and path, of all projects; filter by project_id for one."""
-    return methods_with_class(Catalog(catalog.projects, catalog.classes, catalog.methods.filter(ENDPOINT), catalog.params, catalog.edges))
+    return methods_with_class(Catalog(catalog.projects, catalog.classes, catalog.methods.filter(has_endpoint()), catalog.params, catalog.edges))
 
 
 def ordered_endpoints(catalog: Catalog, project_id: str) -> DataFrame:
