@@ -1,12 +1,13 @@
 """Registered queries of the training-data operators and their SQL."""
 
-from codelattice.llm import bpe, decontaminate, language_id, line_dedup, quality_model, quality_rules, secret_scan, simhash, tree_model
+from codelattice.llm import bpe, decontaminate, language_id, line_dedup, pseudonyms, quality_model, quality_rules, secret_scan, simhash, tree_model
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_benchmark_leaks": decontaminate.op2_benchmark_leaks,
     "op3_simhash_components": simhash.op3_simhash_components,
     "op4_language_id": language_id.op4_language_id,
+    "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_quality_model": quality_model.op8_quality_model,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op4_language_id": language_id.op4_language_id,
+    "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_secret_scan": secret_scan.ORACLE,
 }
