@@ -17,8 +17,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
-    "op4_language_id": language_id.op4_language_id,
-    "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_secret_scan": secret_scan.ORACLE,
 }
