@@ -257,10 +257,15 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows whose id is the smallest of its component."""
-    found = near_duplicates(docs)
-    first = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    return docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
+    """The rows whose id is the smallest of its component, for one of its rows at least.
+
+    What goes is far less than what stays, so the texts meet the ids that go:
+    where these are few, Spark sends them around and shuffles no text.
+    """
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    going = near_duplicates(docs).groupBy("doc_id").agg(F.max(stays).alias("stays")).filter(~F.col("stays"))
+    gone = stored(going.select(F.col("doc_id").alias("_gone")))
+    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
