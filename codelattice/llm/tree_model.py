@@ -15,10 +15,11 @@ from codelattice.llm.common import in_training, is_held_out, stored, table, text
 
 DEPTH = 5
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
-COUNT_BYTES = 16 << 20
+COUNT_BYTES, SCORE_BYTES = 8 << 20, 2 << 20
 SHARD_NODES = 4_000_000
-FREQUENT_WORDS = 400_000
+FREQUENT_WORDS = 250_000
 CACHE_BITS = 21
+AT_ONCE = 1 << 18
 MODULUS, HELD_OUT = 5, 1
 
 
@@ -249,9 +250,11 @@ class CodeLengths:
 
     def lengths(self, grams: np.ndarray) -> np.ndarray:
         """0 for grams that another part is for."""
-        ours = self.contexts[(grams >> np.uint64(8)) & np.uint64(0xFFFF)]
         out = np.zeros(len(grams))
-        out[ours] = self.remembered(grams[ours])
+        for start in range(0, len(grams), AT_ONCE):  # bounds what is held beside them
+            part = grams[start : start + AT_ONCE]
+            ours = self.contexts[(part >> np.uint64(8)) & np.uint64(0xFFFF)]
+            out[start : start + AT_ONCE][ours] = self.remembered(part[ours])
         return out
 
     def remembered(self, grams: np.ndarray) -> np.ndarray:
@@ -374,7 +377,7 @@ def score_texts(docs: DataFrame, training: Column, depth: int = DEPTH, shard_nod
             keys, p, contexts = sent.value
             model = CodeLengths(keys, p, contexts, depth)
             known = sent_words.value
-            for batch in text_batches(batches):
+            for batch in text_batches(batches, limit=SCORE_BYTES):
                 texts = texts_of(batch)
                 grams, sizes = byte_grams(texts, depth)
                 bits = np.add.reduceat(model.lengths(grams), np.r_[0, np.cumsum(sizes)[:-1]])
