@@ -256,14 +256,15 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     return marked.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows whose id is the smallest of its component, for one of its rows at least.
 
+    ``found`` has the components (doc_id, component_id), if not those of op3.
     What goes is far less than what stays, so the texts meet the ids that go:
     where these are few, Spark sends them around and shuffles no text.
     """
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    going = near_duplicates(docs).groupBy("doc_id").agg(F.max(stays).alias("stays")).filter(~F.col("stays"))
+    going = (near_duplicates(docs) if found is None else found).groupBy("doc_id").agg(F.max(stays).alias("stays")).filter(~F.col("stays"))
     gone = stored(going.select(F.col("doc_id").alias("_gone")))
     return docs.join(gone, docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
 

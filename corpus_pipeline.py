@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm import bpe, decontaminate, language_id, line_dedup, simhash
+from codelattice.llm import bpe, decontaminate, language_id, line_dedup, simhash, similar
 from codelattice.llm.common import stored, table
 
 
@@ -30,8 +30,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Near are op3's links, and texts that share four fifths of their five-word shingles.
+    """
+    return simhash.drop_near_duplicates(docs, similar.near_duplicates(docs))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
