@@ -155,6 +155,18 @@ def leaks_in(hashes: np.ndarray, sizes: np.ndarray, items: Items, similarity: fl
     shared = {run: members(rolls[run], known) for run, known in items.known.items()}
     for size, (ids, counted, index, own, run) in items.by_size.items():
         rolled = rolls[run]
+
+        def judge(opened: np.ndarray, shingled: int, n_words: int, codes: np.ndarray, size=size, ids=ids, counted=counted, index=index, rolled=rolled) -> None:
+            for q, i in zip(*index.near(codes), strict=True):
+                begin = int(opened[q])
+                score = weighted_similarity(Counter(rolled[begin : begin + shingled].tolist()), counted[i])
+                if score >= similarity:
+                    text = int(owner[begin])
+                    found = (score, -begin, int(np.bitwise_count(codes[q] ^ index.codes[i])), n_words)
+                    key = text, i, size
+                    if key not in best or found[:2] > best[key][1][:2]:
+                        best[key] = (ids[i], found)
+
         hits = shared[run][members(rolled[shared[run]], own)]
         if not len(hits):
             continue
@@ -170,16 +182,14 @@ def leaks_in(hashes: np.ndarray, sizes: np.ndarray, items: Items, similarity: fl
             sums = np.cumsum(np.vstack([np.zeros((1, 64), np.int32), bit_rows(rolled[needed])]), axis=0, dtype=np.int32)
             left = place.reshape(-1, per)[:, 0]
             assert (gaps[left] == gaps[left + per - 1]).all()
-            codes = fingerprint(sums[left + per] - sums[left], np.full(len(opened), per))
-            for q, i in zip(*index.near(codes), strict=True):
-                begin = int(opened[q])
-                score = weighted_similarity(Counter(rolled[begin : begin + per].tolist()), counted[i])
-                if score >= similarity:
-                    text = int(owner[begin])
-                    found = (score, -begin, int(np.bitwise_count(codes[q] ^ index.codes[i])), size)
-                    key = text, i, size
-                    if key not in best or found[:2] > best[key][1][:2]:
-                        best[key] = (ids[i], found)
+            judge(opened, per, size, fingerprint(sums[left + per] - sums[left], np.full(len(opened), per)))
+        # A text shorter than the items is one window; the shingles of the smaller over those of the larger bound the similarity.
+        whole = np.unique(owner[hits])
+        whole = whole[(sizes[whole] >= run) & (sizes[whole] < size) & (sizes[whole] - run + 1 >= (similarity - 1e-9) * per)]
+        for text in whole:
+            begin, n = ends[text] - sizes[text], int(sizes[text])
+            some = n - run + 1
+            judge(np.array([begin]), some, n, fingerprint(bit_rows(rolled[begin : begin + some]).sum(0, dtype=np.int64), some)[None])
     return [(text, item, int(-f[1] - (ends[text] - sizes[text])), f[3], f[2], f[0]) for (text, _, _), (item, f) in best.items()]
 
 
@@ -188,9 +198,9 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, hamming, similarity) for each item in a document.
 
-    Every item is compared with the windows of its own number of words. A
-    window is given a SimHash of its ``words``-word shingles; an index over
-    blocks of bits yields all items within ``radius`` bits of it, and those
+    Every item is compared with the windows of its own number of words, and
+    with a text that has fewer words than the item as a whole. A window is
+    given a SimHash of its ``words``-word shingles; an index over blocks of bits yields all items within ``radius`` bits of it, and those
     are verified by the similarity of the two sets of shingles, each counted
     as often as it occurs. At similarity 0.8 ten bits differ on average with a
     deviation of three, so the radius of 20 loses about one in two thousand

@@ -82,3 +82,23 @@ def test_edges(spark):
     assert kept.columns == frame.columns and 5 not in {r.doc_id for r in kept.collect()}
     assert decontaminate.find_leaks(docs(spark, ["a"]).limit(0), benchmark).count() == 0
     assert decontaminate.find_leaks(frame, benchmark.limit(0)).count() == 0
+
+
+def test_texts_shorter_than_an_item(spark):
+    items = [" ".join(words(i, n)) for i, n in enumerate((16, 30, 59, 59, 12, 5, 4))]
+    texts = []
+    for item in items:
+        have = item.split()
+        texts += [" ".join(have[:-1]), " ".join(have[1:]), " ".join(have[1:-1]), " ".join(have[: len(have) * 5 // 6]), " ".join(have[: len(have) // 2])]
+    texts += [" ".join(words(700, 40)), "", None, " ".join(items[2].split()[:-1]) + " " + " ".join(words(701, 30))]
+    benchmark = spark.createDataFrame(list(enumerate(items, 1)), ITEM)
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs(spark, texts), benchmark).collect()}
+    want = brute(texts, items)
+    for d, text in enumerate(texts, 1):
+        have = (text or "").split()
+        for i, item in enumerate(items, 1):
+            if 0 < len(have) < len(item.split()) and similarity(have, item.split()) >= 0.8:
+                want.add((d, i))
+                assert (found[d, i].first_word, found[d, i].n_words) == (0, len(have))
+                assert found[d, i].similarity == similarity(have, item.split())
+    assert found.keys() == want and {(1, 1), (2, 1), (11, 3), (16, 4)} <= want
