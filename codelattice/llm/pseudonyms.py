@@ -26,10 +26,13 @@ _FIND = re.compile(
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<card>(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))"
+    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![/-]|\.\d|(?!T\d{2})\w))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))",
     re.ASCII,
 )
+_OF_KIND = {kind: re.compile(source, re.ASCII) for kind, source in zip(KINDS, re.split(r"\|(?=\(\?P<)", _FIND.pattern), strict=True)}
+#: Kinds whose digit groups may run on into what follows, and the fewest characters of a value.
+_RUNNING = {"iban": 15, "card": 13}
 
 
 class Feistel:
@@ -199,19 +202,42 @@ class Pseudonyms:
         fresh = self.feistel.permute(int(national), 10**10, "phone", back)
         return _refill(value, f"{country}{fresh:010d}")
 
+    def _valid(self, text: str, found: re.Match) -> tuple[str, str, str | None]:
+        """(kind, value, pseudonym) of what stands at a match; if it fails its check, of a shorter one or of a later kind there."""
+        kind, value = found.lastgroup, found[0]
+        fresh = self.of(kind, value)
+        if fresh is not None or kind not in _RUNNING:
+            return kind, value, fresh
+        for other in KINDS[KINDS.index(kind) :]:
+            match = _OF_KIND[other].match(text, found.start())
+            if not match:
+                continue
+            ends = [match.end()]
+            if other in _RUNNING:  # the ends of its groups, the longest first
+                ends += [match.start() + m.start() for m in reversed([*re.finditer("[ -]", match[0])])]
+            for end in ends:
+                shorter = text[match.start() : end]
+                if sum(c.isalnum() for c in shorter) < _RUNNING.get(other, 0):
+                    break
+                fresh = self.of(other, shorter)
+                if fresh is not None:
+                    return other, shorter, fresh
+        return kind, value, None
+
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms and (kind, start, end) of each in it."""
-        out, spans, done, length = [], [], 0, 0
-        for found in _FIND.finditer(text):
-            kind = found.lastgroup
-            fresh = self.of(kind, found[0])
+        out, spans, done, length, at = [], [], 0, 0, 0
+        while found := _FIND.search(text, at):
+            start = found.start()
+            kind, value, fresh = self._valid(text, found)
             if fresh is None:
+                at = start + len(re.match("[A-Za-z0-9]+", value)[0]) if kind in _RUNNING else found.end()
                 continue
-            out += [text[done : found.start()], fresh]
-            length += found.start() - done
+            out += [text[done:start], fresh]
+            length += start - done
             spans.append((kind, length, length + len(fresh)))
             length += len(fresh)
-            done = found.end()
+            at = done = start + len(value)
         return "".join([*out, text[done:]]), spans
 
 
@@ -221,7 +247,8 @@ def pseudonymise(docs: DataFrame, key: bytes, passed: list[str] | None = None) -
     Found are e-mail addresses, IPv4 addresses with all parts up to 255, IBANs
     and card numbers with right check digits, social security numbers outside
     the ranges that are never given out, dates of 1900 to 2099 that exist, and
-    phone numbers of ten digits. What fails its check stays as it is. A value
+    phone numbers of ten digits. What fails its check stays as it is; a card or
+    IBAN that runs on into other groups is found at the end of one of its own. A value
     is a number within its format and goes through a keyed Feistel permutation
     of all such numbers: marks, lengths and cases stay, check digits are made
     anew, and two values have the same pseudonym just if they are equal, in

@@ -90,3 +90,28 @@ def test_edges(spark):
     by_id = {r.doc_id: r for r in rows}
     assert by_id[2].text is None and by_id[3].text == "" and by_id[2].found == []
     assert ps.pseudonymise(docs(spark, ["a"]).limit(0), KEY).count() == 0
+
+
+def test_values_before_and_after_other_groups():
+    known = ps.Pseudonyms(KEY)
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    cases = [
+        (f"{card} 12/26", [("card", card)]),
+        ("4111111111111111 737", [("card", "4111111111111111")]),
+        (f"12 35 {card} 12", [("card", card)]),
+        ("4111-1111-1111-1111-12", [("card", "4111-1111-1111-1111")]),
+        (f"{card} 3782-822463-10005", [("card", card), ("card", "3782-822463-10005")]),
+        (f"{iban} EUR", [("iban", iban)]),
+        (f"AB12 {card}", [("card", card)]),
+        ("123-45-6789 12345", [("ssn", "123-45-6789")]),
+        ("1984-03-02T10:00:00Z", [("date", "1984-03-02")]),
+        ("1984-03-02T10:00:00+01:00, 1984-03-02", [("date", "1984-03-02"), ("date", "1984-03-02")]),
+    ]
+    for text, values in cases:
+        want = text
+        for kind, value in dict.fromkeys(values):
+            want = want.replace(value, known.of(kind, value))
+        got, spans = known.replace(text)
+        assert got == want and [s[0] for s in spans] == [k for k, _ in values], text
+    for text in ("1984-03-02Tuesday", "4111111111111112 737", "x4111111111111111 737"):
+        assert known.replace(text) == (text, [])
