@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from codelattice.llm.common import stored
 
-MAX_ROUNDS = 60
-
 
 def _state(links: DataFrame) -> tuple:
     row = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(pmod(xxhash64(b, a), 1000003) as bigint))")).first()
@@ -27,7 +25,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Rounds alternate two steps: all larger neighbours of a node are hung on its
     smallest neighbour, then all smaller ones are. The number of links never
     grows, and the number of rounds grows with the logarithm of the longest
-    chain. The smallest neighbour is combined before its shuffle, so a node
+    chain; rounds end when the links stay as they are. The smallest neighbour is combined before its shuffle, so a node
     with very many links is no hot group; the join back is one that adaptive
     execution can split. Every step is written to the shared folder.
     Links with a null end are dropped; those from a node to itself keep it.
@@ -37,7 +35,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     nodes = current
     current = stored(current.filter("a != b"))
     before = _state(current)
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = stored(current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         hung = _to_smallest(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(hung.filter("a != b").distinct())
@@ -48,8 +46,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     every = nodes.select(F.col("a").alias("node")).union(nodes.select("b")).distinct()
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return every.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

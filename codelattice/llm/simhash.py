@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codelattice.llm.common import stored, table, text_batches, texts_of
 from codelattice.llm.components import connected_components
@@ -18,10 +18,11 @@ from codelattice.llm.components import connected_components
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 3
+#: Blocks of bits on which two codes within the radius agree, beyond one for each bit that may differ.
+AGREEING, FINER = 2, 3
 CELL_ROWS = 20_000
 FAN_OUT = 8
-SMALL_GROUP = 24
-QUERY_BLOCK = 512
+QUERY_BLOCK = 1024
 
 
 def shingle_hashes(text: str, words: int = SHINGLE_WORDS) -> list[int]:
@@ -79,10 +80,15 @@ class GrayIndex:
     a mask and a pattern. Going down, the differences from a query in these
     bits add up, and a node whose sum exceeds the radius goes with all below
     it. Every code is a leaf; its own node holds the bits that are left.
+
+    Only pairs that agree on all bits of the mask ``shared`` are looked for:
+    codes are in Gray order of these bits first, and a difference in one of
+    them is enough to leave out a node.
     """
 
-    def __init__(self, codes: np.ndarray, fan_out: int = FAN_OUT):
-        self.codes = codes[np.argsort(gray_rank(codes))]
+    def __init__(self, codes: np.ndarray, fan_out: int = FAN_OUT, shared: int = 0):
+        self.shared = np.uint64(shared)
+        self.codes = codes[np.lexsort((gray_rank(codes), gray_rank(codes & self.shared)))]
         self.fan_out = fan_out
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
         agreed, pattern = [np.full(len(codes), full)], [self.codes]
@@ -112,22 +118,23 @@ class GrayIndex:
                 node = (node[:, None] * self.fan_out + np.arange(self.fan_out)).ravel()
                 there = node < len(mask)
                 query, node, differences = query[there], node[there], differences[there]
-            differences = differences + np.bitwise_count((queries[query] ^ bits[node]) & mask[node])
-            near = differences <= radius
+            apart = (queries[query] ^ bits[node]) & mask[node]
+            differences = differences + np.bitwise_count(apart)
+            near = (differences <= radius) & ((apart & self.shared) == 0)
             if skip is not None:
                 near &= ~skip(level, query, node)
             query, node, differences = query[near], node[near], differences[near]
         return query, node
 
 
-def forest(codes: np.ndarray, radius: int, queries: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all codes within the radius of each other, one at most for each code.
+def forest(codes: np.ndarray, radius: int, queries: np.ndarray | None = None, shared: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all codes within the radius of each other that agree on ``shared``, one at most for each code.
 
     With ``queries``, only pairs of a query and a code count. Queries go through
     the index in blocks; a branch whose codes are all connected with the query
     already is left out, so a large group of near copies costs one link a code.
     """
-    index = GrayIndex(codes)
+    index = GrayIndex(codes, shared=shared)
     own = index.codes
     every = own if queries is None else np.unique(np.concatenate([own, queries]))
     at = np.arange(len(own)) if queries is None else np.searchsorted(every, own)
@@ -160,79 +167,98 @@ def forest(codes: np.ndarray, radius: int, queries: np.ndarray | None = None) ->
     return every[linked], every[label[linked]]
 
 
-def _small_groups(codes: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``group``, none of them long."""
-    a, b = [], []
-    for step in range(1, SMALL_GROUP):
-        same = np.flatnonzero(group[step:] == group[:-step])
-        if not len(same):
-            break
-        near = same[np.bitwise_count(codes[same] ^ codes[same + step]) <= radius]
-        a.append(codes[near])
-        b.append(codes[near + step])
-    return (np.concatenate(a), np.concatenate(b)) if a else (codes[:0], codes[:0])
-
-
-def _cells(frame: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Links within whole cells; ``frame`` is sorted by cell."""
-    codes, cell, side = frame.fp.to_numpy().view(np.uint64), frame.cell.to_numpy(), frame.side.to_numpy()
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    sizes = np.diff(np.r_[starts, len(cell)])
-    crossed = np.maximum.reduceat(side, starts) > 0
-    small = (sizes < SMALL_GROUP) & ~crossed
-    in_small = np.repeat(small, sizes)
-    found = [_small_groups(codes[in_small], cell[in_small], radius)]
-    for start, size, two in zip(starts[~small], sizes[~small], crossed[~small], strict=True):
-        rows, sides = codes[start : start + size], side[start : start + size]
-        if not two:
-            found.append(forest(rows, radius))
-        elif (sides == 1).any() and (sides == 2).any():
-            found.append(forest(rows[sides == 1], radius, rows[sides == 2]))
-    a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-    return pd.DataFrame({"a": a, "b": b})
+def agreeing_masks(bits: list[int], radius: int, agreeing: int) -> list[int]:
+    """Masks of which every two codes that differ in ``radius`` of the ``bits`` or fewer agree on one at least.
+
+    The bits are cut into ``radius + agreeing`` blocks, of which so many
+    differences leave ``agreeing`` untouched; each such choice is a mask.
+    """
+    blocks = radius + agreeing
+    parts = [sum(1 << bit for bit in bits[len(bits) * i // blocks : len(bits) * (i + 1) // blocks]) for i in range(blocks)]
+    return [sum(chosen) for chosen in combinations(parts, agreeing)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _cells(frame: pd.DataFrame, radius: int) -> Iterator[pd.DataFrame]:
+    """Links within whole cells of one mask; ``frame`` is sorted by cell.
+
+    Cells side by side share one index, in which the mask keeps them apart.
+    The two parts of a cut cell are searched against each other.
+    """
+    shared = int(frame["mask"].iloc[0]) & 0xFFFFFFFFFFFFFFFF
+    codes, side = frame.fp.to_numpy().view(np.uint64), frame.side.to_numpy()
+    if (side == 0).any():
+        yield _links(*forest(np.unique(codes[side == 0]), radius, shared=shared))
+    for _, two in frame[side > 0].groupby(["pattern", "p", "q"], sort=False):
+        rows, of = two.fp.to_numpy().view(np.uint64), two.side.to_numpy()
+        if (of == 1).any() and (of == 2).any():
+            yield _links(*forest(rows[of == 1], radius, rows[of == 2], shared))
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
 def hamming_links(codes: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) that connect all distinct ``fp`` within ``radius`` bits, if not each pair.
 
-    Two codes within the radius agree on one of ``radius + 1`` blocks of bits,
-    so the block and its pattern are the top of the index and the key of the
-    shuffle. Below, each key's codes form a hierarchical index in Gray order.
-    Keys with more than ``cell_rows`` codes are cut into parts by a hash; each
-    part is one cell, and each two parts another, so that no task gets a whole
-    hot key and no pair is lost.
+    Of five blocks of bits, two codes within three bits agree on two, so each
+    choice of two blocks is a mask, and a mask with the bits that a code has
+    there is a cell and the key of the shuffle: ten rows a code. A cell of more than
+    ``cell_rows`` codes is cut by blocks of its other bits in the same way, into
+    cells of twenty finer masks. Where codes crowd even there, the
+    cell is cut into parts by a hash; each part is a cell, and each two parts
+    another, so that no task gets a whole hot cell and no pair is lost.
+    Cells side by side in a partition go through one hierarchical index in Gray
+    order; every link comes from a search there.
     """
-    blocks = radius + 1
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    keys = [
-        F.struct(F.lit(i).cast("long").alias("block"), F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("pattern"))
-        for i in range(blocks)
-    ]
-    keyed = codes.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.block", "key.pattern")
-    hot = stored(keyed.groupBy("block", "pattern").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows).withColumn("parts", F.ceil(F.col("n") / cell_rows)))
-    cut = keyed.join(hot, ["block", "pattern"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))))
+    bits = list(range(64))
+    masks = agreeing_masks(bits, radius, AGREEING)
+    finer = {_signed(m): [_signed(m | x) for x in agreeing_masks([b for b in bits if not m >> b & 1], radius, FINER)] for m in masks}
+    cell = ["mask", "pattern"]
+    keyed = lambda frame, of: frame.select("fp", F.explode(of).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"))
+    crowded = lambda frame: stored(frame.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows))
+    wide = keyed(codes, F.array(*(F.lit(_signed(m)) for m in masks)))
+    hot = crowded(wide)
+    below = F.create_map(*(x for m, of in finer.items() for x in (F.lit(m), F.array(*map(F.lit, of)))))
+    narrow = keyed(wide.join(hot, cell, "left_semi"), F.element_at(below, F.col("mask")))
+    hotter = crowded(narrow).withColumn("parts", F.ceil(F.col("n") / cell_rows)).drop("n")
+    whole = wide.join(hot, cell, "left_anti").withColumn("parts", F.lit(1).cast("long"))
+    rows = whole.unionByName(narrow.join(hotter, cell, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))))
+    cut = rows.withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
     others = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1),
+        F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
         lambda other: F.struct(
             F.least("part", other).alias("p"),
             F.greatest("part", other).alias("q"),
             F.when(F.col("part") == other, 0).when(F.col("part") < other, 1).otherwise(2).alias("side"),
         ),
     )
-    dealt = cut.select("fp", "block", "pattern", F.explode(others).alias("x")).select("fp", F.xxhash64("block", "pattern", "x.p", "x.q").alias("cell"), "x.side")
+    dealt = cut.select("fp", *cell, F.explode(others).alias("x")).select("fp", *cell, "x.*")
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held: list[pd.DataFrame] = []
         for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            whole = int(np.searchsorted(frame.cell.to_numpy(), frame.cell.iloc[-1])) if len(frame) else 0
-            rest = frame.iloc[whole:]
-            if whole:
-                yield _cells(frame.iloc[:whole], radius)
-        if rest is not None and len(rest):
-            yield _cells(rest, radius)
-
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInPandas(link, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+            held.append(frame)
+            while sum(map(len, held)) >= cell_rows:
+                together = pd.concat(held, ignore_index=True)
+                breaks = np.flatnonzero(np.logical_or.reduce([np.diff(together[c].to_numpy()) != 0 for c in (*cell, "p", "q")])) + 1
+                # Up to where the mask changes, or else to the last cell that is known to be whole.
+                turns = np.flatnonzero(np.diff(together["mask"].to_numpy())) + 1
+                end = int(turns[0]) if len(turns) else int(breaks[-1]) if len(breaks) else 0
+                held = [together.iloc[end:]]
+                if not end:
+                    break
+                yield from _cells(together.iloc[:end], radius)
+        if held:
+            together = pd.concat(held, ignore_index=True)
+            for _, part in together.groupby("mask", sort=False):
+                yield from _cells(part, radius)
+
+    return dealt.repartition(*cell, "p", "q").sortWithinPartitions(*cell, "p", "q").mapInPandas(link, "a long, b long").filter("a is not null")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -57,7 +58,34 @@ def test_index_finds_all(seed):
     assert found == {(int(a), int(b)) for a in codes for b in codes if bin(int(a) ^ int(b)).count("1") <= 3}
 
 
-@pytest.mark.parametrize("cell_rows", [20_000, 7])
+def test_index_with_shared_bits():
+    codes = np.array(near_codes(3, 6, 120), np.uint64)
+    shared = simhash.agreeing_masks(list(range(64)), 3, 2)[4]
+    index = simhash.GrayIndex(codes, shared=shared)
+    query, leaf = index.search(codes, 3)
+    near = lambda a, b: bin(a ^ b).count("1") <= 3 and not (a ^ b) & shared
+    assert {(int(codes[q]), int(index.codes[n])) for q, n in zip(query, leaf)} == {(a, b) for a in map(int, codes) for b in map(int, codes) if near(a, b)}
+
+
+def test_masks_leave_no_pair_out():
+    random.seed(5)
+    for bits, agreeing in ((list(range(64)), 2), (list(range(11, 49)), 3)):
+        masks = simhash.agreeing_masks(bits, 3, agreeing)
+        for _ in range(500):
+            apart = sum(1 << b for b in random.sample(bits, 3))
+            assert any(not apart & m for m in masks)
+
+
+def test_every_link_comes_from_the_index(monkeypatch):
+    codes = np.array(near_codes(2, 9, 30), np.uint64).view(np.int64)
+    mask = simhash.agreeing_masks(list(range(64)), 3, 2)[0]
+    frame = pd.DataFrame({"fp": codes, "mask": mask, "pattern": codes & mask, "p": 0, "q": 0, "side": 0}).sort_values("pattern")
+    assert sum(len(f) for f in simhash._cells(frame, 3)) > 0
+    monkeypatch.setattr(simhash.GrayIndex, "search", lambda self, queries, radius, skip=None: (np.zeros(0, np.int64),) * 2)
+    assert sum(len(f) for f in simhash._cells(frame, 3)) == 0
+
+
+@pytest.mark.parametrize("cell_rows", [20_000, 60, 7])
 def test_links_connect_the_same_components(spark, cell_rows):
     codes = near_codes(11, 8, 60)
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
