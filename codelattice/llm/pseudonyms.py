@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date, timedelta
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +99,21 @@ def _valid_ssn(number: int) -> bool:
     return area not in (0, 666) and area < 900 and group > 0 and serial > 0
 
 
+def _group(day: date) -> tuple[int, int]:
+    """What the spellings of a date tell of it: digits of the day and whether it is no month's number, digits of the month."""
+    return (day.day > 9) + (day.day > 12), int(day.month > 9)
+
+
+@cache
+def _days() -> dict[tuple[int, int], list[date]]:
+    """All days by their group, in order."""
+    groups: dict[tuple[int, int], list[date]] = {}
+    for n in range((LAST_DAY - FIRST_DAY).days + 1):
+        day = FIRST_DAY + timedelta(n)
+        groups.setdefault(_group(day), []).append(day)
+    return groups
+
+
 def _refill(shape: str, characters: str) -> str:
     """``shape`` with its letters and digits replaced in order."""
     fresh = iter(characters)
@@ -172,29 +189,29 @@ class Pseudonyms:
     def _date(self, value: str, back: bool) -> str | None:
         """A day of the years 1900 to 2099, written in the same way.
 
-        With slashes the month comes first, unless only the other order is a date.
+        With slashes the month comes first, unless only the other order is a
+        date. Days are permuted within their ``_group``, whatever the spelling,
+        so equal dates stay equal and every spelling stays one of its kind.
         """
-        parts = [int(p) for p in re.split(r"[-/.]", value)]
-        if parts[0] > 31:
+        parts = re.split(r"[-/.]", value)
+        if len(parts[0]) > 2:
             order = "ymd"
         elif "." in value:
             order = "dmy"
         else:
-            order = "mdy" if parts[0] <= 12 else "dmy"
+            order = "mdy" if int(parts[0]) <= 12 else "dmy"
         named = dict(zip(order, parts, strict=True))
         try:
-            day = date(named["y"], named["m"], named["d"])
+            day = date(*(int(named[c]) for c in "ymd"))
         except ValueError:
             return None
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        at = lambda n: FIRST_DAY + timedelta(n)
-        late = order == "dmy" and "/" in value  # such a day is over 12: else it would be read the other way
-        number = self.feistel.within((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, f"date{late}", lambda n: not late or at(n).day > 12, back)
-        fresh = at(number)
-        new = {"y": f"{fresh.year:04d}", "m": f"{fresh.month:02d}", "d": f"{fresh.day:02d}"}
-        marks = re.findall(r"[-/.]", value)
-        return f"{new[order[0]]}{marks[0]}{new[order[1]]}{marks[1]}{new[order[2]]}"
+        group = _group(day)
+        days = _days()[group]
+        fresh = days[self.feistel.permute(bisect_left(days, day), len(days), f"date{group}", back)]
+        digits = {"y": f"{fresh.year:04d}", "m": f"{fresh.month:0{len(named['m'])}d}", "d": f"{fresh.day:0{len(named['d'])}d}"}
+        return _refill(value, "".join(digits[c] for c in order))
 
     def _phone(self, value: str, back: bool) -> str | None:
         digits = re.sub(r"\D", "", value)
@@ -252,7 +269,11 @@ def pseudonymise(docs: DataFrame, key: bytes, passed: list[str] | None = None) -
     is a number within its format and goes through a keyed Feistel permutation
     of all such numbers: marks, lengths and cases stay, check digits are made
     anew, and two values have the same pseudonym just if they are equal, in
-    any document and with any spacing.
+    any document and with any spacing or, for dates, spelling. Days are
+    permuted among those with as many digits in day and month, days over 12
+    among themselves, so that a date can be read in one way only. The domain
+    of an e-mail address, the country of an IBAN and the country code of a
+    phone number stay.
 
     Rows are independent: no shuffle, no table of pseudonyms. Edge cases: a
     null text stays null with nothing found, an empty one empty. In very long
