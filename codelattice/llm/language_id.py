@@ -15,6 +15,7 @@ from codelattice.llm.common import in_training, is_held_out, table, text_batches
 
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 8.0
+LEAST_WORD = -30.0
 MIN_SCRIPT_SHARE = 0.01
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
@@ -66,7 +67,7 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word under each language, relative to its best; -inf for languages that don't use its script.
 
-        A word in a script of no learned language scores 0 for all.
+        A word in a script of no learned language scores 0 for all: see ``read``.
         """
         bucket, sizes = sequences(words)
         if not len(words) or not self.languages:
@@ -77,6 +78,10 @@ class Model:
         best = sums.max(1, keepdims=True)
         return np.where(np.isfinite(best), sums - np.where(np.isfinite(best), best, 0), 0).astype(np.float32)
 
+    def read(self, words: list[str]) -> np.ndarray:
+        """Whether a learned language uses the word's script."""
+        return self.uses[script_of(words)].any(1)
+
 
 def best_paths(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """The language of each word of each text: highest sum of word scores less ``penalty`` for each change.
@@ -166,41 +171,51 @@ def label_batch(texts: list[str], model: Model, penalty: float) -> list[tuple[st
     """(language, score, spans) of each text; a span is a language, its first word and the word after its last."""
     words = [words_of(text) for text in texts]
     flat = np.array([w for one in words for w in one], object)
+    if not len(flat) or not model.languages:
+        return [(UNKNOWN, 0.0, [])] * len(texts)
     codes, distinct = pd.factorize(flat)
     letters = np.array([sum(map(str.isalpha, w)) for w in distinct], np.int64)
-    scores = model.word_scores(list(distinct))
+    scores, known = model.word_scores(list(distinct)), model.read(list(distinct))
     ends = np.cumsum([len(w) for w in words])
     parts = np.split(codes, ends[:-1])
-    paths = best_paths([scores[p] for p in parts], penalty) if model.languages else [np.zeros(len(p), np.int64) for p in parts]
+    paths = best_paths([scores[p] for p in parts], penalty)
     out = []
     for part, path in zip(parts, paths, strict=True):
         weight = letters[part] if len(part) else np.zeros(0)
-        if not weight.sum() or not model.languages:
+        if not weight.sum():
             out.append((UNKNOWN, 0.0, []))
             continue
-        share = np.bincount(path, weight, len(model.languages)) / weight.sum()
+        share = np.bincount(path, weight * known[part], len(model.languages)) / weight.sum()
         top = int(share.argmax())
+        mine = part[(path == top) & known[part]]
+        mean = np.maximum(scores[mine], LEAST_WORD).mean(0, dtype=np.float64) if len(mine) else np.zeros(1)
+        sure = 1 / np.exp(mean - mean[top if len(mine) else 0]).sum()
         cuts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
         spans = [(model.languages[path[a]], int(a), int(b)) for a, b in zip(cuts, np.r_[cuts[1:], len(path)], strict=True)]
-        out.append((model.languages[top], float(share[top]), spans))
+        out.append((model.languages[top], float(share[top] * sure), spans))
     return out
 
 
-def identify(docs: DataFrame, training: Column, penalty: float = SWITCH_PENALTY, passed: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, training: Column | Model, penalty: float = SWITCH_PENALTY, passed: list[str] | None = None) -> DataFrame:
     """Each row with ``lang_pred``, ``score`` and ``spans``.
 
-    The model is learned from the rows where ``training`` holds. Words (runs of
+    The model is learned from the rows where ``training`` holds, unless it is
+    given itself. Words (runs of
     letters, in lower case) are scored by the languages that use their script.
     Viterbi's algorithm finds the sequence of languages with the highest sum
     of word scores less ``penalty`` for each change; its runs are the spans.
-    lang_pred has the most letters and score is its share of them. Equal
-    shares go to the language first by name.
+    lang_pred has the most letters. score is its share of all letters, times
+    the probability of an average one of its words under it, over the sum of
+    these under all languages: near 1 for plain text of one language, lower
+    for mixed text and for words that any language might have. Letters of
+    scripts that no language uses are in no share, so a text of these
+    alone has score 0. Equal shares go to the language first by name.
 
     Prediction reads the text alone, without a shuffle. Edge cases: a null
     text, one without letters, or no training rows give ``und`` with score 0
     and no spans. Columns of the new names are replaced, others pass.
     """
-    model = learn(docs.filter(training))
+    model = training if isinstance(training, Model) else learn(docs.filter(training))
     fresh = ["lang_pred", "score", "spans"]
     own = [c for c in (passed if passed is not None else docs.columns) if c not in fresh]
     rows = docs.select(F.struct(*own).alias("row"), F.col("text"))
@@ -218,9 +233,17 @@ def identify(docs: DataFrame, training: Column, penalty: float = SWITCH_PENALTY,
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The rows whose text has a language."""
-    found = identify(docs, in_training(F.col("doc_id"), MODULUS, HELD_OUT))
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    """The rows whose text has a letter, so that it has a language.
+
+    The languages are learned from the rows with a lang, but for those held
+    out. Where no row has one, nothing can be told apart and all rows stay that
+    have a letter. Null and empty texts go; repeated rows and null ids are
+    judged by their texts.
+    """
+    model = learn(docs.filter(in_training(F.col("doc_id"), MODULUS, HELD_OUT)))
+    if not model.languages:
+        return docs.filter(F.regexp_like("text", F.lit(r"\p{L}")))
+    return identify(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
