@@ -43,6 +43,7 @@ def suffix_order(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.n
     new = np.r_[True, key[order][1:] != key[order][:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    by_step = [rank.astype(np.int32)]  # equal just for suffixes that agree in the first 1, 2, 4, ... words
     k = 1
     while True:
         starts = np.flatnonzero(new)
@@ -59,44 +60,24 @@ def suffix_order(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.n
         first, second = first[within], second[within]
         new[slots] = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
         rank[order[slots]] = np.maximum.accumulate(np.where(new, np.arange(n), 0))[slots]
+        by_step.append(rank.astype(np.int32))
         k *= 2
-    return order, _common(words, owner, end, order, rank)
+    return order, _common(owner, end, order, by_step)
 
 
-def _common(words: np.ndarray, owner: np.ndarray, end: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Longest common prefixes of neighbours, all pairs advanced together in growing steps."""
-    n = len(words)
-    common = np.zeros(n, np.int64)
+def _common(owner: np.ndarray, end: np.ndarray, order: np.ndarray, by_step: list[np.ndarray]) -> np.ndarray:
+    """Longest common prefixes of neighbours: from the longest step to the shortest, what still agrees by rank is taken."""
+    common = np.zeros(len(order), np.int64)
     a, b = order[:-1], order[1:]
-    open_ = np.flatnonzero(owner[a] == owner[b])
-    if not len(open_):
-        return common
-    a, b = a[open_], b[open_]
-    room = np.minimum(end[a] - a, end[b] - b)
-    got = np.zeros(len(open_), np.int64)
-    # Prefix sums of hashed words tell whether whole stretches are equal.
-    mixed = (words.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    base, inverse = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-    powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, base)])
-    back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, inverse)])
-    sums = np.r_[np.uint64(0), np.cumsum(mixed * powers[:n], dtype=np.uint64)]
-    live, step = np.arange(len(open_)), 1
-    while len(live):  # double while equal
-        x, y, take = a[live] + got[live], b[live] + got[live], np.minimum(step, room[live] - got[live])
-        same = ((sums[x + take] - sums[x]) * back[x] == (sums[y + take] - sums[y]) * back[y]) & (take > 0)
-        got[live[same]] += take[same]
-        live = live[same & (take == step)]
-        step *= 2
-    top = step
-    while top >= 1:  # then halve to the exact length
-        take = np.minimum(top, room - got)
+    both = np.flatnonzero(owner[a] == owner[b])
+    a, b = a[both], b[both]
+    got = np.zeros(len(both), np.int64)
+    for step in range(len(by_step) - 1, -1, -1):
         x, y = a + got, b + got
-        same = ((sums[x + take] - sums[x]) * back[x] == (sums[y + take] - sums[y]) * back[y]) & (take > 0)
-        got[same] += take[same]
-        top //= 2
-    common[open_ + 1] = got
+        inside = np.flatnonzero((x < end[a]) & (y < end[b]))
+        same = inside[by_step[step][x[inside]] == by_step[step][y[inside]]]
+        got[same] += 1 << step
+    common[both + 1] = got
     return common
 
 

@@ -33,6 +33,16 @@ def test_suffix_array_is_sorted():
         assert c == (shared if a == b else 0)
 
 
+def test_common_prefixes_of_structured_repeats():
+    """Sequences that sums modulo powers of two can't tell apart."""
+    words = np.array([bin(i).count("1") & 1 for i in range(4096)] + [1 - (bin(i).count("1") & 1) for i in range(4096)])
+    owner = np.zeros(len(words), np.int64)
+    order, common = rules.suffix_order(words, owner)
+    text = bytes(words.astype(np.uint8))
+    for a, b, c in zip(order, order[1:], common[1:]):
+        assert text[a : a + c] == text[b : b + c] and text[a : a + c + 1] < text[b : b + c + 1]
+
+
 def test_counts_against_brute_force():
     random.seed(2)
     texts = ["", " ", "a", "a " * 14, "a b " * 30, "x y z " * 15 + "end"]
