@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,14 +29,16 @@ CLASSES = {
     "entropy_base64": ("^[A-Za-z0-9+/=]+$", 3.75),
     "entropy_token": ("^[A-Za-z0-9+/=_-]+$", 3.85),
 }
-#: Strings that look random and are no secrets: plain identifiers and alphabets.
+#: What looks random and is no secret: whole candidates, and spans that hold alphabets or say that they are examples.
 ALLOWED = (
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    "0123456789|abcdefghij|ABCDEFGHIJ|EXAMPLE|example|placeholder|PLACEHOLDER",
     "^[0-9]+$",
-    "^[A-Za-z+/=_-]+$",
-    "^[a-z]+([-_/][a-z0-9]+)+$",
 )
+ALLOWED_SPANS = ("0123456789|abcdefghij|ABCDEFGHIJ", "EXAMPLE|example|PLACEHOLDER|placeholder")
+#: Candidates all of whose segments read like words of an identifier or a path: capitalised or not, some digits at the end, or a short number.
+SEGMENT_ENDS = "[+/=_-]"
+SEGMENT_DIGITS = "[0-9]{1,4}$"
+SEGMENT_WORDS = "[A-Z]?[a-z]{2,}|[A-Z]{2,}"
 KINDS = [*BASE, *CLASSES]
 
 
@@ -103,15 +106,22 @@ def entropy_span(string: Column, least: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(string)), start, advance, lambda s: F.when(s["first"].isNotNull(), F.struct(s["first"].alias("first"), s["last"].alias("last"))))
 
 
+def _made_of_words(string: Column) -> Column:
+    """Whether nothing is left of any segment without the digits at its end and without its words."""
+    return F.forall(F.split(string, SEGMENT_ENDS), lambda s: F.regexp_replace(F.regexp_replace(s, SEGMENT_DIGITS, ""), SEGMENT_WORDS, "") == "")
+
+
 def scan_secrets(docs: DataFrame, passed: list[str] | None = None) -> DataFrame:
     """Each row with ``secrets``, an array of (start, kind, end) in order, kind by its place in ``KINDS``.
 
     Places are code points from 0, ends exclusive. The patterns of ``BASE`` are
     matched from the left without overlap, and short matches dropped after
     that. Strings of 20 or more letters, digits and signs are candidates for
-    the entropy kinds; those that ``ALLOWED`` knows, or that overlap a base
-    span, are left out. The span of a candidate runs over all its windows whose
-    entropy reaches the bound of its class.
+    the entropy kinds; those that overlap a base span, that ``ALLOWED`` knows
+    or that are made of words are left out. The span of a candidate runs over
+    all its windows whose entropy reaches the bound of its class, unless
+    ``ALLOWED_SPANS`` knows something in the span. Random letters without a
+    digit that are not in mixed case look like a word and are not found.
 
     All of it is column expressions. Matches (not texts) are shuffled once, by
     row, to add up the lengths before each of them and to see overlaps, so a
@@ -142,10 +152,10 @@ def scan_secrets(docs: DataFrame, passed: list[str] | None = None) -> DataFrame:
         kind = F.when(F.regexp_like(string, F.lit(CLASSES[name][0])), F.lit(KINDS.index(name))).otherwise(kind)
     least = F.get(F.array(*(F.lit(CLASSES[k][1] if k in CLASSES else 0.0) for k in KINDS)), F.col("class"))
     free = (F.coalesce("_reached", F.lit(0)) <= F.col("start")) & (F.coalesce("_next", F.col("end")) >= F.col("end"))
-    allowed = F.lit(False)
-    for pattern in ALLOWED:
-        allowed = allowed | F.regexp_like(string, F.lit(pattern))
-    judged = seen.withColumn("class", F.when(~is_base & free & ~allowed, kind)).withColumn("_span", F.when(F.col("class").isNotNull(), entropy_span(string, least)))
+    matches_any = lambda text, patterns: reduce(Column.__or__, [F.regexp_like(text, F.lit(p)) for p in patterns])
+    judged = seen.withColumn("class", F.when(~is_base & free & ~matches_any(string, ALLOWED) & ~_made_of_words(string), kind)).withColumn("_span", F.when(F.col("class").isNotNull(), entropy_span(string, least)))
+    found = F.substr(string, F.col("_span.first"), F.col("_span.last") - F.col("_span.first") + 1)
+    judged = judged.withColumn("_span", F.when(~matches_any(found, ALLOWED_SPANS), F.col("_span")))
     span = F.when(is_base, F.struct("start", "kind", "end")).when(
         F.col("_span").isNotNull(),
         F.struct((F.col("start") + F.col("_span.first") - 1).alias("start"), F.col("class").alias("kind"), (F.col("start") + F.col("_span.last")).alias("end")),
@@ -200,7 +210,8 @@ base as (
 open_ones as (
   select doc_id, m, start from candidate c
   where not exists (select 1 from base b where b.doc_id = c.doc_id and b.start < c.stop and c.start < b.stop)
-  {"".join(f" and not regexp_matches(m, '{p}')" for p in ALLOWED)}),
+  {"".join(f" and not regexp_matches(m, '{p}')" for p in ALLOWED)}
+  and exists (select 1 from (select unnest(string_split_regex(m, '{SEGMENT_ENDS}')) as s) where regexp_replace(regexp_replace(s, '{SEGMENT_DIGITS}', ''), '{SEGMENT_WORDS}', '', 'g') <> '')),
 classed as (
   select *, case {" ".join(f"when regexp_matches(m, '{p}') then {KINDS.index(k)}" for k, (p, _) in CLASSES.items())} end as k from open_ones),
 starts as (select doc_id, m, start, k, unnest(range(1, length(m) - {WINDOW} + 2)) as q from classed),
@@ -210,8 +221,11 @@ bits as (select doc_id, start, k, q, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW
 high as (
   select doc_id, start, k, min(q) as a, max(q) as b from bits
   where h + 1e-9 >= case k {" ".join(f"when {KINDS.index(k)} then {h}" for k, (_, h) in CLASSES.items())} end group by doc_id, start, k),
+kept as (
+  select high.*, m[a:b + {WINDOW - 1}] as span from high join classed using (doc_id, start, k)),
 spans as (
-  select * from base union all select doc_id, k, start + a - 1, start + b - 1 + {WINDOW} from high),
+  select * from base union all select doc_id, k, start + a - 1, start + b - 1 + {WINDOW} from kept
+  where {" and ".join(f"not regexp_matches(span, '{p}')" for p in ALLOWED_SPANS)}),
 named as (
   select doc_id, k, start, (case k {" ".join(f"when {i} then '{k}'" for i, k in enumerate(KINDS))} end) || ':' || start || ':' || stop as s from spans)
 select d.doc_id, count(*) filter (k = 0)::bigint as n_assign, count(*) filter (k = 1)::bigint as n_access, count(*) filter (k = 2)::bigint as n_hex,
