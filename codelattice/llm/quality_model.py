@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import in_training, is_held_out, table, text_batches, texts_of
+from codelattice.llm.common import in_training, is_held_out, stored, table, text_batches, texts_of
 
 CHUNK, OVERLAP = 1024, 32
 WIDTH, STRIDE = 8, 4
 EMBEDDING, FILTERS = 8, 24
-#: Bounds of what training reads: rows of each label, and chunks of each row,
-#: taken evenly over the whole text.
+#: Bounds of the labelled rows that training reads, for each label: how many, and the bytes of their texts, which are read whole.
 SAMPLE_ROWS = 2000
-SAMPLE_CHUNKS = 2
+SAMPLE_BYTES = 8 << 20
 EPOCHS, STEP, BATCH = 10, 5e-3, 64
+SLICE_CHUNKS = 128
 THRESHOLD = 0.3
 MODULUS, HELD_OUT = 5, 0
 SLICE_BYTES = 1 << 20
@@ -96,35 +97,48 @@ class ByteNetwork:
         return self.probability(pooled)
 
     def gradients(self, chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean log loss of texts whose chunks are the rows where ``owner`` has their number."""
-        w, n = self.weights, len(labels)
-        out, seen = self.responses(chunks)
-        highest, places = out.max(1), out.argmax(1)
-        counts = np.bincount(owner, minlength=n).astype(np.float32)
-        pooled = np.zeros((n, 2 * FILTERS), out.dtype)
-        np.maximum.at(pooled[:, :FILTERS], owner, highest)
-        np.add.at(pooled[:, FILTERS:], owner, out.mean(1) / counts[owner][:, None])
+        """Of the mean log loss of texts whose chunks are the rows where ``owner`` has their number.
+
+        Chunks go through in slices, twice: the pooled responses are those of
+        whole texts, and a long text takes no more memory than a slice.
+        """
+        n = len(labels)
+        slices = [slice(i, i + SLICE_CHUNKS) for i in range(0, len(chunks), SLICE_CHUNKS)]
+        seen_once = [self.responses(chunks[slices[0]])] if len(slices) == 1 else None
+        pooled, counts, highest = np.zeros((n, 2 * FILTERS), self.weights["filters"].dtype), np.bincount(owner, minlength=n).astype(np.float32), []
+        for part in slices:
+            out, _ = seen_once[0] if seen_once else self.responses(chunks[part])
+            highest.append(out.max(1))
+            np.maximum.at(pooled[:, :FILTERS], owner[part], highest[-1])
+            np.add.at(pooled[:, FILTERS:], owner[part], out.mean(1) / counts[owner[part]][:, None])
         error = ((self.probability(pooled) - labels) / n).astype(np.float32)
         grads = {"top": pooled.T @ error, "offset": error.sum(keepdims=True)}
-        back = error[:, None] * w["top"]
+        back = error[:, None] * self.weights["top"]
+        below = {k: np.zeros(self.weights[k].shape, np.float64) for k in ("filters", "bias", "table")}
+        for part, top in zip(slices, highest, strict=True):
+            out, seen = seen_once[0] if seen_once else self.responses(chunks[part])
+            self._backwards(chunks[part], out, seen, top, owner[part], pooled, back, counts, below)
+        return grads | {k: v.astype(np.float32) for k, v in below.items()}
+
+    def _backwards(self, chunks, out, seen, highest, owner, pooled, back, counts, below) -> None:
+        """Adds the gradients of one slice of chunks to ``below``."""
         g = np.repeat((back[owner, FILTERS:] / counts[owner][:, None] / out.shape[1])[:, None], out.shape[1], 1)
-        wins = (highest == pooled[owner, :FILTERS]) & (highest > 0)
-        row, filter_ = np.nonzero(wins)
-        np.add.at(g, (row, places[row, filter_], filter_), back[owner[row], filter_])
+        row, filter_ = np.nonzero((highest == pooled[owner, :FILTERS]) & (highest > 0))
+        np.add.at(g, (row, out.argmax(1)[row, filter_], filter_), back[owner[row], filter_])
         g *= out > 0
         g = g.reshape(-1, FILTERS)
-        grads["filters"], grads["bias"] = seen.T @ g, g.sum(0)
-        to_bytes = (g @ w["filters"].T).reshape(len(chunks), -1, WIDTH, EMBEDDING)
+        below["filters"] += seen.T @ g
+        below["bias"] += g.sum(0)
+        to_bytes = (g @ self.weights["filters"].T).reshape(len(chunks), -1, WIDTH, EMBEDDING)
         spread = np.zeros((len(chunks), CHUNK, EMBEDDING), np.float32)
         for k in range(WIDTH):
             at = np.arange(to_bytes.shape[1]) * STRIDE + k
             spread[:, at] += to_bytes[:, :, k]
         flat, kinds = spread.reshape(-1, EMBEDDING), chunks.reshape(-1)
-        grads["table"] = np.stack([np.bincount(kinds, flat[:, e], 257) for e in range(EMBEDDING)], 1).astype(np.float32)
-        return grads
+        below["table"] += np.stack([np.bincount(kinds, flat[:, e], 257) for e in range(EMBEDDING)], 1)
 
-    def fit(self, texts: list[list[np.ndarray]], labels: np.ndarray, seed: int = 2) -> ByteNetwork:
-        """Adam over shuffled batches; ``texts`` are lists of chunks."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, seed: int = 2) -> ByteNetwork:
+        """Adam over shuffled batches of whole texts."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
@@ -133,9 +147,9 @@ class ByteNetwork:
             order = rng.permutation(len(texts))
             for start in range(0, len(order), BATCH):
                 picked = order[start : start + BATCH]
-                chunks = np.stack([c for i in picked for c in texts[i]])
-                owner = np.repeat(np.arange(len(picked)), [len(texts[i]) for i in picked])
-                grads = self.gradients(chunks, owner, labels[picked])
+                each = [chunks_of(texts[i]) for i in picked]
+                owner = np.repeat(np.arange(len(picked)), [len(c) for c in each])
+                grads = self.gradients(np.concatenate(each), owner, labels[picked])
                 t += 1
                 rate = STEP * (1 - epoch / EPOCHS)
                 for k, g in grads.items():
@@ -145,35 +159,22 @@ class ByteNetwork:
         return self
 
 
-def sample_chunks(text: str, most: int = SAMPLE_CHUNKS) -> list[np.ndarray]:
-    every = chunks_of(text.encode())
-    if len(every) > most:
-        every = every[np.linspace(0, len(every) - 1, most).astype(int)]
-    return [np.array(c) for c in every]
-
-
 def _constant(network: ByteNetwork, offset: float) -> ByteNetwork:
     network.weights["top"][:] = 0
     network.weights["offset"][:] = offset
     return network
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows_a_label: int = SAMPLE_ROWS) -> ByteNetwork:
+def learn(docs: DataFrame, labels: DataFrame, rows_a_label: int = SAMPLE_ROWS, bytes_a_label: int = SAMPLE_BYTES) -> ByteNetwork:
     """The network fitted to a bounded sample of the texts that have a quality of 0 or 1.
 
     Of each label, the ``rows_a_label`` rows with the smallest hash of their id
-    are taken, and of each row ``SAMPLE_CHUNKS`` chunks of ``CHUNK`` bytes, cut
-    in the workers; this bound is all that comes to the driver. Labels count
-    equally often in the fit and as often as in the table in the result, by
-    the offset. Where only one label has texts, every text scores close to it,
+    are looked at in that order and taken, with their whole texts, as long as
+    ``bytes_a_label`` hold them; these texts are all that comes to the driver. The score is
+    that of a table in which both labels are equally frequent: the rarer is
+    repeated in the fit, and the offset makes up for the rest. Where only one label has texts, every text scores close to it,
     and one half without any.
     """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
-            chunks = [[c.tobytes() for c in sample_chunks(text)] for text in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(chunks, pa.list_(pa.binary()))], ["quality", "chunks"])
-
     rows = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("quality").cast("int").alias("quality"), "doc_id")
     shares = {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}
     network = ByteNetwork()
@@ -182,18 +183,24 @@ def learn(docs: DataFrame, labels: DataFrame, rows_a_label: int = SAMPLE_ROWS) -
         return _constant(network, 0 if not total else (6 if 1 in shares else -6))
     ids = [rows.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_label) for q in (0, 1)]
     picked = ids[0].union(ids[1]).distinct()  # at most twice rows_a_label ids: fit to be broadcast
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", "text").mapInArrow(cut, "quality int, chunks array<binary>").toArrow()
-    quality = np.array(got.column("quality").to_pylist(), np.float32)
-    texts = [[np.frombuffer(c, np.int16) for c in chunks] for chunks in got.column("chunks").to_pylist()]
-    order = sorted(range(len(texts)), key=lambda i: (quality[i], [c.tobytes() for c in texts[i]]))  # the same fit however rows arrive
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    found = stored(found.select("quality", F.xxhash64("doc_id").alias("turn"), F.xxhash64("text").alias("tie"), "text", F.octet_length("text").cast("long").alias("size")))
+    # Sizes alone tell which rows go in; ids that the table repeats may bring more rows than were picked.
+    before = Window.partitionBy("quality").orderBy("turn", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fitting = found.filter(F.col("size") <= bytes_a_label).select("quality", "turn", "tie", "size").withColumn("reached", F.sum("size").over(before)).withColumn("place", F.row_number().over(Window.partitionBy("quality").orderBy("turn", "tie")))
+    last = {r.quality: r for r in fitting.filter((F.col("reached") <= bytes_a_label) & (F.col("place") <= rows_a_label)).groupBy("quality").agg(F.max_by(F.struct("turn", "tie"), "place").alias("last")).collect()}
+    taken = reduce(Column.__or__, [(F.col("quality") == q) & (F.struct("turn", "tie") <= F.struct(F.lit(r.last.turn), F.lit(r.last.tie))) for q, r in last.items()], F.lit(False))
+    got = found.filter((F.col("size") <= bytes_a_label) & taken).select("quality", F.col("text").cast("binary").alias("text")).toArrow()
+    pairs = sorted(zip(got.column("quality").to_pylist(), got.column("text").to_pylist(), strict=True))  # the same fit however rows arrive
+    quality, texts = np.array([q for q, _ in pairs], np.float32), [t for _, t in pairs]
     if len(set(quality.tolist())) < 2:  # labels without texts
         return _constant(network, 0 if not len(quality) else (6 if quality[0] else -6))
     rare = min((0, 1), key=lambda q: int((quality == q).sum()))
     times = int(np.clip(np.round((quality != rare).sum() / max(1, (quality == rare).sum())), 1, 10))
-    use = np.array([i for i in order for _ in range(times if quality[i] == rare else 1)])
+    use = np.array([i for i, q in enumerate(quality) for _ in range(times if q == rare else 1)])
     network.fit([texts[i] for i in use], quality[use])
     fitted = quality[use].mean()
-    network.weights["offset"] += np.float32(np.log(shares[1] / shares[0]) - np.log(fitted / (1 - fitted)))
+    network.weights["offset"] -= np.float32(np.log(fitted / (1 - fitted)))
     return network
 
 
