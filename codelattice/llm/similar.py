@@ -21,7 +21,7 @@ SIMILARITY = 0.8
 SAMPLE_TEXTS = 5_000
 COMMON_IN_SAMPLE = 3
 COMMON_MOST = 100_000
-BUCKETS = 512
+PARITY_BITS = 128
 
 
 def shingle_set(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -34,6 +34,12 @@ def text_node(text: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split()))).view(np.int64))
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Two longs of bits, each the parity of how many shingles fall to it."""
+    odd = np.bincount((own % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def least_common(size: np.ndarray, other: np.ndarray, similarity: Fraction) -> np.ndarray:
     """How many shingles two sets of these sizes share at least if they are ``similarity`` alike."""
     top, bottom = similarity.numerator, similarity.numerator + similarity.denominator
@@ -56,8 +62,13 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _pairs(frame: pd.DataFrame, similarity: Fraction) -> Iterator[pd.DataFrame]:
-    """Candidates among rows of equal ``key``; ``frame`` is sorted by key and size and holds whole keys."""
+    """Candidates among rows of equal ``key``; ``frame`` is sorted by key and size and holds whole keys.
+
+    A shingle that one set of a pair has alone changes one parity, so sets with
+    more different parities than shingles that may be apart are no pair.
+    """
     key, node, root, size, at = (frame[c].to_numpy() for c in ("key", "node", "root", "size", "at"))
+    odd = np.ascontiguousarray(frame[["odd0", "odd1"]].to_numpy()).view(np.uint64)
     size, at = size.astype(np.int64), at.astype(np.int64)
     first, step = np.arange(len(key)), 0
     while len(first):
@@ -68,14 +79,18 @@ def _pairs(frame: pd.DataFrame, similarity: Fraction) -> Iterator[pd.DataFrame]:
         open_ = (key[first] == key[second]) & (size[first] * similarity.denominator >= size[second] * similarity.numerator)
         first, second = first[open_], second[open_]
         reach = np.minimum(at[first], at[second]) + 1 + np.minimum(size[first] - at[first], size[second] - at[second]) - 1
-        good = (root[first] != root[second]) & (reach >= least_common(size[first], size[second], similarity))
+        common = least_common(size[first], size[second], similarity)
+        good = (root[first] != root[second]) & (reach >= common)
+        first_good, second_good, common = first[good], second[good], common[good]
+        apart = np.bitwise_count(odd[first_good] ^ odd[second_good]).sum(1, dtype=np.int64)
+        good[good] = apart <= size[first_good] + size[second_good] - 2 * common
         if good.any():
             a, b = node[first[good]], node[second[good]]
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
 def signatures(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """(doc_id, fp, node, size, keys, counts) of each row: op3's fingerprint, a hash of the words, the first shingles of the text's set, and how many of the set fall in each of ``BUCKETS``.
+    """(doc_id, fp, node, size, keys, odd0, odd1) of each row: op3's fingerprint, a hash of the words, the first shingles of the text's set, and its parities.
 
     Two sets that are ``similarity`` alike share one shingle at least among the
     first ``size - ceil(similarity * size) + 1`` of each, in any order common to
@@ -89,10 +104,10 @@ def signatures(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
         by_hash = np.argsort(common)
         known = common[by_hash]
         for batch in text_batches(batches):
-            texts, keys, sizes, counts = texts_of(batch), [], [], []
+            texts, keys, sizes, odd = texts_of(batch), [], [], []
             for text in texts:
                 own = shingle_set(text, words)
-                counts.append(np.minimum(np.bincount((own % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
+                odd.append(parities(own))
                 if len(known) and len(own):
                     place = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     late = known[place] == own
@@ -107,16 +122,16 @@ def signatures(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
                 pa.array([text_node(t) for t in texts], pa.int64()),
                 pa.array(sizes, pa.int32()),
                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))),
-                pa.array(counts, pa.binary()),
+                *map(pa.array, np.stack(odd, 1)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "size", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "size", "keys", "odd0", "odd1"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, fp long, node long, size int, keys array<long>, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, fp long, node long, size int, keys array<long>, odd0 long, odd1 long")
 
 
 def candidates(signed: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b), nodes of different ``root`` that share a key and may be alike by sizes and places.
+    """(a, b), nodes of different ``root`` that share a key and may be alike by sizes, places and parities.
 
     Only keys are shuffled. The pairs of one key are gone through step by step,
     so a key costs the square of its texts of like size, and no more memory
@@ -137,32 +152,10 @@ def candidates(signed: DataFrame, similarity: Fraction) -> DataFrame:
         if held:
             yield from _pairs(pd.concat(held, ignore_index=True), similarity)
 
-    rows = signed.select("node", "root", "size", F.posexplode("keys").alias("at", "key"))
+    rows = signed.select("node", "root", "size", "odd0", "odd1", F.posexplode("keys").alias("at", "key"))
     return rows.repartition("key").sortWithinPartitions("key", "size").mapInPandas(meet, "a long, b long").distinct()
 
 
-def bounded(pairs: DataFrame, signed: DataFrame, similarity: Fraction) -> DataFrame:
-    """The ``pairs`` that ``counts`` leave open, before any text is read.
-
-    The counts of two sets differ by no more than the number of shingles that
-    one of them has alone, so no pair that is alike goes.
-    """
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            of = lambda c: np.frombuffer(b"".join(batch.column(f"counts_{c}").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
-            total = batch.column("total").to_numpy().astype(np.int64)
-            apart = np.abs(of("a") - of("b")).sum(1, dtype=np.int64)
-            common = least_common(total, np.zeros_like(total), similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(apart <= total - 2 * common))
-
-    of = lambda c: signed.select(F.col("node").alias(c), F.col("counts").alias(f"counts_{c}"), F.col("size").alias(f"size_{c}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
-    return met.select("a", "b", "counts_a", "counts_b", (F.col("size_a") + F.col("size_b")).alias("total")).mapInArrow(compare, "a long, b long")
-
-
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose whole sets of shingles are alike."""
 
@@ -191,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: flo
     Two texts are linked as by ``simhash.near_duplicates``, or if their sets of
     ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
     All such pairs are found: those that op3's links do not join already are
-    searched for by shared shingles, bounded by counts and verified by their whole sets.
+    searched for by shared shingles, bounded by parities and verified by their whole sets.
 
     Edge cases: as in ``simhash.near_duplicates``. Texts with the same words in
     order are one node, and texts without words have no shingles.
@@ -200,10 +193,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: flo
     signed = stored(signatures(docs, words, exact))
     classes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = stored(connected_components(hamming_links(classes.select("fp"))).withColumnRenamed("node", "fp"))
-    nodes = signed.filter(F.col("size") > 0).select("node", "fp", "size", "keys", "counts").dropDuplicates(["node"])
-    rooted = stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("node", "root", "size", "keys", "counts"))
-    pairs = stored(bounded(stored(candidates(rooted, exact)), rooted, exact))
+    nodes = signed.filter(F.col("size") > 0).drop("doc_id").dropDuplicates(["node"]).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    pairs = stored(candidates(nodes, exact))
     alike = stored(verified(docs, pairs, words, exact))
+    rooted = signed.select("node", "fp").distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of = lambda c: rooted.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     links = alike.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     tops = stored(connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("top")))

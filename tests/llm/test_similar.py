@@ -55,11 +55,22 @@ def test_against_brute_force(spark):
 
 def test_pairs_of_a_key_are_bounded_by_size():
     exact = Fraction(4, 5)
-    rows = pd.DataFrame({"key": [1, 1, 1, 2, 2], "node": [1, 2, 3, 2, 1], "root": [1, 2, 3, 2, 1], "size": [10, 10, 13, 10, 10], "at": [0, 0, 0, 1, 1]})
+    rows = pd.DataFrame({"key": [1, 1, 1, 2, 2], "node": [1, 2, 3, 2, 1], "root": [1, 2, 3, 2, 1], "size": [10, 10, 13, 10, 10], "at": [0, 0, 0, 1, 1], "odd0": 0, "odd1": [0, 1, 0, 1, 0]})
     assert {(a, b) for f in similar._pairs(rows, exact) for a, b in f.itertuples(index=False)} == {(1, 2)}
     assert similar.least_common(np.array([9]), np.array([9]), exact)[0] == 8
 
 
+def test_parities_bound_the_difference():
+    random.seed(4)
+    for _ in range(200):
+        one = {random.getrandbits(64) for _ in range(random.randrange(1, 300))}
+        other = {x for x in one if random.random() < 0.8} | {random.getrandbits(64) for _ in range(random.randrange(40))}
+        a, b = (similar.parities(np.array(sorted(x), np.uint64)) for x in (one, other))
+        assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(one ^ other)
+    rows = pd.DataFrame({"key": 1, "node": [1, 2], "root": [1, 2], "size": [10, 10], "at": 0, "odd0": [0, 7], "odd1": 0})
+    assert not list(similar._pairs(rows, Fraction(4, 5)))
+
+
 def test_edges(spark):
     frame = clashing(edge_docs(spark), "node", "root", "key")
     rows = similar.near_duplicates(frame).collect()
