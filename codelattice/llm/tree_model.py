@@ -14,47 +14,158 @@ from pyspark.sql import functions as F
 from codelattice.llm.common import in_training, is_held_out, stored, table, text_batches, texts_of
 
 DEPTH = 5
+#: Contexts of so many bytes are dealt to tasks with all longer ones; shorter ones are few.
+LEAST = 3
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
-COUNT_BYTES, SCORE_BYTES = 8 << 20, 2 << 20
-SHARD_NODES = 4_000_000
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 20
+COUNT_BYTES = 8 << 20
 FREQUENT_WORDS = 250_000
-CACHE_BITS = 21
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 19
 MODULUS, HELD_OUT = 5, 1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+# ---------------------------------------------------------------- blocks of texts
+
+
+def blocks_of(docs: DataFrame, training: Column, block_bytes: int) -> DataFrame:
+    """(block, rows) of ``docs``: texts of about ``block_bytes``, with their ids and whether they are learned from.
+
+    A block is a compressed Arrow stream in one value, so that it is written,
+    shuffled and read as a whole, and its rows are told apart by their places.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in text_batches(batches, limit=block_bytes):
+            grown = pa.compute.sum(pa.compute.binary_length(batch.column("text"))).as_py() or 0
+            if held and (size + grown > block_bytes or sum(b.num_rows for b in held) + batch.num_rows > BLOCK_ROWS):
+                yield _packed(number, held)
+                number, held, size = number + 1, [], 0
+            held.append(batch)
+            size += grown
+        if held:
+            yield _packed(number, held)
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("learned")).mapInArrow(pack, "block long, rows binary")
+
+
+def _packed(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        for batch in batches:
+            stream.write_batch(batch)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+
+def _unpacked(rows: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(rows.as_buffer()).read_all()
 
 
 # ---------------------------------------------------------------- byte grams
 
 
-def byte_grams(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """One number for each byte of each text and for its end: the ``depth`` bytes before it, then itself.
+def byte_grams(texts: list[str], depth: int) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+    """How many symbols each text has, and a number for each: the ``depth`` bytes before it, then itself.
 
-    The second array holds the number of symbols of each text.
+    The symbols are a text's bytes and its end. Their numbers come in order, in slices.
     """
     encoded = [text.encode() for text in texts]
-    sizes = np.array([len(e) + 1 for e in encoded], np.int64)
     start, end = bytes([START]) * depth, bytes([END])
     flat = np.frombuffer(b"".join(x for e in encoded for x in (start, e, end)), np.uint8)
-    grams = np.zeros(len(flat) - depth, np.uint64) if len(flat) else np.zeros(0, np.uint64)
-    for back in range(depth + 1):
-        grams <<= np.uint64(8)
-        grams |= flat[back : back + len(grams)]
-    inside = np.ones(len(grams), bool)
-    borders = np.cumsum(sizes + depth)[:-1]
-    for back in range(depth):  # windows that end in the next text's start
-        inside[borders - depth + back] = False
-    return grams[inside], sizes
 
+    def slices() -> Iterator[np.ndarray]:
+        for first in range(depth, len(flat), AT_ONCE):
+            n = min(AT_ONCE, len(flat) - first)
+            grams = np.zeros(n, np.uint64)
+            for back in range(depth + 1):
+                grams <<= np.uint64(8)
+                grams |= flat[first - depth + back : first - depth + back + n]
+            yield grams[flat[first : first + n] != START]
+
+    return np.array([len(e) + 1 for e in encoded], np.int64), slices()
 
-def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(gram, n) over all texts of ``docs``; counted by batch, then summed."""
+
+def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, place = np.unique(grams, return_inverse=True)
+    return distinct, np.bincount(place, counts, len(distinct))
+
+
+def counted(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of texts and how often each occurs."""
+    parts = [np.unique(grams, return_counts=True) for grams in byte_grams(texts, depth)[1]]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    return summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def bucket_of(grams: np.ndarray, least: int, buckets: int) -> np.ndarray:
+    """Where a gram is dealt to: grams whose last ``least`` bytes of context agree meet."""
+    mixed = ((grams >> np.uint64(8)) & np.uint64((1 << 8 * least) - 1)) * _MIX
+    return ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _column(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values, the bytes of ``values`` up to each of ``ends``."""
+    offsets = np.r_[0, ends].astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def gram_parts(blocks: DataFrame, depth: int, least: int, buckets: int) -> DataFrame:
+    """(bucket, block, grams, counts): the distinct grams of each block, and how often each occurs in texts that are learned from."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, limit=COUNT_BYTES):
-            grams, counts = np.unique(byte_grams(texts_of(batch), depth)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], ["gram", "n"])
+        for batch in batches:
+            for block, rows in zip(batch.column("block"), batch.column("rows"), strict=True):
+                table_ = _unpacked(rows)
+                texts, learned = table_.column("text").to_pylist(), table_.column("learned").to_pylist()
+                ours, n = counted([t for t, x in zip(texts, learned, strict=True) if x], depth)
+                others, _ = counted([t for t, x in zip(texts, learned, strict=True) if not x], depth)
+                grams, n = summed(np.concatenate([ours, others]), np.concatenate([n, np.zeros(len(others))]))
+                bucket = bucket_of(grams, least, buckets)
+                order = np.argsort(bucket, kind="stable")
+                used, sizes = np.unique(bucket, return_counts=True)
+                ends = np.cumsum(sizes)
+                columns = [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block.as_py())), _column(grams[order], ends), _column(n[order].astype(np.uint32), ends)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "grams", "counts"])
+
+    return blocks.mapInArrow(count, "bucket int, block long, grams binary, counts binary")
 
-    return docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+def _grams(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def bucket_counts(parts: DataFrame) -> DataFrame:
+    """(bucket, grams, counts) over all blocks."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, grams, counts, held = None, [], [], 0
+
+        def whole() -> tuple[np.ndarray, np.ndarray]:
+            return summed(np.concatenate(grams), np.concatenate(counts))
+
+        def row() -> pa.RecordBatch:
+            distinct, n = whole()
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([distinct.tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())], ["bucket", "grams", "counts"])
+
+        for batch in batches:
+            for bucket, some, n in zip(batch.column("bucket").to_pylist(), batch.column("grams"), batch.column("counts"), strict=True):
+                if current is not None and bucket != current:
+                    yield row()
+                    grams, counts, held = [], [], 0
+                current = bucket
+                grams.append(_grams(some)), counts.append(np.frombuffer(n.as_buffer(), np.uint32))
+                held += len(grams[-1])
+                if held > 8 * max(AT_ONCE, len(grams[0])):  # what repeats is summed before more comes
+                    distinct, n = whole()
+                    grams, counts, held = [distinct], [n], len(distinct)
+        if current is not None:
+            yield row()
+
+    return parts.select("bucket", "grams", "counts").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, grams binary, counts binary")
 
 
 # ---------------------------------------------------------------- the tree
@@ -103,7 +214,7 @@ def bit_levels(grams: np.ndarray, counts: np.ndarray, depth: int, longer: list[n
     for k in range(8):
         keys = grams >> np.uint64(8 - k)
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        ones = np.add.reduceat(counts * ((grams >> np.uint64(7 - k)) & np.uint64(1)), starts)
+        ones = np.add.reduceat(counts * ((grams >> np.uint64(7 - k)) & np.uint64(1)).astype(np.float64), starts)
         out.append(Level(keys[starts], np.add.reduceat(counts, starts) - ones, ones, longer and longer[k]))
     return out
 
@@ -113,14 +224,8 @@ def shorter(keys: np.ndarray, depth: int, k: int) -> np.ndarray:
     return keys & np.uint64((1 << (8 * (depth - 1) + k)) - 1)
 
 
-def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, place = np.unique(grams, return_inverse=True)
-    return distinct, np.bincount(place, counts, len(distinct))
-
-
-def subtree(grams: np.ndarray, counts: np.ndarray, depth: int, least: int = 2) -> dict[int, list[Level]]:
-    """Levels from ``depth`` up to ``least`` of the grams of some whole contexts of ``least`` bytes."""
-    grams, counts = summed(grams, counts)
+def subtree(grams: np.ndarray, counts: np.ndarray, depth: int, least: int) -> dict[int, list[Level]]:
+    """Levels from ``depth`` up to ``least`` of the sorted, distinct grams of some whole contexts of ``least`` bytes."""
     levels = {depth: bit_levels(grams, counts, depth, None)}
     for d in range(depth - 1, least - 1, -1):
         grams, counts = summed(grams & np.uint64((1 << 8 * (d + 1)) - 1), counts)
@@ -153,150 +258,144 @@ def rows_of(levels: dict[int, list[Level]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(p)
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [(b.column("gram").to_numpy(zero_copy_only=False).view(np.uint64), b.column("n").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def context_tree(grams: DataFrame, depth: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """(pair, key, p) for contexts of two bytes and more, and the keys and p of shorter ones.
-
-    p is the probability that the next bit is 1. A byte is eight bits; a node
-    is a context with those bits of the next byte that are already known. The
-    zeros and ones that followed it give a Krichevsky-Trofimov probability.
-    Upwards, a node's weighted probability is the mean of its own and of the
-    product of its longer contexts'. That ratio says how far each depth is to
-    be trusted, and downwards the estimates of all depths are mixed by it.
-    ``p`` is that mix where no longer context has been seen, the rest being
-    one half.
-
-    Contexts that end in the same two bytes are a tree of their own, so the
-    grams are dealt by range of these bytes and each task builds the trees of
-    its range. What joins them, at most 255 nodes for each of 65,536 pairs, is
-    summed to contexts of one byte by Spark; only those (65,280 at most) come
-    to the driver. The trees are then built again, with what they are under.
+def _learned(grams: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    n = np.frombuffer(counts.as_buffer(), np.int64)
+    return _grams(grams)[n > 0], n[n > 0].astype(np.float64)
+
+
+def top_of_tree(counts: DataFrame, depth: int, least: int) -> dict[int, list[Level]]:
+    """The levels of contexts shorter than ``least`` bytes, mixed.
+
+    A zero and a one that followed a context give a Krichevsky-Trofimov
+    probability. Upwards, a node's weighted probability is the mean of its own
+    and of the product of its longer contexts'. Buckets build the trees of
+    their contexts of ``least`` bytes; Spark sums these to contexts of one byte
+    less, and only those come to the driver: at most 255 nodes for each pair of
+    bytes that text has, whatever the table's size.
     """
-    spark = grams.sparkSession
-    pair = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    dealt = stored(grams.withColumn("pair", pair).repartitionByRange("pair"))
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, counts = _whole(batches)
-        if len(flat):
-            for k, x in enumerate(subtree(flat, counts, depth)[2]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x.keys), k)), pa.array(x.keys.view(np.int64)), pa.array(x.zeros), pa.array(x.ones), pa.array(x.weighted)], ["k", "key", "zeros", "ones", "weighted"])
-
-    ends = dealt.select("gram", "n").mapInArrow(roots, "k long, key long, zeros double, ones double, weighted double")
-    one_byte = ends.groupBy("k", F.expr("key & (shiftleft(1L, cast(8 + k as int)) - 1)").alias("key")).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toArrow().sort_by([("k", "ascending"), ("key", "ascending")])
-    top: dict[int, list[Level]] = {0: [], 1: []}
+        for batch in batches:
+            for grams, n in zip(batch.column("grams"), batch.column("counts"), strict=True):
+                flat, times = _learned(grams, n)
+                if len(flat):
+                    for k, x in enumerate(subtree(flat, times, depth, least)[least]):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x.keys), k)), pa.array(x.keys.view(np.int64)), pa.array(x.zeros), pa.array(x.ones), pa.array(x.weighted)], ["k", "key", "zeros", "ones", "weighted"])
+
+    ends = counts.select("grams", "counts").mapInArrow(roots, "k long, key long, zeros double, ones double, weighted double")
+    above = F.expr(f"key & (shiftleft(1L, cast({8 * (least - 1)} + k as int)) - 1)").alias("key")
+    rows = ends.groupBy("k", above).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toArrow().sort_by([("k", "ascending"), ("key", "ascending")])
+    top: dict[int, list[Level]] = {d: [] for d in range(least)}
     for k in range(8):
-        rows = one_byte.filter(pa.compute.equal(one_byte.column("k"), k))
-        keys, zeros, ones, longer = (rows.column(c).to_numpy() for c in ("key", "zeros", "ones", "weighted"))
-        level = Level(keys.astype(np.uint64), zeros, ones, longer)
-        up, place = np.unique(shorter(level.keys, 1, k), return_inverse=True)
-        top[1].append(level)
-        top[0].append(Level(up, *(np.bincount(place, x, len(up)) for x in (zeros, ones, level.weighted))))
+        own = rows.filter(pa.compute.equal(rows.column("k"), k))
+        keys, zeros, ones, longer = (own.column(c).to_numpy() for c in ("key", "zeros", "ones", "weighted"))
+        top[least - 1].append(Level(keys.astype(np.uint64), zeros, ones, longer))
+        for d in range(least - 1, 0, -1):
+            level = top[d][k]
+            up, place = np.unique(shorter(level.keys, d, k), return_inverse=True)
+            top[d - 1].append(Level(up, *(np.bincount(place, x, len(up)) for x in (level.zeros, level.ones, level.weighted))))
     mix_down(top, [np.zeros(len(x.keys)) for x in top[0]], [np.ones(len(x.keys)) for x in top[0]])
-    sent = spark.sparkContext.broadcast([(x.keys, x.mixed, x.rest) for x in top[1]])
+    return top
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, counts = _whole(batches)
-        if not len(flat):
-            return
-        levels = subtree(flat, counts, depth)
-        at = [np.searchsorted(keys, shorter(x.keys, 2, k)) for k, (x, (keys, _, _)) in enumerate(zip(levels[2], sent.value, strict=True))]
-        mix_down(levels, [m[i] for i, (_, m, _) in zip(at, sent.value, strict=True)], [r[i] for i, (_, _, r) in zip(at, sent.value, strict=True)])
-        keys, p = rows_of(levels)
-        order = np.argsort(((keys >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint16), kind="stable")
-        for part in np.array_split(order, max(1, len(order) >> 18)):
-            yield pa.RecordBatch.from_arrays([pa.array(((keys[part] >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int32)), pa.array(keys[part].view(np.int64)), pa.array(p[part])], ["pair", "key", "p"])
 
-    return stored(dealt.select("gram", "n").mapInArrow(nodes, "pair int, key long, p float")), rows_of(top)
+class Nodes:
+    """Bit probabilities by node, sorted."""
 
+    def __init__(self, keys: np.ndarray, p: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.p = keys[order], np.clip(p[order], 1e-7, 1 - 1e-7)
 
-class CodeLengths:
-    """log2 of the probability of a gram's last byte, from a part of the tree.
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the wanted nodes there are, and their probabilities."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), bool), np.zeros(0, np.float32)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        found = self.keys[at] == wanted
+        return found, self.p[at[found]]
 
-    ``keys`` are sorted numbers of (depth, context, node), ``p`` their bit
-    probabilities. ``contexts`` tells which last two bytes this part is for.
-    Results are remembered in a table of fixed size.
-    """
 
-    def __init__(self, keys: np.ndarray, p: np.ndarray, contexts: np.ndarray, depth: int):
-        self.keys, self.p, self.contexts, self.depth = keys, p, contexts, depth
-        self.cached = np.full(1 << CACHE_BITS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.value = np.zeros(1 << CACHE_BITS, np.float64)
-
-    def fresh(self, grams: np.ndarray) -> np.ndarray:
-        symbol, context = grams & np.uint64(255), grams >> np.uint64(8)
-        total = np.zeros(len(grams))
-        for k in range(8):
-            node = np.uint64(1 << k) + (symbol >> np.uint64(8 - k))
-            bit = (symbol >> np.uint64(7 - k)) & np.uint64(1)
-            p = np.full(len(grams), 0.5)
-            left = np.arange(len(grams))
-            for d in range(self.depth, -1, -1):
-                wanted = node_key(np.uint64(d), context[left] & np.uint64((1 << 8 * d) - 1), node[left])
-                at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1) if len(self.keys) else np.zeros(len(left), np.int64)
-                found = self.keys[at] == wanted if len(self.keys) else np.zeros(len(left), bool)
-                p[left[found]] = self.p[at[found]]
-                left = left[~found]
-                if not len(left):
-                    break
-            total += np.log2(np.where(bit == 1, p, 1 - p))
-        return total
-
-    def lengths(self, grams: np.ndarray) -> np.ndarray:
-        """0 for grams that another part is for."""
-        out = np.zeros(len(grams))
-        for start in range(0, len(grams), AT_ONCE):  # bounds what is held beside them
-            part = grams[start : start + AT_ONCE]
-            ours = self.contexts[(part >> np.uint64(8)) & np.uint64(0xFFFF)]
-            out[start : start + AT_ONCE][ours] = self.remembered(part[ours])
-        return out
-
-    def remembered(self, grams: np.ndarray) -> np.ndarray:
-        slot = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)
-        missing = np.flatnonzero(self.cached[slot] != grams)
-        value = self.value[slot]
-        if len(missing):
-            new, back = np.unique(grams[missing], return_inverse=True)
-            scored = self.fresh(new)
-            value[missing] = scored[back]
-            place = (new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)
-            self.cached[place] = new
-            self.value[place] = scored
-        return value
+def code_lengths(grams: np.ndarray, own: Nodes, top: Nodes, depth: int, least: int) -> np.ndarray:
+    """log2 of the probability of each gram's last byte, bit by bit by the longest context that has been seen."""
+    symbol, context = grams & np.uint64(255), grams >> np.uint64(8)
+    total = np.zeros(len(grams))
+    for k in range(8):
+        node = np.uint64(1 << k) + (symbol >> np.uint64(8 - k))
+        bit = (symbol >> np.uint64(7 - k)) & np.uint64(1)
+        p = np.full(len(grams), 0.5)
+        left = np.arange(len(grams))
+        for d in range(depth, -1, -1):
+            found, value = (own if d >= least else top).find(node_key(np.uint64(d), context[left] & np.uint64((1 << 8 * d) - 1), node[left]))
+            p[left[found]] = value
+            left = left[~found]
+            if not len(left):
+                break
+        total += np.log2(np.where(bit == 1, p, 1 - p))
+    return total.astype(np.float32)
 
 
 def node_key(depth, context, node):
     return (depth << np.uint64(60)) | (context << np.uint64(8)) | node
 
 
-def _ranges(tree: DataFrame, shard_nodes: int) -> list[tuple[int, int]]:
-    """Ranges of last two bytes, first and last, with about ``shard_nodes`` nodes each and all pairs together."""
-    sizes = tree.groupBy("pair").agg(F.count("*").alias("n")).toArrow()
-    cuts, room = [0], shard_nodes
-    for pair, n in sorted(zip(sizes.column("pair").to_pylist(), sizes.column("n").to_pylist(), strict=True)):
-        if n > room and room < shard_nodes:
-            cuts.append(pair)
-            room = shard_nodes
-        room -= n
-    return list(zip(cuts, [*(c - 1 for c in cuts[1:]), 0xFFFF], strict=True))
+class Lengths:
+    """Code lengths by gram: a table of places by hash, and a search for those that share a place."""
+
+    def __init__(self, grams: np.ndarray, lengths: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.lengths = grams[order], lengths[order]
+        bits = max(4, int(4 * len(grams)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        slot = (grams * _MIX) >> self.shift
+        self.by_place, self.value = np.full(1 << bits, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(1 << bits, np.float32)
+        self.by_place[slot], self.value[slot] = grams, lengths
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        slot = (grams * _MIX) >> self.shift
+        out = self.value[slot]
+        other = np.flatnonzero(self.by_place[slot] != grams)
+        if len(other):
+            out[other] = self.lengths[np.searchsorted(self.grams, grams[other])]
+        return out
+
 
+def gram_lengths(parts: DataFrame, counts: DataFrame, top: dict[int, list[Level]], depth: int, least: int) -> DataFrame:
+    """(block, grams, lengths): the code length of every gram of each block.
 
-def _nodes_of(tree: DataFrame, top: tuple[np.ndarray, np.ndarray], first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys and probabilities of the nodes for a range of last two bytes, and that range as a mask."""
-    rows = tree.filter(F.col("pair").between(first, last)).select("key", "p").toArrow()
-    keys = np.concatenate([top[0], rows.column("key").to_numpy().view(np.uint64)])
-    p = np.concatenate([top[1], rows.column("p").to_numpy()])
-    del rows
-    order = np.argsort(keys)
-    mask = np.zeros(1 << 16, bool)
-    mask[first : last + 1] = True
-    return keys[order], np.clip(p[order], 1e-7, 1 - 1e-7), mask
+    ``p`` of a node is the mix of the estimates of all its depths, each trusted
+    as far as the ratio of its own to its weighted probability says, the rest
+    being one half. A bucket's counts come first, from which its trees are
+    built again under what they are under; the parts of the blocks follow, and
+    only one of them is held at a time.
+    """
+    sent = parts.sparkSession.sparkContext.broadcast(([(x.keys, x.mixed, x.rest) for x in top[least - 1]], rows_of(top)))
+
+    def nodes(flat: np.ndarray, times: np.ndarray) -> Nodes:
+        if not len(flat):
+            return Nodes(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+        levels = subtree(flat, times, depth, least)
+        at = [np.searchsorted(keys, shorter(x.keys, least, k)) for k, (x, (keys, _, _)) in enumerate(zip(levels[least], sent.value[0], strict=True))]
+        mix_down(levels, [m[i] for i, (_, m, _) in zip(at, sent.value[0], strict=True)], [r[i] for i, (_, _, r) in zip(at, sent.value[0], strict=True)])
+        return Nodes(*rows_of(levels))
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = Nodes(*sent.value[1])
+        known = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        for batch in batches:
+            blocks, grams, lengths = [], [], []
+            for block, some, n in zip(batch.column("block").to_pylist(), batch.column("grams"), batch.column("counts"), strict=True):
+                if block is None:
+                    every = _grams(some)
+                    known = every, code_lengths(every, nodes(*_learned(some, n)), above, depth, least)
+                else:
+                    blocks.append(block), grams.append(_grams(some))
+                    lengths.append(known[1][np.searchsorted(known[0], grams[-1])])
+            if blocks:
+                ends = np.cumsum([len(g) for g in grams])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), _column(np.concatenate(grams), ends), _column(np.concatenate(lengths), ends)], ["block", "grams", "lengths"])
+
+    first = counts.select("bucket", F.lit(None).cast("long").alias("block"), "grams", "counts")
+    both = first.unionByName(parts.select("bucket", "block", "grams", "counts"))
+    return both.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("block")).select("block", "grams", "counts").mapInArrow(price, "block long, grams binary, lengths binary")
 
 
 # ---------------------------------------------------------------- words
@@ -338,61 +437,66 @@ def _frequent(counts: DataFrame, most: int) -> tuple[dict[bytes, int], bool]:
 # ---------------------------------------------------------------- scores
 
 
-def score_texts(docs: DataFrame, training: Column, depth: int = DEPTH, shard_nodes: int = SHARD_NODES, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
     """Each row's doc_id with n_tokens, n_known, train_tokens, base_score, score and n_bytes.
 
     ``score`` is the log10 probability of the text's bytes and its end under a
     context tree of ``depth`` bytes over all rows where ``training`` holds.
     ``base_score`` is that of its words under their counts in the same rows.
 
-    The tree is kept as a table. Scoring reads it in parts of about
-    ``shard_nodes`` nodes, each for certain pairs of last bytes, so a worker's
-    memory has a bound; a table below that size is one part and takes one pass
-    over the texts, a larger one takes a pass for each part. Counts of the most
+    Texts are put into blocks, and the distinct grams of each block (contexts
+    with the byte after them) are dealt by the last bytes of the context. The
+    task that has all counts of some contexts builds their trees and returns
+    the code length of each gram to the blocks that hold it, where they are
+    added up by text. The tree is thus in parts everywhere: neither a task nor
+    the driver holds more than the trees of a bucket, and the number of passes
+    over the texts doesn't grow with it. Counts of the most
     frequent words go to the workers too, those of all others are joined.
 
     Edge cases: a null or empty text is only an end. Without training rows every
-    bit has probability one half. Rows are told apart by place, so repeated and
-    null ids are fine.
+    bit has probability one half. Rows are told apart by the place that they
+    are written at once, so repeated and null ids are fine, and so is a
+    ``docs`` whose order changes when it is computed again.
     """
-    if not 2 <= depth <= 6:
-        raise ValueError("depth: 2 to 6 bytes")
+    if not 1 <= depth <= 6:
+        raise ValueError("depth: 1 to 6 bytes")
+    least = min(LEAST, depth)
     spark = docs.sparkSession
-    learned = docs.filter(training)
-    tree, top = context_tree(gram_counts(learned, depth), depth)
-    counts = stored(word_counts(learned))
+    blocks = stored(blocks_of(docs, training, block_bytes))
+    parts = stored(gram_parts(blocks, depth, least, max(4, blocks.count())))
+    by_bucket = stored(bucket_counts(parts))
+    lengths = gram_lengths(parts, by_bucket, top_of_tree(by_bucket, depth, least), depth, least)
+    counts = stored(word_counts(docs.filter(training)))
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = int(row[0]), int(row[1])
     frequent, complete = _frequent(counts, frequent_words)
     sent_words = spark.sparkContext.broadcast(frequent)
     floor = float(np.log10(total + 0.5 * (distinct + 1)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    done = None
-    for number, (low, high) in enumerate(_ranges(tree, shard_nodes)):
-        sent = spark.sparkContext.broadcast(_nodes_of(tree, top, low, high))
-
-        def score(batches: Iterator[pa.RecordBatch], sent=sent, first=number == 0) -> Iterator[pa.RecordBatch]:
-            keys, p, contexts = sent.value
-            model = CodeLengths(keys, p, contexts, depth)
-            known = sent_words.value
-            for batch in text_batches(batches, limit=SCORE_BYTES):
-                texts = texts_of(batch)
-                grams, sizes = byte_grams(texts, depth)
-                bits = np.add.reduceat(model.lengths(grams), np.r_[0, np.cumsum(sizes)[:-1]])
-                columns = [batch.column("row"), pa.array(bits * float(np.log10(2)))]
-                if first:
-                    parts = [_word_parts(text, known, complete, floor) for text in texts]
-                    columns += [batch.column("doc_id"), pa.array(sizes - 1)]
-                    columns += [pa.array([x[i] for x in parts], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())))]
-                names = ["row", "score", *(["doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "rare", "times"] if first else [])]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-        schema = "row long, score double" + f", doc_id {kind}, n_bytes long, n_tokens long, n_known long, base_score double, rare array<binary>, times array<int>" * (number == 0)
-        part = stored(rows.mapInArrow(score, schema))
-        sent.destroy()
-        done = part if done is None else stored(done.join(part.withColumnRenamed("score", "more"), "row").withColumn("score", F.col("score") + F.col("more")).drop("more"))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent_words.value
+        current, grams, priced = None, [], []
+        for batch in batches:
+            for block, some, length, rows in zip(*(batch.column(c) for c in ("block", "grams", "lengths", "rows")), strict=True):
+                if block.as_py() != current:
+                    current, grams, priced = block.as_py(), [], []
+                if not rows.is_valid:  # the lengths of a block come before its texts
+                    grams.append(_grams(some)), priced.append(np.frombuffer(length.as_buffer(), np.float32))
+                    continue
+                table_ = _unpacked(rows)
+                texts = table_.column("text").to_pylist()
+                bits, sizes = text_bits(texts, Lengths(np.concatenate(grams), np.concatenate(priced)), depth)
+                words = [_word_parts(text, known, complete, floor) for text in texts]
+                columns = [pa.array((current << 20) + np.arange(len(texts))), table_.column("doc_id").combine_chunks(), pa.array(bits * float(np.log10(2))), pa.array(sizes - 1)]
+                columns += [pa.array([x[i] for x in words], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "score", "n_bytes", "n_tokens", "n_known", "base_score", "rare", "times"])
+
+    nothing = F.lit(None).cast("binary")
+    both = lengths.withColumn("rows", nothing).unionByName(blocks.select("block", nothing.alias("grams"), nothing.alias("lengths"), "rows"))
+    dealt = both.repartition("block").sortWithinPartitions("block", F.col("rows").isNotNull())
+    schema = f"row long, doc_id {kind}, score double, n_bytes long, n_tokens long, n_known long, base_score double, rare array<binary>, times array<int>"
+    done = stored(dealt.mapInArrow(score, schema))
     if not complete:
         rare = done.filter(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
         found = rare.join(counts, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
@@ -403,6 +507,21 @@ def score_texts(docs: DataFrame, training: Column, depth: int = DEPTH, shard_nod
     return done.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
 
 
+def text_bits(texts: list[str], lengths: Lengths, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of its grams' code lengths for each text, and how many it has."""
+    sizes, slices = byte_grams(texts, depth)
+    ends = np.cumsum(sizes)
+    bits, done = np.zeros(len(texts)), 0
+    for grams in slices:
+        if not len(grams):
+            continue
+        first, last = np.searchsorted(ends, [done, done + len(grams) - 1], side="right")
+        starts = np.maximum(ends[first : last + 1] - sizes[first : last + 1], done) - done
+        bits[first : last + 1] += np.add.reduceat(lengths.of(grams).astype(np.float64), starts)
+        done += len(grams)
+    return bits, sizes
+
+
 def _word_parts(text: str, known: dict[bytes, int], complete: bool, floor: float) -> tuple:
     """Tokens, known ones and their score, and the words whose counts aren't here."""
     words = words_of(text)

@@ -65,12 +65,13 @@ def brute_base(training, text):
     return sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in tokens(text)), sum(counts[w] > 0 for w in tokens(text)), total
 
 
-def test_against_the_definition(spark):
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_against_the_definition(spark, depth):
     training = ["abab", "abba c", "The end", ""]
     fresh = ["zab", "The ab éà", "ab" * 20, ""]
     frame = docs(spark, training + fresh)
-    rows = {r.doc_id: r for r in model.score_texts(frame, F.col("doc_id") <= 4, depth=DEPTH).collect()}
-    for i, (text, score) in enumerate(zip(training + fresh, brute_scores(training, training + fresh)), 1):
+    rows = {r.doc_id: r for r in model.score_texts(frame, F.col("doc_id") <= 4, depth=depth, block_bytes=30).collect()}
+    for i, (text, score) in enumerate(zip(training + fresh, brute_scores(training, training + fresh, depth)), 1):
         base, known, total = brute_base(training, text)
         assert rows[i].score == pytest.approx(score, abs=1e-5)
         assert rows[i].base_score == pytest.approx(base, abs=1e-9)
@@ -81,13 +82,28 @@ def test_parts_and_joined_words_change_nothing(spark):
     frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 60")
     training = model.in_training(F.col("doc_id"), 5, 1)
     whole = {r.doc_id: r for r in model.score_texts(frame, training, depth=3).collect()}
-    parts = {r.doc_id: r for r in model.score_texts(frame, training, depth=3, shard_nodes=4000, frequent_words=100).collect()}
+    parts = {r.doc_id: r for r in model.score_texts(frame, training, depth=3, block_bytes=3000, frequent_words=100).collect()}
     assert whole.keys() == parts.keys()
     for i, row in whole.items():
         assert parts[i].score == pytest.approx(row.score, abs=1e-6) and parts[i].base_score == pytest.approx(row.base_score, abs=1e-7)
         assert (parts[i].n_known, parts[i].n_tokens) == (row.n_known, row.n_tokens)
 
 
+def test_shuffled_rows_and_slices_change_nothing(spark, monkeypatch):
+    frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 40")
+    training = model.in_training(F.col("doc_id"), 5, 1)
+    whole = {r.doc_id: r.score for r in model.score_texts(frame, training, depth=4).collect()}
+    dealt = {r.doc_id: r.score for r in model.score_texts(frame.repartition(7, F.rand(3)), training, depth=4, block_bytes=5000).collect()}
+    assert whole.keys() == dealt.keys() and all(dealt[i] == pytest.approx(whole[i], abs=1e-3, rel=1e-6) for i in whole)
+    texts = ["", "abc", "é" * 40, "", "xyz " * 20]
+    grams = np.unique(np.concatenate(list(model.byte_grams(texts, 3)[1])))
+    lengths = model.Lengths(grams, np.arange(len(grams), dtype=np.float32))
+    want = [sum(float(lengths.of(g).sum()) for g in model.byte_grams([t], 3)[1]) for t in texts]
+    monkeypatch.setattr(model, "AT_ONCE", 7)
+    bits, sizes = model.text_bits(texts, lengths, 3)
+    assert bits.tolist() == want and sizes.tolist() == [len(t.encode()) + 1 for t in texts]
+
+
 def test_query_learns_from_its_training_rows_only(spark):
     rows = model.op9_context_tree_score(spark, SF).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
