@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codelattice.llm.common import in_training, is_held_out, stored, table, text_batches, texts_of
 
-DEPTH = 5
+DEPTH = 6
 #: Contexts of so many bytes are dealt to tasks with all longer ones; shorter ones are few.
 LEAST = 3
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
