@@ -62,15 +62,32 @@ def test_documents_hold_what_a_search_for_text_finds(spark):
     assert {k for k, v in found.items() if v == 1} >= {(d, i) for d, text in rows for i, item in items if item in text}
 
 
-def test_block_index_is_complete():
+@pytest.mark.parametrize("blocks", [2, 3, 4, 21])
+def test_block_index_is_complete(blocks):
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 2**63, 300, dtype=np.uint64)
-    queries = codes[:100] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64))
-    index = decontaminate.BlockIndex(codes, 21, 20)
+    queries = codes[:100].copy()
+    for i in range(100):
+        for bit in rng.choice(64, i % 24, replace=False):
+            queries[i] ^= np.uint64(1 << int(bit))
+    index = decontaminate.BlockIndex(codes, blocks, 20)
     found = set(zip(*map(list, index.near(queries))))
     assert found == {(q, i) for q in range(100) for i in range(300) if bin(int(queries[q] ^ codes[i])).count("1") <= 20}
-    with pytest.raises(ValueError):
-        decontaminate.BlockIndex(codes, 20, 20)
+
+
+def test_block_index_leaves_out_most():
+    rng = np.random.default_rng(5)
+    codes, queries = rng.integers(0, 2**64, 500, dtype=np.uint64), rng.integers(0, 2**64, 500, dtype=np.uint64)
+    assert decontaminate.BlockIndex(codes, decontaminate.BLOCKS, decontaminate.RADIUS).candidates(queries).mean() < 0.15
+
+
+def test_radius_loses_nothing_here(spark):
+    """With a radius of all 64 bits every window that holds a shingle is verified."""
+    sf = "/root/testdata/sf0.01"
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    found = {(r.doc_id, r.item_id, r.first_word) for r in decontaminate.find_leaks(read("documents"), read("benchmark")).collect()}
+    exact = {(r.doc_id, r.item_id, r.first_word) for r in decontaminate.find_leaks(read("documents"), read("benchmark"), radius=64, blocks=1).collect()}
+    assert len(exact) > 20 and len(found & exact) >= 0.99 * len(exact)
 
 
 def test_edges(spark):
