@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice.functions.columns import common_prefix
 from codelattice.schema import Catalog
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new local one where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="spark-")
-
-
-def written(frame: DataFrame) -> DataFrame:
-    """``frame`` written to the shared folder and read back: lineage ends there."""
-    path = f"{shared_folder(frame.sparkSession)}/step-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+from codelattice.storage import finished, stored
 
 
 def build_nodes(files: DataFrame) -> DataFrame:
@@ -97,21 +82,27 @@ def analysis_order(catalog: Catalog) -> DataFrame:
     within a depth go by name. All projects advance together: a round joins
     the frontier with the edges and drops what has been seen, so there are as
     many rounds as the deepest project has levels, cycles or not. Each round is
-    written, which cuts the lineage.
+    stored, which cuts the lineage.
     """
     nodes = catalog.classes.select("project_id", "full_class_name", "entry_point", "ordinal")
-    edges = written(catalog.edges.select("project_id", F.col("src").alias("full_class_name"), "dst"))
-    frontier = written(nodes.filter("entry_point").select("project_id", "full_class_name", F.lit(0).alias("depth")).distinct())
+    seen = finished(catalog.classes.sparkSession, lambda: _depths(nodes, catalog.edges))
+    ordered = nodes.join(seen, ["project_id", "full_class_name"], "left")
+    by = Window.partitionBy("project_id").orderBy(F.asc_nulls_last("depth"), F.when(F.col("depth").isNull(), F.col("ordinal")), "full_class_name")
+    return ordered.select("project_id", "full_class_name", "depth", F.col("depth").isNull().alias("orphan"), F.row_number().over(by).alias("place"))
+
+
+def _depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, full_class_name, depth) of what the entry points reach."""
+    edges = stored(edges.select("project_id", F.col("src").alias("full_class_name"), "dst"))
+    frontier = stored(nodes.filter("entry_point").select("project_id", "full_class_name", F.lit(0).alias("depth")).distinct())
     seen = frontier
     depth = 0
     while not frontier.isEmpty():
         depth += 1
         step = frontier.join(edges, ["project_id", "full_class_name"]).select("project_id", F.col("dst").alias("full_class_name")).distinct()
-        frontier = written(step.join(seen, ["project_id", "full_class_name"], "left_anti").withColumn("depth", F.lit(depth)))
-        seen = written(seen.union(frontier)) if depth % 8 == 0 else seen.union(frontier)
-    ordered = nodes.join(seen, ["project_id", "full_class_name"], "left")
-    by = Window.partitionBy("project_id").orderBy(F.asc_nulls_last("depth"), F.when(F.col("depth").isNull(), F.col("ordinal")), "full_class_name")
-    return ordered.select("project_id", "full_class_name", "depth", F.col("depth").isNull().alias("orphan"), F.row_number().over(by).alias("place"))
+        frontier = stored(step.join(seen, ["project_id", "full_class_name"], "left_anti").withColumn("depth", F.lit(depth)))
+        seen = stored(seen.union(frontier)) if depth % 8 == 0 else seen.union(frontier)
+    return seen
 
 
 def counts(catalog: Catalog) -> DataFrame:

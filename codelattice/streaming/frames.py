@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.operators.graph import shared_folder
 from codelattice.sources.catalog import from_orders
+from codelattice.storage import shared_folder
 
 CALLS = {"click": "handle1", "view": "handle2", "purchase": "handle3", "signup": "handle9"}
 
@@ -30,14 +30,19 @@ def frames_of(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("class_id"), (F.col("event_type") == "error").alias("failed"), name.alias("method_name"))
 
 
-def _written(stream: DataFrame, mode: str, path: str) -> None:
-    """Runs the stream over all that is there, each batch appended, or the whole result written anew."""
+def _batches(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """What the stream yields over all that is there, with its ``batch``.
+
+    A batch that is run again after a failure overwrites its own folder.
+    """
+    path = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     run = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-state").foreachBatch(write).start()
     run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(path)
 
 
 def enrich_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,15 +58,17 @@ def enrich_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~F.col("failed"), F.col("class_type")).alias("class_type"),
         (~F.col("failed") & F.coalesce("known", F.lit(False))).alias("found"),
     )
-    path = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
-    _written(rows, "append", path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return _batches(rows, "append", "frames").drop("batch")
 
 
 def count_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by day and kind, kept up to date by a stream with a day's patience for late ones."""
-    counted = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("events"))
-    path = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
-    rows = counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "events")
-    _written(rows, "complete", path)
-    return spark.read.schema(rows.schema).parquet(path)
+    """Events by day and kind; a batch updates the days that it touches.
+
+    The stream waits a day for late events: a day that lies further back than
+    that behind the latest event is closed, its state goes, and what comes later
+    for it is dropped. Of the updates of a day the last one counts.
+    """
+    timed = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    counted = timed.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("events"))
+    updates = _batches(counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "events"), "update", "counts")
+    return updates.groupBy("day", "event_type").agg(F.max_by("events", "batch").alias("events"))
