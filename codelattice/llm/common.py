@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelattice.storage import discard, finished, stored  # noqa: F401
+
 BATCH_BYTES = 4 << 20
 
 
@@ -18,29 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a new local one where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if checkpoints.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return checkpoints.get().rstrip("/")
-
-
-def stored(frame: DataFrame) -> DataFrame:
-    """``frame`` written once to the shared folder and read from there.
-
-    Lineage ends here, lost executors cost no recomputation beyond the write,
-    and Spark knows the size of what follows.
-    """
-    path = f"{shared_dir(frame.sparkSession)}/stored-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def in_training(doc_id: Column, modulus: int, held_out: int) -> Column:
     """Whether crc32 of the id as text leaves another remainder than ``held_out``.
 

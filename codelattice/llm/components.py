@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import stored
+from codelattice.llm.common import finished, stored
 
 
 def _state(links: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def _to_smallest(pairs: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b); root is the smallest node reachable.
+    """Stored (node, root) for every node of the links (a, b); root is the smallest node reachable.
 
     Rounds alternate two steps: all larger neighbours of a node are hung on its
     smallest neighbour, then all smaller ones are. The number of links never
@@ -30,6 +30,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     execution can split. Every step is written to the shared folder.
     Links with a null end are dropped; those from a node to itself keep it.
     """
+    return finished(links.sparkSession, lambda: _roots(links))
+
+
+def _roots(links: DataFrame) -> DataFrame:
     whole = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     current = stored(whole.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = current

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import stored, table, text_batches, texts_of
+from codelattice.llm.common import finished, stored, table, text_batches, texts_of
 from codelattice.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -262,7 +262,7 @@ def hamming_links(codes: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of ``docs``.
+    """(doc_id, fp, component_id) of each row of ``docs``, stored.
 
     Fingerprints link at ``radius`` or fewer differing bits; component_id is the
     smallest id reachable over links. Exact copies meet in one fingerprint
@@ -273,9 +273,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     for each of their fingerprints. A null id is never a component_id, unless
     all ids of the component are null. An empty table gives an empty result.
     """
+    return finished(docs.sparkSession, lambda: _grouped(docs, words, radius, cell_rows))
+
+
+def _grouped(docs: DataFrame, words: int, radius: int, cell_rows: int) -> DataFrame:
     marked = stored(fingerprints(docs, words))
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = stored(connected_components(hamming_links(classes.select("fp"), radius, cell_rows)))
+    roots = connected_components(hamming_links(classes.select("fp"), radius, cell_rows))
     grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = stored(grouped.join(smallest, "root").select("fp", "component_id"))
@@ -288,11 +292,14 @@ def drop_near_duplicates(docs: DataFrame, found: DataFrame | None = None) -> Dat
     ``found`` has the components (doc_id, component_id), if not those of op3.
     What goes is far less than what stays, so the texts meet the ids that go:
     where these are few, Spark sends them around and shuffles no text.
+
+    Rows that repeat an id stay or go together. Rows without id can't be told
+    from each other, so all of them stay.
     """
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    going = (near_duplicates(docs) if found is None else found).groupBy("doc_id").agg(F.max(stays).alias("stays")).filter(~F.col("stays"))
-    gone = stored(going.select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    found = near_duplicates(docs) if found is None else found
+    going = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = stored(going.filter(~F.col("stays")).select(F.col("doc_id").alias("_gone")))
+    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import stored, text_batches, texts_of
+from codelattice.llm.common import finished, stored, text_batches, texts_of
 from codelattice.llm.components import connected_components
 from codelattice.llm.simhash import fingerprints_of, hamming_links, shingle_hashes
 
@@ -179,7 +179,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: Fraction
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of each row of ``docs``, component_id the smallest id reachable over links.
+    """Stored (doc_id, component_id) of each row of ``docs``, component_id the smallest id reachable over links.
 
     Two texts are linked as by ``simhash.near_duplicates``, or if their sets of
     ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
@@ -189,17 +189,20 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: flo
     Edge cases: as in ``simhash.near_duplicates``. Texts with the same words in
     order are one node, and texts without words have no shingles.
     """
-    exact = Fraction(str(similarity))
+    return finished(docs.sparkSession, lambda: _grouped(docs, words, Fraction(str(similarity))))
+
+
+def _grouped(docs: DataFrame, words: int, exact: Fraction) -> DataFrame:
     signed = stored(signatures(docs, words, exact))
     classes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = stored(connected_components(hamming_links(classes.select("fp"))).withColumnRenamed("node", "fp"))
+    roots = connected_components(hamming_links(classes.select("fp"))).withColumnRenamed("node", "fp")
     nodes = signed.filter(F.col("size") > 0).drop("doc_id").dropDuplicates(["node"]).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     pairs = stored(candidates(nodes, exact))
     alike = stored(verified(docs, pairs, words, exact))
     rooted = signed.select("node", "fp").distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of = lambda c: rooted.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     links = alike.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    tops = stored(connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("top")))
+    tops = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
     grouped = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(tops, "root", "left").withColumn("top", F.coalesce("top", "root"))
     smallest = grouped.groupBy("top").agg(F.min("first_id").alias("component_id"))
     members = stored(grouped.join(smallest, "top").select("fp", "component_id"))

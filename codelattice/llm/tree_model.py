@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import in_training, is_held_out, stored, table, text_batches, texts_of
+from codelattice.llm.common import finished, in_training, is_held_out, stored, table, text_batches, texts_of
 
 DEPTH = 6
 #: Contexts of so many bytes are dealt to tasks with all longer ones; shorter ones are few.
@@ -438,7 +438,7 @@ def _frequent(counts: DataFrame, most: int) -> tuple[dict[bytes, int], bool]:
 
 
 def score_texts(docs: DataFrame, training: Column, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
-    """Each row's doc_id with n_tokens, n_known, train_tokens, base_score, score and n_bytes.
+    """Stored rows of doc_id with n_tokens, n_known, train_tokens, base_score, score and n_bytes.
 
     ``score`` is the log10 probability of the text's bytes and its end under a
     context tree of ``depth`` bytes over all rows where ``training`` holds.
@@ -460,6 +460,10 @@ def score_texts(docs: DataFrame, training: Column, depth: int = DEPTH, block_byt
     """
     if not 1 <= depth <= 6:
         raise ValueError("depth: 1 to 6 bytes")
+    return finished(docs.sparkSession, lambda: _scored(docs, training, depth, block_bytes, frequent_words))
+
+
+def _scored(docs: DataFrame, training: Column, depth: int, block_bytes: int, frequent_words: int) -> DataFrame:
     least = min(LEAST, depth)
     spark = docs.sparkSession
     blocks = stored(blocks_of(docs, training, block_bytes))
