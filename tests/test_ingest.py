@@ -173,3 +173,44 @@ def test_reading_a_folder(spark, tmp_path):
         (tmp_path / "repo" / path).write_text(text)
     found = files.read_tree(spark, str(tmp_path / "repo"), "p", "*.java")
     assert {r.path: r.content for r in found.collect()} == {path: text for path, text in JAVA.items() if text}  # Spark's readers pass empty files over
+
+
+def parsed_java(spark, source):
+    found = tree(spark, source).withColumn("identifier", files.java_identifier(F.col("path")))
+    return ingest.java(found)
+
+
+def test_literals_of_a_megabyte_and_files_of_five(spark):
+    long = 'x\\" {;} \\\\' * 120_000
+    java = f'package a;\n@Service("{long}")\nclass A {{\n  String s = "{long}";\n  void after() {{ String t = "open; }}\n  }}\n  @GetMapping("/x") int last() {{ return 1; }}\n}}\n'
+    many = "package a;\nclass B {\n" + "".join(f'  int m{i}(String a) {{ String s = "}}" + {i}; return {i}; }} // "\n' for i in range(70_000)) + "}\n"
+    parsed = parsed_java(spark, {"src/main/java/a/A.java": java, "src/main/java/a/B.java": many})
+    assert {(r.identifier, r.class_type) for r in parsed["nodes"].collect()} == {("a.A", "SERVICE"), ("a.B", "OTHER")}
+    names = [r.method_name for r in parsed["methods"].filter("identifier = 'a.B'").collect()]
+    assert len(names) == 70_000
+    script = f"const text = `{long} ${{a}}`;\nconst other = '{long}';\nexport class A {{\n  @Get('{long}')\n  go(a: B) {{ return `{long}`; }}\n}}\nconst open = 'abc;\nfunction last() {{ }}\n"
+    found = tree(spark, {"src/a.ts": script}).withColumn("identifier", files.script_identifier(F.col("path"))).withColumn("framework", F.lit("nestjs"))
+    assert {(r.method_name, r.http_method) for r in ingest.script(found)["methods"].collect()} == {("go", "GET"), ("last", None)}
+    go = f'package a\n\nvar s = `{long}`\n\nvar t = "{long}"\n\nfunc Last(a string) {{\n}}\n'
+    found = tree(spark, {"a/a.go": go}).withColumn("module", F.lit("m")).withColumn("identifier", F.lit("m/a"))
+    assert {r.method_name for r in ingest.go(found)["methods"].collect()} == {"Last"}
+
+
+def test_generics_and_imports_of_any_depth(spark):
+    java = {
+        "src/main/java/a/A.java": "package a;\nclass A {\n  void go(Map<A<B<C<D<E<F>>>>>> m, Money x, List<List<List<List<List<List<Money>>>>>> y) {}\n}\n",
+        "src/main/java/a/Money.java": "package a;\nclass Money {}\n",
+        "src/main/java/a/Map.java": "package a;\nclass Map {}\n",
+    }
+    assert {(r.position, r.target) for r in ingest.resolve_java_params(parsed_java(spark, java)).collect()} == {(0, "a.Map"), (1, "a.Money")}
+    deep = "src/" + "/".join(f"d{i}" for i in range(12)) + "/a.ts"
+    found = tree(spark, {deep: f"import {{ B }} from '{'../' * 12}b';\nimport C from './x/../y/./.././../d11/c';\n", "src/b.ts": "", deep.replace("a.ts", "c.ts"): ""})
+    found = found.withColumn("identifier", files.script_identifier(F.col("path"))).withColumn("framework", F.lit("unknown"))
+    assert {r.dst for r in ingest.script_edges(ingest.script(found)).collect()} == {"b", ".".join(f"d{i}" for i in range(12)) + ".c"}
+
+
+def test_script_parameters(spark):
+    found = tree(spark, SCRIPTS | {"src/users/order.ts": "import Shop, { UserService as Users, UserDto } from './user.service';\nimport * as all from '../shared';\nimport { UserDto as Dto } from './user.dto';\n\nexport class Order {\n  first(a: number, b: Users, c: Other, d: Dto) { return 1; }\n  second(a: Dto) { }\n  second(a: number) { }\n}\n"})
+    found = found.filter(files.is_script(F.col("path"), F.col("length"))).withColumn("identifier", files.script_identifier(F.col("path"))).withColumn("framework", F.lit("nestjs"))
+    params = {(r.identifier, r.method_name, r.position, r.target) for r in ingest.resolve_script_params(ingest.script(found)).collect()}
+    assert params == {("users.order", "first", 0, "users.user.service"), ("users.order", "first", 1, "users.user.dto"), ("users.order", "second", 0, "users.user.dto")}
