@@ -17,7 +17,8 @@ DEPTH = 6
 #: Contexts of so many bytes are dealt to tasks with all longer ones; shorter ones are few.
 LEAST = 3
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 20
+BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 1 << 20
+LEAST_BUCKETS = 32
 COUNT_BYTES = 8 << 20
 FREQUENT_WORDS = 250_000
 AT_ONCE = 1 << 19
@@ -67,14 +68,22 @@ def _unpacked(rows: pa.Scalar) -> pa.Table:
 # ---------------------------------------------------------------- byte grams
 
 
-def byte_grams(texts: list[str], depth: int) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+def byte_grams(texts: pa.ChunkedArray, depth: int) -> tuple[np.ndarray, Iterator[np.ndarray]]:
     """How many symbols each text has, and a number for each: the ``depth`` bytes before it, then itself.
 
     The symbols are a text's bytes and its end. Their numbers come in order, in slices.
     """
-    encoded = [text.encode() for text in texts]
-    start, end = bytes([START]) * depth, bytes([END])
-    flat = np.frombuffer(b"".join(x for e in encoded for x in (start, e, end)), np.uint8)
+    sizes = pa.compute.binary_length(texts).to_numpy().astype(np.int64) + 1
+    flat = np.full(int((sizes + depth).sum()), START, np.uint8)
+    ends = np.cumsum(sizes + depth)
+    flat[ends - 1] = END
+    at = 0
+    for chunk in texts.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
+        for first, last in zip(offsets[:-1], offsets[1:], strict=True):
+            flat[ends[at] - 1 - (last - first) : ends[at] - 1] = data[first:last]
+            at += 1
 
     def slices() -> Iterator[np.ndarray]:
         for first in range(depth, len(flat), AT_ONCE):
@@ -85,7 +94,7 @@ def byte_grams(texts: list[str], depth: int) -> tuple[np.ndarray, Iterator[np.nd
                 grams |= flat[first - depth + back : first - depth + back + n]
             yield grams[flat[first : first + n] != START]
 
-    return np.array([len(e) + 1 for e in encoded], np.int64), slices()
+    return sizes, slices()
 
 
 def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +102,16 @@ def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, np.bincount(place, counts, len(distinct))
 
 
-def counted(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def counted(texts: pa.ChunkedArray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct grams of texts and how often each occurs."""
-    parts = [np.unique(grams, return_counts=True) for grams in byte_grams(texts, depth)[1]]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    return summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    grams, counts = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for part in byte_grams(texts, depth)[1]:
+        distinct, n = np.unique(part, return_counts=True)
+        grams.append(distinct), counts.append(n)
+        if sum(map(len, grams[1:])) > 2 * max(AT_ONCE, len(grams[0])):  # what repeats is summed before more comes
+            merged = summed(np.concatenate(grams), np.concatenate(counts))
+            grams, counts = [merged[0]], [merged[1]]
+    return summed(np.concatenate(grams), np.concatenate(counts))
 
 
 def bucket_of(grams: np.ndarray, least: int, buckets: int) -> np.ndarray:
@@ -107,65 +120,93 @@ def bucket_of(grams: np.ndarray, least: int, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _column(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary values, the bytes of ``values`` up to each of ``ends``."""
-    offsets = np.r_[0, ends].astype(np.int32) * values.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+def _turned(grams: np.ndarray, depth: int, least: int) -> np.ndarray:
+    """Grams with the last ``least`` bytes of context in front, where sorted ones differ little."""
+    low = np.uint64(8 * least)
+    context = grams >> np.uint64(8)
+    near, far = context & np.uint64((1 << 8 * least) - 1), context >> low
+    return (((near << np.uint64(8 * (depth - least))) | far) << np.uint64(8)) | (grams & np.uint64(255))
 
 
-def gram_parts(blocks: DataFrame, depth: int, least: int, buckets: int) -> DataFrame:
-    """(bucket, block, grams, counts): the distinct grams of each block, and how often each occurs in texts that are learned from."""
+def _back(turned: np.ndarray, depth: int, least: int) -> np.ndarray:
+    context, high = turned >> np.uint64(8), np.uint64(8 * (depth - least))
+    near, far = context >> high, context & np.uint64((1 << 8 * (depth - least)) - 1)
+    return (((far << np.uint64(8 * least)) | near) << np.uint64(8)) | (turned & np.uint64(255))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, rows in zip(batch.column("block"), batch.column("rows"), strict=True):
-                table_ = _unpacked(rows)
-                texts, learned = table_.column("text").to_pylist(), table_.column("learned").to_pylist()
-                ours, n = counted([t for t, x in zip(texts, learned, strict=True) if x], depth)
-                others, _ = counted([t for t, x in zip(texts, learned, strict=True) if not x], depth)
-                grams, n = summed(np.concatenate([ours, others]), np.concatenate([n, np.zeros(len(others))]))
-                bucket = bucket_of(grams, least, buckets)
-                order = np.argsort(bucket, kind="stable")
-                used, sizes = np.unique(bucket, return_counts=True)
-                ends = np.cumsum(sizes)
-                columns = [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block.as_py())), _column(grams[order], ends), _column(n[order].astype(np.uint32), ends)]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "grams", "counts"])
 
-    return blocks.mapInArrow(count, "bucket int, block long, grams binary, counts binary")
+def _squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values), codec="zstd", asbytes=True)
 
 
-def _grams(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), np.uint64)
+def _released(value: bytes, n: int, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(value, n * np.dtype(kind).itemsize, codec="zstd"), kind)
 
 
-def bucket_counts(parts: DataFrame) -> DataFrame:
-    """(bucket, grams, counts) over all blocks."""
+def _gram_bytes(grams: np.ndarray, depth: int, least: int) -> bytes:
+    """Grams that are in order when turned, by their differences."""
+    return _squeezed(np.diff(_turned(grams, depth, least), prepend=np.uint64(0)))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, grams, counts, held = None, [], [], 0
 
-        def whole() -> tuple[np.ndarray, np.ndarray]:
-            return summed(np.concatenate(grams), np.concatenate(counts))
+def _grams(value: bytes, n: int, depth: int, least: int) -> np.ndarray:
+    return _back(np.cumsum(_released(value, n, np.uint64), dtype=np.uint64), depth, least)
 
-        def row() -> pa.RecordBatch:
-            distinct, n = whole()
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([distinct.tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())], ["bucket", "grams", "counts"])
 
+PART = "block long, n int, grams binary, counts binary"
+
+
+def gram_parts(blocks: DataFrame, depth: int, least: int, buckets: int) -> DataFrame:
+    """(bucket, parts): of each block that has grams of the bucket, the distinct ones and how often each occurs in texts that are learned from."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, some, n in zip(batch.column("bucket").to_pylist(), batch.column("grams"), batch.column("counts"), strict=True):
+            for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+                table_ = _unpacked(rows)
+                ours, n = counted(table_.filter(table_.column("learned")).column("text"), depth)
+                others, _ = counted(table_.filter(pa.compute.invert(table_.column("learned"))).column("text"), depth)
+                grams, n = summed(np.concatenate([ours, others]), np.concatenate([n, np.zeros(len(others))]))
+                order = np.argsort(_turned(grams, depth, least))
+                order = order[np.argsort(bucket_of(grams[order], least, buckets), kind="stable")]
+                grams, n = grams[order], n[order].astype(np.uint32)
+                used, starts = np.unique(bucket_of(grams, least, buckets), return_index=True)
+                cuts = [slice(x, y) for x, y in zip(starts, [*starts[1:], len(grams)], strict=True)]
+                columns = [
+                    pa.array(used.astype(np.int32)),
+                    pa.array(np.full(len(used), block)),
+                    pa.array([c.stop - c.start for c in cuts], pa.int32()),
+                    pa.array([_gram_bytes(grams[c], depth, least) for c in cuts], pa.binary()),
+                    pa.array([_squeezed(n[c]) for c in cuts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "n", "grams", "counts"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts = None, []
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([parts], pa.list_(kind))], ["bucket", "parts"])
+        kind = pa.struct([("block", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+        for batch in batches:
+            for part in batch.to_pylist():
+                bucket = part.pop("bucket")
                 if current is not None and bucket != current:
                     yield row()
-                    grams, counts, held = [], [], 0
+                    parts = []
                 current = bucket
-                grams.append(_grams(some)), counts.append(np.frombuffer(n.as_buffer(), np.uint32))
-                held += len(grams[-1])
-                if held > 8 * max(AT_ONCE, len(grams[0])):  # what repeats is summed before more comes
-                    distinct, n = whole()
-                    grams, counts, held = [distinct], [n], len(distinct)
+                parts.append(part)
         if current is not None:
             yield row()
 
-    return parts.select("bucket", "grams", "counts").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, grams binary, counts binary")
+    dealt = blocks.mapInArrow(count, f"bucket int, {PART}").repartition("bucket").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(gather, f"bucket int, parts array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>")
+
+
+def _merged(parts: list[dict], depth: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a bucket and their counts over all blocks."""
+    grams, counts = [], []
+    for part in parts:
+        grams.append(_grams(part["grams"], part["n"], depth, least))
+        counts.append(_released(part["counts"], part["n"], np.uint32).astype(np.float64))
+        if sum(map(len, grams[1:])) > 4 * max(AT_ONCE, len(grams[0])):  # what repeats is summed before more comes
+            merged = summed(np.concatenate(grams), np.concatenate(counts))
+            grams, counts = [merged[0]], [merged[1]]
+    return summed(np.concatenate(grams), np.concatenate(counts))
 
 
 # ---------------------------------------------------------------- the tree
@@ -258,12 +299,7 @@ def rows_of(levels: dict[int, list[Level]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(p)
 
 
-def _learned(grams: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    n = np.frombuffer(counts.as_buffer(), np.int64)
-    return _grams(grams)[n > 0], n[n > 0].astype(np.float64)
-
-
-def top_of_tree(counts: DataFrame, depth: int, least: int) -> dict[int, list[Level]]:
+def top_of_tree(parts: DataFrame, depth: int, least: int) -> dict[int, list[Level]]:
     """The levels of contexts shorter than ``least`` bytes, mixed.
 
     A zero and a one that followed a context give a Krichevsky-Trofimov
@@ -276,13 +312,13 @@ def top_of_tree(counts: DataFrame, depth: int, least: int) -> dict[int, list[Lev
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for grams, n in zip(batch.column("grams"), batch.column("counts"), strict=True):
-                flat, times = _learned(grams, n)
-                if len(flat):
-                    for k, x in enumerate(subtree(flat, times, depth, least)[least]):
+            for row in batch.column("parts"):
+                grams, n = _merged(row.as_py(), depth, least)
+                if n.any():
+                    for k, x in enumerate(subtree(grams[n > 0], n[n > 0], depth, least)[least]):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x.keys), k)), pa.array(x.keys.view(np.int64)), pa.array(x.zeros), pa.array(x.ones), pa.array(x.weighted)], ["k", "key", "zeros", "ones", "weighted"])
 
-    ends = counts.select("grams", "counts").mapInArrow(roots, "k long, key long, zeros double, ones double, weighted double")
+    ends = parts.select("parts").mapInArrow(roots, "k long, key long, zeros double, ones double, weighted double")
     above = F.expr(f"key & (shiftleft(1L, cast({8 * (least - 1)} + k as int)) - 1)").alias("key")
     rows = ends.groupBy("k", above).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toArrow().sort_by([("k", "ascending"), ("key", "ascending")])
     top: dict[int, list[Level]] = {d: [] for d in range(least)}
@@ -343,7 +379,7 @@ class Lengths:
     def __init__(self, grams: np.ndarray, lengths: np.ndarray):
         order = np.argsort(grams)
         self.grams, self.lengths = grams[order], lengths[order]
-        bits = max(4, int(4 * len(grams)).bit_length())
+        bits = max(4, int(2 * len(grams)).bit_length())
         self.shift = np.uint64(64 - bits)
         slot = (grams * _MIX) >> self.shift
         self.by_place, self.value = np.full(1 << bits, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(1 << bits, np.float32)
@@ -358,44 +394,36 @@ class Lengths:
         return out
 
 
-def gram_lengths(parts: DataFrame, counts: DataFrame, top: dict[int, list[Level]], depth: int, least: int) -> DataFrame:
-    """(block, grams, lengths): the code length of every gram of each block.
+def gram_lengths(parts: DataFrame, top: dict[int, list[Level]], depth: int, least: int) -> DataFrame:
+    """(block, n, grams, lengths): the code length of every gram of each block, in parts by bucket.
 
     ``p`` of a node is the mix of the estimates of all its depths, each trusted
     as far as the ratio of its own to its weighted probability says, the rest
-    being one half. A bucket's counts come first, from which its trees are
-    built again under what they are under; the parts of the blocks follow, and
-    only one of them is held at a time.
+    being one half. A bucket's counts are summed and its trees built again,
+    under what they are under; then the grams of one block after another are priced.
     """
     sent = parts.sparkSession.sparkContext.broadcast(([(x.keys, x.mixed, x.rest) for x in top[least - 1]], rows_of(top)))
 
-    def nodes(flat: np.ndarray, times: np.ndarray) -> Nodes:
-        if not len(flat):
+    def nodes(grams: np.ndarray, counts: np.ndarray) -> Nodes:
+        if not len(grams):
             return Nodes(np.zeros(0, np.uint64), np.zeros(0, np.float32))
-        levels = subtree(flat, times, depth, least)
+        levels = subtree(grams, counts, depth, least)
         at = [np.searchsorted(keys, shorter(x.keys, least, k)) for k, (x, (keys, _, _)) in enumerate(zip(levels[least], sent.value[0], strict=True))]
         mix_down(levels, [m[i] for i, (_, m, _) in zip(at, sent.value[0], strict=True)], [r[i] for i, (_, _, r) in zip(at, sent.value[0], strict=True)])
         return Nodes(*rows_of(levels))
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above = Nodes(*sent.value[1])
-        known = np.zeros(0, np.uint64), np.zeros(0, np.float32)
         for batch in batches:
-            blocks, grams, lengths = [], [], []
-            for block, some, n in zip(batch.column("block").to_pylist(), batch.column("grams"), batch.column("counts"), strict=True):
-                if block is None:
-                    every = _grams(some)
-                    known = every, code_lengths(every, nodes(*_learned(some, n)), above, depth, least)
-                else:
-                    blocks.append(block), grams.append(_grams(some))
-                    lengths.append(known[1][np.searchsorted(known[0], grams[-1])])
-            if blocks:
-                ends = np.cumsum([len(g) for g in grams])
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), _column(np.concatenate(grams), ends), _column(np.concatenate(lengths), ends)], ["block", "grams", "lengths"])
-
-    first = counts.select("bucket", F.lit(None).cast("long").alias("block"), "grams", "counts")
-    both = first.unionByName(parts.select("bucket", "block", "grams", "counts"))
-    return both.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("block")).select("block", "grams", "counts").mapInArrow(price, "block long, grams binary, lengths binary")
+            for row in batch.column("parts"):
+                blocks = row.as_py()
+                every, n = _merged(blocks, depth, least)
+                known = code_lengths(every, nodes(every[n > 0], n[n > 0]), above, depth, least)
+                found = [_squeezed(known[np.searchsorted(every, _grams(x["grams"], x["n"], depth, least))]) for x in blocks]
+                columns = [pa.array([x[c] for x in blocks], t) for c, t in (("block", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], ["block", "n", "grams", "lengths"])
+
+    return parts.select("parts").mapInArrow(price, "block long, n int, grams binary, lengths binary")
 
 
 # ---------------------------------------------------------------- words
@@ -445,8 +473,8 @@ def score_texts(docs: DataFrame, training: Column, depth: int = DEPTH, block_byt
     ``base_score`` is that of its words under their counts in the same rows.
 
     Texts are put into blocks, and the distinct grams of each block (contexts
-    with the byte after them) are dealt by the last bytes of the context. The
-    task that has all counts of some contexts builds their trees and returns
+    with the byte after them) are dealt to buckets by the last bytes of the
+    context. A bucket has all counts of its contexts, builds their trees and returns
     the code length of each gram to the blocks that hold it, where they are
     added up by text. The tree is thus in parts everywhere: neither a task nor
     the driver holds more than the trees of a bucket, and the number of passes
@@ -467,9 +495,8 @@ def _scored(docs: DataFrame, training: Column, depth: int, block_bytes: int, fre
     least = min(LEAST, depth)
     spark = docs.sparkSession
     blocks = stored(blocks_of(docs, training, block_bytes))
-    parts = stored(gram_parts(blocks, depth, least, max(4, blocks.count())))
-    by_bucket = stored(bucket_counts(parts))
-    lengths = gram_lengths(parts, by_bucket, top_of_tree(by_bucket, depth, least), depth, least)
+    parts = stored(gram_parts(blocks, depth, least, max(LEAST_BUCKETS, blocks.count())))
+    lengths = gram_lengths(parts, top_of_tree(parts, depth, least), depth, least)
     counts = stored(word_counts(docs.filter(training)))
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = int(row[0]), int(row[1])
@@ -482,22 +509,24 @@ def _scored(docs: DataFrame, training: Column, depth: int, block_bytes: int, fre
         known = sent_words.value
         current, grams, priced = None, [], []
         for batch in batches:
-            for block, some, length, rows in zip(*(batch.column(c) for c in ("block", "grams", "lengths", "rows")), strict=True):
-                if block.as_py() != current:
-                    current, grams, priced = block.as_py(), [], []
+            for place, block in enumerate(batch.column("block").to_pylist()):
+                if block != current:
+                    current, grams, priced = block, [], []
+                rows = batch.column("rows")[place]
                 if not rows.is_valid:  # the lengths of a block come before its texts
-                    grams.append(_grams(some)), priced.append(np.frombuffer(length.as_buffer(), np.float32))
+                    n, some, length = (batch.column(c)[place].as_py() for c in ("n", "grams", "lengths"))
+                    grams.append(_grams(some, n, depth, least)), priced.append(_released(length, n, np.float32))
                     continue
                 table_ = _unpacked(rows)
-                texts = table_.column("text").to_pylist()
+                texts = table_.column("text")
                 bits, sizes = text_bits(texts, Lengths(np.concatenate(grams), np.concatenate(priced)), depth)
-                words = [_word_parts(text, known, complete, floor) for text in texts]
+                words = [_word_parts(text.as_py(), known, complete, floor) for text in texts]
                 columns = [pa.array((current << 20) + np.arange(len(texts))), table_.column("doc_id").combine_chunks(), pa.array(bits * float(np.log10(2))), pa.array(sizes - 1)]
                 columns += [pa.array([x[i] for x in words], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "score", "n_bytes", "n_tokens", "n_known", "base_score", "rare", "times"])
 
     nothing = F.lit(None).cast("binary")
-    both = lengths.withColumn("rows", nothing).unionByName(blocks.select("block", nothing.alias("grams"), nothing.alias("lengths"), "rows"))
+    both = lengths.withColumn("rows", nothing).unionByName(blocks.select("block", F.lit(None).cast("int").alias("n"), nothing.alias("grams"), nothing.alias("lengths"), "rows"))
     dealt = both.repartition("block").sortWithinPartitions("block", F.col("rows").isNotNull())
     schema = f"row long, doc_id {kind}, score double, n_bytes long, n_tokens long, n_known long, base_score double, rare array<binary>, times array<int>"
     done = stored(dealt.mapInArrow(score, schema))
@@ -511,7 +540,7 @@ def _scored(docs: DataFrame, training: Column, depth: int, block_bytes: int, fre
     return done.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
 
 
-def text_bits(texts: list[str], lengths: Lengths, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def text_bits(texts: pa.ChunkedArray, lengths: Lengths, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The sum of its grams' code lengths for each text, and how many it has."""
     sizes, slices = byte_grams(texts, depth)
     ends = np.cumsum(sizes)

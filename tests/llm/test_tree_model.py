@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,11 +97,12 @@ def test_shuffled_rows_and_slices_change_nothing(spark, monkeypatch):
     dealt = {r.doc_id: r.score for r in model.score_texts(frame.repartition(7, F.rand(3)), training, depth=4, block_bytes=5000).collect()}
     assert whole.keys() == dealt.keys() and all(dealt[i] == pytest.approx(whole[i], abs=1e-3, rel=1e-6) for i in whole)
     texts = ["", "abc", "é" * 40, "", "xyz " * 20]
-    grams = np.unique(np.concatenate(list(model.byte_grams(texts, 3)[1])))
+    column = lambda *t: pa.chunked_array([pa.array(t, pa.string())])
+    grams = np.unique(np.concatenate(list(model.byte_grams(column(*texts), 3)[1])))
     lengths = model.Lengths(grams, np.arange(len(grams), dtype=np.float32))
-    want = [sum(float(lengths.of(g).sum()) for g in model.byte_grams([t], 3)[1]) for t in texts]
+    want = [sum(float(lengths.of(g).sum()) for g in model.byte_grams(column(t), 3)[1]) for t in texts]
     monkeypatch.setattr(model, "AT_ONCE", 7)
-    bits, sizes = model.text_bits(texts, lengths, 3)
+    bits, sizes = model.text_bits(column(*texts), lengths, 3)
     assert bits.tolist() == want and sizes.tolist() == [len(t.encode()) + 1 for t in texts]
 
 
