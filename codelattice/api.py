@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 import sys
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.functions.columns import is_repository_url, repository_name
-from codelattice.operators import analyze, context, lookup, snapshots
+from codelattice.operators import analyze, context, enrich, lookup, snapshots
 from codelattice.plans import dsl
 from codelattice.schema import PROJECTS, Catalog, DomainError
 from codelattice.sources import catalog as catalogs
+from codelattice.storage import finished, scratch, stored
 
 
 class Service:
@@ -55,6 +57,50 @@ class Service:
     def projects(self) -> DataFrame:
         return context.list_projects(self.catalog)
 
+    def project(self, **key: str) -> DataFrame:
+        """The project with this id, name or repository_url."""
+        return lookup.project(self.catalog, **key)
+
+    def search(self, *queries: tuple[str, str]) -> DataFrame:
+        """A row for each (project, part of a class name)."""
+        return context.search_results(self.catalog, self._keys(list(queries), "project string, query string"))
+
+    def class_dependencies(self, *names: str) -> DataFrame:
+        catalog = self.catalog
+        wanted = lookup.classes_by_name(catalog, self._keys([(n,) for n in names], "class_name string")).select("project_id", F.col("full_class_name").alias("className"))
+        return context.class_dependencies(catalog).join(wanted, ["project_id", "className"], "left_semi")
+
+    def overview(self, *projects: str) -> DataFrame:
+        return context.project_overview(self.catalog).filter(F.col("projectName").isin(*projects))
+
+    def service_api(self, *projects: str) -> DataFrame:
+        return context.service_api(self.catalog).filter(F.col("projectName").isin(*projects))
+
+    def analyze(self, files: DataFrame, client: Callable[[list[str]], list[str]] | None = None, keep_descriptions: bool = False) -> None:
+        """Reads the projects of ``files`` anew, with the client's descriptions if there is one.
+
+        They are ANALYZING meanwhile, then ANALYZED, or ERROR if it fails.
+        """
+        ids = stored(files.select("project_id").distinct())
+        self._publish(snapshots.set_statuses(self.catalog, ids, "ANALYZING"), "projects")
+        try:
+            with scratch(self.spark):
+                catalog = self.catalog
+                fresh = analyze.settled(analyze.analyze(catalog.projects, files))
+                fresh = analyze.keeping_descriptions(catalog, fresh) if keep_descriptions else fresh
+                self._publish(analyze.replaced(catalog, enrich.enriched(fresh, client, files) if client else fresh, ids))
+        except Exception as failure:
+            self._publish(snapshots.set_statuses(self.catalog, ids, "ERROR"), "projects")
+            raise DomainError(str(failure), "REBUILD_FAILED" if keep_descriptions else "ANALYSIS_FAILED") from failure
+        self._publish(snapshots.set_statuses(self.catalog, ids, "ANALYZED"), "projects")
+
+    def rebuild(self, files: DataFrame) -> None:
+        """The same without a client: what is said of classes and methods stays."""
+        self.analyze(files, keep_descriptions=True)
+
+    def _publish(self, catalog: Catalog, *changed: str) -> None:
+        snapshots.publish(catalog, self.folder, changed or snapshots.TABLES)
+
     def register(self, url: str, branch: str = "main") -> DataFrame:
         """A version with one more project, PENDING; PROJECT_ALREADY_EXISTS for a URL that is there."""
         catalog = self.catalog
@@ -65,27 +111,36 @@ class Service:
             raise ValueError(f"{url}: no repository URL")
         url_ = F.col("repository_url")
         new = row.select(F.sha2(url_, 256).alias("id"), repository_name(url_).alias("name"), url_, F.lit(branch).alias("default_branch"), F.lit("PENDING").alias("status"), F.current_timestamp().alias("created_at"))
-        snapshots.publish(replace(catalog, projects=snapshots.insert(catalog.projects, new)), self.folder)
+        self._publish(replace(catalog, projects=snapshots.insert(catalog.projects, new)), "projects")
         return new
 
     def set_status(self, project_id: str, status: str) -> None:
-        snapshots.publish(snapshots.set_status(self.catalog, project_id, status), self.folder)
+        self._publish(snapshots.set_status(self.catalog, project_id, status), "projects")
 
     def delete(self, project_id: str) -> None:
-        snapshots.publish(snapshots.delete_projects(self.catalog, self._keys([(project_id,)], "id string")), self.folder)
+        self._publish(snapshots.delete_projects(self.catalog, self._keys([(project_id,)], "id string")))
+
+    def synchronise(self, old_files: DataFrame, new_files: DataFrame, client: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+        """Publishes the catalog for the new files and returns what became of each class.
+
+        A client is asked about classes without a description. Where no file changed, no version is written.
+        """
+
+        def made() -> DataFrame:
+            catalog, actions = analyze.synchronise(self.catalog, old_files, new_files)
+            if not actions.filter("action != 'keep'").isEmpty():
+                self._publish(enrich.enriched(catalog, client, new_files) if client else catalog)
+            return actions
 
-    def synchronise(self, old_files: DataFrame, new_files: DataFrame) -> DataFrame:
-        """Publishes the catalog for the new files and returns what became of each class."""
-        catalog, actions = analyze.synchronise(self.catalog, old_files, new_files)
-        snapshots.publish(catalog, self.folder)
-        return actions
+        return finished(self.spark, made)
 
 
 def create(spark: SparkSession, folder: str, projects: DataFrame | None = None, files: DataFrame | None = None) -> Service:
     """A service over a new folder, with the projects and files given."""
     projects = projects if projects is not None else spark.createDataFrame([], PROJECTS)
     files = files if files is not None else spark.createDataFrame([], "project_id string, path string, length long, content string")
-    snapshots.publish(analyze.analyze(projects, files), folder)
+    with scratch(spark):
+        snapshots.publish(analyze.analyze(projects, files), folder)
     return Service(spark, folder)
 
 

@@ -10,12 +10,12 @@ from codelattice.operators.graph import adjacency, base_packages, neighbours, pa
 from codelattice.operators.lookup import has_endpoint, class_counts, classes_by_name, endpoint_counts
 from codelattice.schema import Catalog
 
+
 def _line() -> Column:
     """Lines, with those of methods without one last."""
     return F.coalesce(F.col("line_number"), F.lit(2**31 - 1))
 
 
-
 def list_projects(catalog: Catalog) -> DataFrame:
     """Projects, latest first, with their base package and counts, 0 where there is nothing to count."""
     projects = catalog.projects.withColumnRenamed("id", "project_id")
@@ -27,6 +27,13 @@ def known_projects(catalog: Catalog) -> DataFrame:
     return list_projects(catalog).select("name", F.col("repository_url").alias("repositoryUrl"), F.col("base_package").alias("basePackage"))
 
 
+def _with_known_projects(catalog: Catalog, rows: DataFrame, missing: Column) -> DataFrame:
+    """``rows`` with ``knownProjects``, all projects in order, where ``missing`` holds; projects are few beside classes."""
+    row = F.struct("name", "repositoryUrl", "basePackage")
+    known = known_projects(catalog).agg(F.array_sort(F.collect_list(row)).alias("_known"))
+    return rows.crossJoin(F.broadcast(known)).withColumn("knownProjects", F.when(missing, F.col("_known"))).drop("_known")
+
+
 def search(catalog: Catalog, queries: DataFrame) -> DataFrame:
     """(project, query, class columns, total): nodes whose name holds the query in any case.
 
@@ -39,11 +46,23 @@ def search(catalog: Catalog, queries: DataFrame) -> DataFrame:
     return found.join(totals, "project").select("project", "query", F.col("full_class_name").alias("className"), F.col("class_type").alias("classType"), "description", F.col("entry_point").alias("entryPoint"), F.col("source_file").alias("sourceFile"), "ordinal", "total")
 
 
+def search_results(catalog: Catalog, queries: DataFrame) -> DataFrame:
+    """One row for each (project, query): found, projectName, query, matches in node order, totalClassesInProject and, if the project is unknown, a message."""
+    match = F.struct("className", "classType", "description", "entryPoint", "sourceFile")
+    rows = search(catalog, queries).groupBy("project", "query").agg(F.array_sort(F.collect_list(F.struct("ordinal", match.alias("m")))).alias("_m"))
+    counts = catalog.classes.groupBy("project_id").agg(F.count("*").cast("int").alias("n"))
+    projects = catalog.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project"), F.lit(True).alias("known")).join(counts, "project_id", "left").drop("project_id")
+    joined = queries.select("project", "query").distinct().join(projects, "project", "left").join(rows, ["project", "query"], "left")
+    matches = F.transform("_m", lambda x: x["m"])
+    none = F.from_json(F.lit("[]"), joined.select(matches.alias("m")).schema["m"].dataType)
+    return joined.select(F.coalesce("known", F.lit(False)).alias("found"), F.col("project").alias("projectName"), "query", F.coalesce(matches, none).alias("matches"), F.coalesce("n", F.lit(0)).alias("totalClassesInProject"), F.when(F.col("known").isNull(), "Project not found").alias("message"))
+
+
 def class_context(catalog: Catalog, names: DataFrame) -> DataFrame:
     """One row for each distinct ``class_name``: found, its methods in order, and its neighbours in the graph.
 
     graphInfo is null for classes that no edge table's project has as a node;
-    unknown classes have found = false and a message.
+    unknown classes have found = false, a message and the known projects.
     """
     found = classes_by_name(catalog, names)
     method = F.struct(F.col("method_name").alias("name"), "description", json_list(F.col("business_logic")).alias("businessLogic"))
@@ -64,7 +83,8 @@ def class_context(catalog: Catalog, names: DataFrame) -> DataFrame:
     )
     asked = names.select(F.col("class_name").alias("className")).distinct()
     whole = asked.join(rows, "className", "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    return whole.withColumn("message", F.when(~F.col("found"), F.lit("No context available for this class")))
+    whole = whole.withColumn("message", F.when(~F.col("found"), F.lit("No context available for this class")))
+    return _with_known_projects(catalog, whole, ~F.col("found"))
 
 
 def _first_methods(catalog: Catalog) -> DataFrame:
@@ -90,7 +110,7 @@ def method_context(catalog: Catalog, pairs: DataFrame) -> DataFrame:
     joined = asked.join(known, "class_name", "left").join(methods, ["class_id", "method_name"], "left").join(types, ["project_id", "class_name", "method_name"], "left")
     urls = catalog.projects.select(F.col("id").alias("project_id"), F.col("repository_url").alias("projectUrl"), F.col("description").alias("projectDescription"))
     message = F.when(F.col("class_id").isNull(), "No context available for this method").when(F.col("m").isNull(), "Class found but method not indexed")
-    return joined.join(urls, "project_id", "left").select(
+    rows = joined.join(urls, "project_id", "left").select(
         F.col("class_name").alias("className"),
         F.col("asked").alias("methodName"),
         F.col("m").isNotNull().alias("found"),
@@ -105,6 +125,7 @@ def method_context(catalog: Catalog, pairs: DataFrame) -> DataFrame:
         message.alias("message"),
         F.coalesce("parameterTypes", F.array().cast("array<struct<position:int,typeName:string>>")).alias("parameterTypes"),
     )
+    return _with_known_projects(catalog, rows, F.col("message").startswith("No context"))
 
 
 def trace_context(catalog: Catalog, frames: DataFrame) -> DataFrame:

@@ -11,8 +11,13 @@ from codelattice.storage import finished, stored
 
 
 def build_nodes(files: DataFrame) -> DataFrame:
-    """Nodes from (project_id, seq, identifier, source_file): the first place of an identifier, its last file."""
-    return files.groupBy("project_id", "identifier").agg(F.min("seq").alias("ordinal"), F.max_by("source_file", "seq").alias("source_file"))
+    """One row for each identifier of (project_id, seq, identifier, source_file, ...): its first place as ``ordinal``, and what its last file says.
+
+    An identifier is an entry point if any of its files is one.
+    """
+    last = [F.max_by(c, "seq").alias(c) for c in files.columns if c not in ("project_id", "identifier", "seq", "entry_point")]
+    entry = [F.bool_or("entry_point").alias("entry_point")] if "entry_point" in files.columns else []
+    return files.groupBy("project_id", "identifier").agg(F.min("seq").alias("ordinal"), *last, *entry)
 
 
 def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

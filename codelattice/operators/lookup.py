@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelattice.functions.columns import dotted_prefixes, is_endpoint
 from codelattice.schema import Catalog
 
+
 def has_endpoint() -> Column:
     return is_endpoint(F.col("http_method"), F.col("http_path"))
 
@@ -46,6 +47,23 @@ def classes_of(catalog: Catalog, project_id: str) -> DataFrame:
     return catalog.classes.filter(F.col("project_id") == project_id).orderBy("full_class_name")
 
 
+def classes_by_id(catalog: Catalog, ids: DataFrame) -> DataFrame:
+    """The classes ``ids`` (class_id)."""
+    return catalog.classes.join(ids.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi").select(catalog.classes.columns)
+
+
+def classes_in_projects(catalog: Catalog, keys: DataFrame) -> DataFrame:
+    """The classes of ``keys`` (project_id, full_class_name), of which a project has one each."""
+    return catalog.classes.join(keys.select("project_id", "full_class_name").distinct(), ["project_id", "full_class_name"], "left_semi").select(catalog.classes.columns)
+
+
+def has_metadata(catalog: Catalog) -> DataFrame:
+    """(project_id, full_class_name, has_metadata): whether a type, a description or a method is known of each node."""
+    owners = catalog.methods.select(F.col("class_id").alias("id")).distinct().withColumn("_methods", F.lit(True))
+    known = F.col("class_type").isNotNull() | F.col("description").isNotNull() | F.coalesce("_methods", F.lit(False))
+    return catalog.classes.join(owners, "id", "left").select("project_id", "full_class_name", known.alias("has_metadata"))
+
+
 def classes_by_name(catalog: Catalog, names: DataFrame) -> DataFrame:
     """One row for each distinct ``class_name`` that is known: that of the first project by name.
 
@@ -73,7 +91,7 @@ def class_counts(catalog: Catalog) -> DataFrame:
 
 
 def unenriched(catalog: Catalog) -> DataFrame:
-    return catalog.classes.filter(F.col("description").isNull()).orderBy("project_id", "full_class_name")
+    return catalog.classes.filter(F.col("description").isNull())
 
 
 def methods_with_class(catalog: Catalog) -> DataFrame:
@@ -108,6 +126,6 @@ def methods_named(catalog: Catalog) -> DataFrame:
 
 
 def parameters(catalog: Catalog) -> DataFrame:
-    """Parameters with the name and type of their class, by method and position."""
+    """Parameters with the name and type of their class."""
     target = catalog.classes.select(F.col("id").alias("class_id"), F.col("full_class_name").alias("type_name"), "class_type", F.col("description").alias("type_description"))
     return catalog.params.join(target, "class_id", "left")

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.schema import Catalog, check_transition
+from codelattice.schema import Catalog, DomainError, check_transition
 
 TABLES = ("projects", "classes", "methods", "params", "edges")
 
@@ -23,29 +23,41 @@ def current_version(spark: SparkSession, folder: str) -> str:
     if not system.exists(path):
         raise FileNotFoundError(folder)
     names = sorted(s.getPath().getName() for s in system.listStatus(path) if s.isDirectory())
-    marked = [n for n in names if system.exists(spark._jvm.org.apache.hadoop.fs.Path(path, f"{n}/_WHOLE"))]
+    marked = [n for n in names if system.exists(spark._jvm.org.apache.hadoop.fs.Path(path, f"{n}/whole.txt"))]
     if not marked:
         raise FileNotFoundError(f"{folder}: no version")
     return marked[-1]
 
 
-def publish(catalog: Catalog, folder: str) -> str:
-    """Writes a version beside those before it and marks it whole at the end.
+def places(spark: SparkSession, folder: str, version: str | None = None) -> dict[str, str]:
+    """Folder of each table of a version, the newest by default: its own or, for tables that did not change, an earlier version's."""
+    version = version or current_version(spark, folder)
+    rows = spark.read.text(f"{folder}/{version}/whole.txt").collect()
+    named = dict(r.value.split("=", 1) for r in rows)
+    return {name: f"{folder}/{named[name]}/{name}" for name in TABLES}
 
-    Readers see the new version once it has its mark; what a plan is reading
-    is never overwritten. Classes are sorted by name within files, so their
-    row groups can be skipped by name.
+
+def publish(catalog: Catalog, folder: str, changed: tuple[str, ...] = TABLES) -> str:
+    """Writes the ``changed`` tables of a version beside those before it and marks it whole at the end.
+
+    The mark names the version that holds each table, so those that did not
+    change are not written again. Readers see the new version once it has its
+    mark; what a plan is reading is never overwritten. Classes are sorted by
+    name within files, so their row groups can be skipped by name.
     """
     spark = catalog.projects.sparkSession
     path, system = _root(spark, folder)
     number = len(system.listStatus(path)) if system.exists(path) else 0
-    at = f"{folder}/v{number:06d}"
-    for name in TABLES:
+    version = f"v{number:06d}"
+    held = {} if set(changed) == set(TABLES) else {name: at.rsplit("/", 2)[-2] for name, at in places(spark, folder).items()}
+    for name in changed:
         table = getattr(catalog, name)
         ordered = table.sortWithinPartitions("project_id", "full_class_name") if name == "classes" else table
-        ordered.write.mode("errorifexists").parquet(f"{at}/{name}")
-    system.create(spark._jvm.org.apache.hadoop.fs.Path(at, "_WHOLE")).close()
-    return f"v{number:06d}"
+        ordered.write.mode("errorifexists").parquet(f"{folder}/{version}/{name}")
+    mark = system.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{version}", "whole.txt"))
+    mark.write("\n".join(f"{name}={version if name in changed else held[name]}" for name in TABLES).encode())
+    mark.close()
+    return version
 
 
 def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -90,17 +102,34 @@ def delete_parameters_of(catalog: Catalog, owners: DataFrame) -> Catalog:
     return replace(catalog, params=delete(catalog.params, methods, "method_id"))
 
 
+def delete_parameters_of_methods(catalog: Catalog, methods: DataFrame) -> Catalog:
+    """Without the parameters of ``methods`` (method_id)."""
+    return replace(catalog, params=delete(catalog.params, methods, "method_id"))
+
+
+def set_commit(catalog: Catalog, ids: DataFrame, commit: str) -> Catalog:
+    """The classes ``ids`` (id) marked with the commit that they were read from."""
+    marked = ids.select("id").distinct().withColumn("commit_hash", F.lit(commit))
+    has = "commit_hash" in catalog.classes.columns
+    classes = catalog.classes if has else catalog.classes.withColumn("commit_hash", F.lit(None).cast("string"))
+    return replace(catalog, classes=update(classes, marked))
+
+
 def delete_parameters_to(catalog: Catalog, targets: DataFrame) -> Catalog:
     return replace(catalog, params=delete(catalog.params, targets, "class_id"))
 
 
 def set_status(catalog: Catalog, project_id: str, status: str) -> Catalog:
     """The catalog with a project in another state, if it may go there."""
-    row = catalog.projects.filter(F.col("id") == project_id).select("status").first()
-    if row is None:
-        from codelattice.schema import DomainError
-
-        raise DomainError(f"no project {project_id}", "PROJECT_NOT_FOUND")
-    check_transition(row.status, status)
-    changed = catalog.projects.withColumn("status", F.when(F.col("id") == project_id, F.lit(status)).otherwise(F.col("status")))
-    return replace(catalog, projects=changed)
+    return set_statuses(catalog, catalog.projects.filter(F.col("id") == project_id).select(F.col("id").alias("project_id")), status, project_id)
+
+
+def set_statuses(catalog: Catalog, ids: DataFrame, status: str, about: str = "of these") -> Catalog:
+    """The same for the projects ``ids`` (project_id), of which each may go there or none does."""
+    found = catalog.projects.join(ids.select(F.col("project_id").alias("id")).distinct(), "id", "left_semi").groupBy("status").count().collect()
+    if not found:
+        raise DomainError(f"no project {about}", "PROJECT_NOT_FOUND")
+    for row in found:
+        check_transition(row.status, status)
+    marked = ids.select(F.col("project_id").alias("id")).distinct().withColumn("status", F.lit(status))
+    return replace(catalog, projects=update(catalog.projects, marked))

@@ -92,13 +92,20 @@ def from_orders(spark: SparkSession, sf_dir: str) -> Catalog:
 
 def load(spark: SparkSession, folder: str) -> Catalog:
     """A catalog that ``operators.snapshots.publish`` wrote: its latest version."""
-    from codelattice.operators.snapshots import current_version
+    from codelattice.operators.snapshots import places
 
-    at = f"{folder}/{current_version(spark, folder)}"
-    return Catalog(*(spark.read.parquet(f"{at}/{name}") for name in ("projects", "classes", "methods", "params", "edges")))
+    at = places(spark, folder)
+    return Catalog(*(spark.read.parquet(at[name]) for name in ("projects", "classes", "methods", "params", "edges")))
 
 
-def from_jdbc(spark: SparkSession, url: str, properties: dict[str, str]) -> dict[str, DataFrame]:
-    """The four stored tables of a relational catalog, by name, read in parts by hash of the id."""
+def from_jdbc(spark: SparkSession, url: str, properties: dict[str, str], parts: int = 16) -> dict[str, DataFrame]:
+    """The four stored tables of a relational catalog, by name, each read over ``parts`` connections.
+
+    Ids are random hexadecimal text, so ranges of their first two digits are
+    parts of like size; what sorts outside these is in the first or the last.
+    """
     tables = ("projects", "source_classes", "source_methods", "method_parameters")
-    return {name: spark.read.jdbc(url, name, properties=properties) for name in tables}
+    cuts = [f"{256 * i // parts:02x}" for i in range(1, parts)]
+    ends = [None, *cuts, None]
+    ranges = [" AND ".join(filter(None, (low and f"id >= '{low}'", high and f"id < '{high}'"))) or "1 = 1" for low, high in zip(ends, ends[1:], strict=False)]
+    return {name: spark.read.jdbc(url, name, predicates=ranges, properties=properties) for name in tables}

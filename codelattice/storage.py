@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,18 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is deleted at the end, when all that reads it has run."""
+    inner: list[str] = []
+    token = _written.set(inner)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        discard(spark, *inner)
+
+
 def finished(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` returns, stored; all that it stored on its way is deleted."""
     outer, inner = _written.get(), []

@@ -55,6 +55,14 @@ def test_versions(spark, tmp_path):
     assert snapshots.current_version(spark, folder) == "v000001"  # not whole
     with pytest.raises(FileNotFoundError):
         snapshots.current_version(spark, str(tmp_path / "nothing"))
+    (tmp_path / "catalog" / "v000009").rmdir()
+    third = snapshots.publish(snapshots.set_status(again, "p1", "SYNCING"), folder, ("projects",))
+    assert sorted(p.name for p in (tmp_path / "catalog" / third).iterdir() if p.is_dir()) == ["projects"]
+    latest = catalogs.load(spark, folder)
+    assert latest.classes.count() == 4 and latest.projects.filter("status = 'SYNCING'").count() == 1
+    marked = snapshots.set_commit(latest, latest.classes.limit(1).select("id"), "abc")
+    assert marked.classes.filter("commit_hash = 'abc'").count() == 1
+    assert snapshots.delete_parameters_of_methods(latest, latest.params.select("method_id")).params.count() == 0
 
 
 def test_row_changes(spark):
