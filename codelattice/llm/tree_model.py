@@ -17,11 +17,11 @@ DEPTH = 6
 #: Contexts of so many bytes are dealt to tasks with all longer ones; shorter ones are few.
 LEAST = 3
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
-BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 1 << 20
+BLOCK_BYTES, BLOCK_ROWS = 20 << 20, 1 << 20
 LEAST_BUCKETS = 32
 COUNT_BYTES = 8 << 20
 FREQUENT_WORDS = 250_000
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 18
 MODULUS, HELD_OUT = 5, 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -379,7 +379,7 @@ class Lengths:
     def __init__(self, grams: np.ndarray, lengths: np.ndarray):
         order = np.argsort(grams)
         self.grams, self.lengths = grams[order], lengths[order]
-        bits = max(4, int(2 * len(grams)).bit_length())
+        bits = max(4, len(grams).bit_length())
         self.shift = np.uint64(64 - bits)
         slot = (grams * _MIX) >> self.shift
         self.by_place, self.value = np.full(1 << bits, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(1 << bits, np.float32)
@@ -519,7 +519,10 @@ def _scored(docs: DataFrame, training: Column, depth: int, block_bytes: int, fre
                     continue
                 table_ = _unpacked(rows)
                 texts = table_.column("text")
-                bits, sizes = text_bits(texts, Lengths(np.concatenate(grams), np.concatenate(priced)), depth)
+                known_lengths = Lengths(np.concatenate(grams), np.concatenate(priced))
+                grams, priced = [], []
+                bits, sizes = text_bits(texts, known_lengths, depth)
+                del known_lengths
                 words = [_word_parts(text.as_py(), known, complete, floor) for text in texts]
                 columns = [pa.array((current << 20) + np.arange(len(texts))), table_.column("doc_id").combine_chunks(), pa.array(bits * float(np.log10(2))), pa.array(sizes - 1)]
                 columns += [pa.array([x[i] for x in words], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())))]
