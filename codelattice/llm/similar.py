@@ -21,7 +21,8 @@ SIMILARITY = 0.8
 SAMPLE_TEXTS = 5_000
 COMMON_IN_SAMPLE = 3
 COMMON_MOST = 100_000
-PARITY_BITS = 128
+#: Of a set's parities, all are compared for a pair, and those folded to fewer within a key.
+PARITY_BITS, FOLDED_BITS = 1024, 128
 
 
 def shingle_set(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -34,10 +35,15 @@ def text_node(text: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split()))).view(np.int64))
 
 
-def parities(own: np.ndarray) -> np.ndarray:
-    """Two longs of bits, each the parity of how many shingles fall to it."""
-    odd = np.bincount((own % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+def parities(own: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """Bits, each the parity of how many shingles fall to it."""
+    odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def folded(odd: np.ndarray) -> np.ndarray:
+    """The parities of fewer bits, as two longs."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, FOLDED_BITS // 64), axis=0).view(np.int64)
 
 
 def least_common(size: np.ndarray, other: np.ndarray, similarity: Fraction) -> np.ndarray:
@@ -90,7 +96,7 @@ def _pairs(frame: pd.DataFrame, similarity: Fraction) -> Iterator[pd.DataFrame]:
 
 
 def signatures(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """(doc_id, fp, node, size, keys, odd0, odd1) of each row: op3's fingerprint, a hash of the words, the first shingles of the text's set, and its parities.
+    """(doc_id, fp, node, size, keys, odd, odd0, odd1) of each row: op3's fingerprint, a hash of the words, the first shingles of the text's set, its parities and these folded.
 
     Two sets that are ``similarity`` alike share one shingle at least among the
     first ``size - ceil(similarity * size) + 1`` of each, in any order common to
@@ -122,12 +128,13 @@ def signatures(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
                 pa.array([text_node(t) for t in texts], pa.int64()),
                 pa.array(sizes, pa.int32()),
                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))),
-                *map(pa.array, np.stack(odd, 1)),
+                pa.array([x.tobytes() for x in odd], pa.binary()),
+                *map(pa.array, np.stack([folded(x) for x in odd], 1)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "size", "keys", "odd0", "odd1"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "size", "keys", "odd", "odd0", "odd1"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, fp long, node long, size int, keys array<long>, odd0 long, odd1 long")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, fp long, node long, size int, keys array<long>, odd binary, odd0 long, odd1 long")
 
 
 def candidates(signed: DataFrame, similarity: Fraction) -> DataFrame:
@@ -156,6 +163,25 @@ def candidates(signed: DataFrame, similarity: Fraction) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "size").mapInPandas(meet, "a long, b long").distinct()
 
 
+def bounded(pairs: DataFrame, signed: DataFrame, similarity: Fraction) -> DataFrame:
+    """The ``pairs`` that all parities leave open, before any text is read."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            odd = [np.frombuffer(b"".join(batch.column(f"odd_{c}").to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in "ab"]
+            total = batch.column("total").to_numpy().astype(np.int64)
+            apart = np.bitwise_count(odd[0] ^ odd[1]).sum(1, dtype=np.int64)
+            open_ = apart <= total - 2 * least_common(total, np.zeros_like(total), similarity)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(open_))
+
+    once = signed.groupBy("node").agg(F.first("odd").alias("odd"), F.first("size").alias("size"))
+    of = lambda c: once.select(F.col("node").alias(c), F.col("odd").alias(f"odd_{c}"), F.col("size").alias(f"size_{c}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    return met.select("a", "b", "odd_a", "odd_b", (F.col("size_a") + F.col("size_b")).alias("total")).mapInArrow(compare, "a long, b long")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose whole sets of shingles are alike."""
 
@@ -196,10 +222,10 @@ def _grouped(docs: DataFrame, words: int, exact: Fraction) -> DataFrame:
     signed = stored(signatures(docs, words, exact))
     classes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected_components(hamming_links(classes.select("fp"))).withColumnRenamed("node", "fp")
-    nodes = signed.filter(F.col("size") > 0).drop("doc_id").dropDuplicates(["node"]).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    pairs = stored(candidates(nodes, exact))
+    rooted = stored(signed.select("node", "fp").distinct().join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")))
+    nodes = signed.filter(F.col("size") > 0).select("node", "size", "keys", "odd0", "odd1").dropDuplicates(["node"]).join(rooted, "node")
+    pairs = stored(bounded(stored(candidates(nodes, exact)), signed, exact))
     alike = stored(verified(docs, pairs, words, exact))
-    rooted = signed.select("node", "fp").distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of = lambda c: rooted.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     links = alike.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     tops = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
