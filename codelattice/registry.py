@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.functions import columns as fn
-from codelattice.operators import context, graph, ingest, lookup, snapshots, sync
+from codelattice.operators import analyze, context, graph, ingest, lookup, snapshots, sync
 from codelattice.plans import dsl, graph_json
 from codelattice.schema import Catalog
 from codelattice.sources import generated
@@ -309,6 +309,31 @@ def dsl_classes_all(c: Catalog) -> DataFrame:
     return rows.select("project", F.col("className").alias("class_name"), F.col("classType").alias("class_type"), "description", F.col("sourceFile").alias("source_file"), F.col("entryPoint").alias("entry_point"), text_of("dependencies").alias("dependencies"), text_of("dependents").alias("dependents"), text_of(_method_texts("methods")).alias("methods"))
 
 
+@query(
+    f"""select p.name as project, full_class_name as class_name, class_type, c.description, entry_point, coalesce(d.t, '') as dependencies, coalesce(r.t, '') as dependents, coalesce(m.t, '') as methods
+from kg_classes c join kg_projects p on p.id = c.project_id join (select distinct class_name from kg_frames) f on f.class_name = full_class_name
+left join (select project_id, src, string_agg(dst, ',' order by dst) as t from kg_edges group by 1, 2) d on d.project_id = c.project_id and src = full_class_name
+left join (select project_id, dst, string_agg(src, ',' order by src) as t from kg_edges group by 1, 2) r on r.project_id = c.project_id and dst = full_class_name
+left join ({_METHOD_LIST} group by class_id) m on m.class_id = c.id"""
+)
+def dsl_class_overviews(c: Catalog) -> DataFrame:
+    wanted = c.classes.join(c.frames.select(F.col("class_name").alias("full_class_name")).distinct(), "full_class_name", "left_semi")
+    rows = dsl.classes(c, includes=("dependencies", "dependents", "methods"), only=wanted)
+    return rows.select("project", F.col("className").alias("class_name"), F.col("classType").alias("class_type"), "description", F.col("entryPoint").alias("entry_point"), text_of("dependencies").alias("dependencies"), text_of("dependents").alias("dependents"), text_of(_method_texts("methods")).alias("methods"))
+
+
+@query(
+    """select p.name as project, full_class_name as class_name, m.method_name, m.description, m.line_number
+from (select distinct class_name, method_name from kg_frames) f join kg_classes c on full_class_name = class_name join kg_projects p on p.id = c.project_id
+join (select *, row_number() over (partition by class_id, lower(method_name) order by line_number nulls last, method_name, id) as r from kg_methods) m on m.class_id = c.id and lower(m.method_name) = lower(f.method_name) and r = 1"""
+)
+def dsl_methods_by_name(c: Catalog) -> DataFrame:
+    nodes = c.classes.join(c.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id")
+    asked = nodes.join(c.frames, F.col("full_class_name") == F.col("class_name")).select("project", F.col("full_class_name").alias("className"), F.upper("method_name").alias("method"))
+    rows = dsl.method_named(c, nodes, asked)
+    return rows.select("project", F.col("className").alias("class_name"), F.col("methodName").alias("method_name"), "description", F.col("lineNumber").alias("line_number"))
+
+
 def _method_texts(name: str) -> Column:
     return F.transform(name, lambda m: F.concat(m["methodName"], F.lit("|"), F.coalesce(m["httpEndpoint"], F.lit("-"))))
 
@@ -543,12 +568,22 @@ def sync_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.merged(old, new, _actions(old, new)).select("id", "project_id", "full_class_name", "content")
 
 
-QUERIES |= {"sync_actions": sync_actions, "sync_counters": sync_counters, "sync_merged": sync_merged}
+def sync_merged_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a 7 in their name could not be read: their classes keep their old rows."""
+    _, old, new = _states(spark, sf_dir)
+    parsed = new.select("project_id", "source_file", (~F.contains("source_file", F.lit("7"))).alias("ok"))
+    return sync.merged(old, new, _actions(old, new), parsed).select("id", "project_id", "full_class_name", "content")
+
+
+QUERIES |= {"sync_merged_unreadable": sync_merged_unreadable, "sync_actions": sync_actions, "sync_counters": sync_counters, "sync_merged": sync_merged}
 ORACLES |= {
     "sync_actions": with_views(f"with {_STATES} select * from actions"),
     "sync_counters": with_views(
         f"with {_STATES} select name, count(*) filter (action = 'add') as added, count(*) filter (action = 'update') as updated, count(*) filter (action = 'delete') as deleted, count(*) filter (action = 'keep') as unchanged from kg_projects p left join actions on project_id = p.id group by name"
     ),
+    "sync_merged_unreadable": with_views(
+        f"with {_STATES} select 'c' || o_custkey as id, project_id, full_class_name, (case when a = 0 or not contains(source_file, '7') then b else a end)::varchar as content from states join kg_classes on id = 'c' || o_custkey where b > 0"
+    ),
     "sync_merged": with_views(f"with {_STATES} select 'c' || o_custkey as id, project_id, full_class_name, b::varchar as content from states join kg_classes on id = 'c' || o_custkey where b > 0"),
 }
 
@@ -570,6 +605,14 @@ def ingest_java_nodes(c: Catalog) -> DataFrame:
     return ingest.java(generated.java_files(c))["nodes"].select("project_id", "identifier", "class_type", "entry_point")
 
 
+@query("select project_id, full_class_name as identifier, cast(1 as bigint) as n, 'm2/src/main/java/' || replace(full_class_name, '.', '/') || '.java' as source_file from kg_classes")
+def analyzed_classes(c: Catalog) -> DataFrame:
+    """Every class in two modules of its project: one row each, of the last."""
+    twice = generated.java_files(c).select("project_id", F.explode(F.transform(F.array(F.lit("m1/"), F.lit("m2/")), lambda m: F.concat(m, "path"))).alias("path"), "content")
+    nodes = analyze.parse(twice.withColumn("length", F.char_length("content").cast("long")))["nodes"]
+    return nodes.groupBy("project_id", "identifier").agg(F.count("*").alias("n"), F.max("path").alias("source_file"))
+
+
 @query("select project_id, src, dst from kg_edges")
 def ingest_java_edges(c: Catalog) -> DataFrame:
     return ingest.java_edges(ingest.java(generated.java_files(c)))
