@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelattice.functions.columns import bare_method_name, http_endpoint, json_list
 from codelattice.operators.graph import adjacency, base_packages, neighbours, parameter_links, type_histogram
-from codelattice.operators.lookup import has_endpoint, class_counts, classes_by_name, endpoint_counts
+from codelattice.operators.lookup import has_endpoint, class_counts, classes_by_name, endpoint_counts, names_that_hold
 from codelattice.schema import Catalog
 
 
@@ -37,12 +37,12 @@ def _with_known_projects(catalog: Catalog, rows: DataFrame, missing: Column) ->
 def search(catalog: Catalog, queries: DataFrame) -> DataFrame:
     """(project, query, class columns, total): nodes whose name holds the query in any case.
 
-    ``queries`` has (project, query); its rows are the query set, each compared
-    with the nodes of its project.
+    ``queries`` has (project, query).
     """
     nodes = catalog.classes.join(catalog.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id")
     totals = nodes.groupBy("project").agg(F.count("*").alias("total"))
-    found = nodes.join(queries, "project").filter(F.contains(F.lower("full_class_name"), F.lower("query")))
+    held = names_that_hold(nodes, queries.withColumnRenamed("query", "wanted")).withColumnRenamed("wanted", "query")
+    found = nodes.join(held, ["project", "id"])
     return found.join(totals, "project").select("project", "query", F.col("full_class_name").alias("className"), F.col("class_type").alias("classType"), "description", F.col("entry_point").alias("entryPoint"), F.col("source_file").alias("sourceFile"), "ordinal", "total")
 
 

@@ -86,6 +86,28 @@ def classes_in_packages(catalog: Catalog, prefixes: DataFrame) -> DataFrame:
     return each.join(prefixes.select("prefix").distinct(), "prefix")
 
 
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters of a text of three or more."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - 2), lambda at: F.substr(text, at, F.lit(3))))
+
+
+def names_that_hold(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(project, wanted, id) of the ``nodes`` (project, id, full_class_name) whose name holds ``wanted`` in any case.
+
+    A wanted text meets the names by the rarest in its project of its runs of
+    three characters, a join by equality. Only texts of less than three
+    characters are compared with every name of their project.
+    """
+    low, asked = F.lower("full_class_name"), wanted.select("project", "wanted").distinct()
+    each = nodes.filter(F.char_length("full_class_name") >= 3).select("project", "id", low.alias("_name"), F.explode(_grams(low)).alias("_gram"))
+    counts = each.groupBy("project", "_gram").agg(F.count("*").alias("_n"))
+    parts = asked.filter(F.char_length("wanted") >= 3).select("project", "wanted", F.explode(_grams(F.lower("wanted"))).alias("_gram"))
+    rarest = parts.join(counts, ["project", "_gram"], "left").groupBy("project", "wanted").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    found = rarest.join(each, ["project", "_gram"]).filter(F.contains("_name", F.lower("wanted"))).select("project", "wanted", "id")
+    short = nodes.join(asked.filter(F.char_length("wanted") < 3), "project").filter(F.contains(low, F.lower("wanted"))).select("project", "wanted", "id")
+    return found.union(short)
+
+
 def class_counts(catalog: Catalog) -> DataFrame:
     return catalog.classes.groupBy("project_id").agg(F.count("*").alias("class_count"))
 
