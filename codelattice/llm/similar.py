@@ -21,8 +21,9 @@ SIMILARITY = 0.8
 SAMPLE_TEXTS = 5_000
 COMMON_IN_SAMPLE = 3
 COMMON_MOST = 100_000
-#: Of a set's parities, all are compared for a pair, and those folded to fewer within a key.
-PARITY_BITS, FOLDED_BITS = 1024, 128
+SIEVE = 1 << 20
+#: Parities are compared within a key, counts for the pairs that are left.
+PARITY_BITS, BUCKETS = 128, 512
 
 
 def shingle_set(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -35,15 +36,15 @@ def text_node(text: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(text.encode().lower().split()))).view(np.int64))
 
 
-def parities(own: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
-    """Bits, each the parity of how many shingles fall to it."""
-    odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+def parities(own: np.ndarray) -> np.ndarray:
+    """Two longs of bits, each the parity of how many shingles fall to it."""
+    odd = np.bincount((own % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
-def folded(odd: np.ndarray) -> np.ndarray:
-    """The parities of fewer bits, as two longs."""
-    return np.bitwise_xor.reduce(odd.reshape(-1, FOLDED_BITS // 64), axis=0).view(np.int64)
+def bucket_counts(own: np.ndarray) -> bytes:
+    """How many shingles fall in each bucket, up to 255."""
+    return np.minimum(np.bincount((own % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
 def least_common(size: np.ndarray, other: np.ndarray, similarity: Fraction) -> np.ndarray:
@@ -96,7 +97,7 @@ def _pairs(frame: pd.DataFrame, similarity: Fraction) -> Iterator[pd.DataFrame]:
 
 
 def signatures(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """(doc_id, fp, node, size, keys, odd, odd0, odd1) of each row: op3's fingerprint, a hash of the words, the first shingles of the text's set, its parities and these folded.
+    """(doc_id, fp, node, size, keys, counts, odd0, odd1) of each row: op3's fingerprint, a hash of the words, the first shingles of the text's set, its counts by bucket and its parities.
 
     Two sets that are ``similarity`` alike share one shingle at least among the
     first ``size - ceil(similarity * size) + 1`` of each, in any order common to
@@ -110,10 +111,10 @@ def signatures(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
         by_hash = np.argsort(common)
         known = common[by_hash]
         for batch in text_batches(batches):
-            texts, keys, sizes, odd = texts_of(batch), [], [], []
+            texts, keys, sizes, odd, counts = texts_of(batch), [], [], [], []
             for text in texts:
                 own = shingle_set(text, words)
-                odd.append(parities(own))
+                odd.append(parities(own)), counts.append(bucket_counts(own))
                 if len(known) and len(own):
                     place = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     late = known[place] == own
@@ -128,13 +129,13 @@ def signatures(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
                 pa.array([text_node(t) for t in texts], pa.int64()),
                 pa.array(sizes, pa.int32()),
                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))),
-                pa.array([x.tobytes() for x in odd], pa.binary()),
-                *map(pa.array, np.stack([folded(x) for x in odd], 1)),
+                pa.array(counts, pa.binary()),
+                *map(pa.array, np.stack(odd, 1)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "size", "keys", "odd", "odd0", "odd1"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "node", "size", "keys", "counts", "odd0", "odd1"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, fp long, node long, size int, keys array<long>, odd binary, odd0 long, odd1 long")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, fp long, node long, size int, keys array<long>, counts binary, odd0 long, odd1 long")
 
 
 def candidates(signed: DataFrame, similarity: Fraction) -> DataFrame:
@@ -164,30 +165,41 @@ def candidates(signed: DataFrame, similarity: Fraction) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, signed: DataFrame, similarity: Fraction) -> DataFrame:
-    """The ``pairs`` that all parities leave open, before any text is read."""
+    """The ``pairs`` that ``counts`` leave open, before any text is read.
+
+    The counts of two sets differ by no more than the number of shingles that
+    one of them has alone, so no pair that is alike goes.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            odd = [np.frombuffer(b"".join(batch.column(f"odd_{c}").to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in "ab"]
-            total = batch.column("total").to_numpy().astype(np.int64)
-            apart = np.bitwise_count(odd[0] ^ odd[1]).sum(1, dtype=np.int64)
-            open_ = apart <= total - 2 * least_common(total, np.zeros_like(total), similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(open_))
-
-    once = signed.groupBy("node").agg(F.first("odd").alias("odd"), F.first("size").alias("size"))
-    of = lambda c: once.select(F.col("node").alias(c), F.col("odd").alias(f"odd_{c}"), F.col("size").alias(f"size_{c}"))
+            for part in (batch.slice(i, 1 << 12) for i in range(0, batch.num_rows, 1 << 12)):
+                of = [np.frombuffer(b"".join(part.column(f"counts_{c}").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in "ab"]
+                total = part.column("total").to_numpy().astype(np.int64)
+                apart = np.abs(of[0] - of[1]).sum(1, dtype=np.int64)
+                open_ = apart <= total - 2 * least_common(total, np.zeros_like(total), similarity)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(open_))
+
+    once = signed.groupBy("node").agg(F.first("counts").alias("counts"), F.first("size").alias("size"))
+    of = lambda c: once.select(F.col("node").alias(c), F.col("counts").alias(f"counts_{c}"), F.col("size").alias(f"size_{c}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b")
-    return met.select("a", "b", "odd_a", "odd_b", (F.col("size_a") + F.col("size_b")).alias("total")).mapInArrow(compare, "a long, b long")
+    return met.select("a", "b", "counts_a", "counts_b", (F.col("size_a") + F.col("size_b")).alias("total")).mapInArrow(compare, "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose whole sets of shingles are alike."""
 
+    needed = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    # Most texts are in no pair: a sieve of fixed size keeps them from being shuffled.
+    places = needed.select(F.pmod("node", F.lit(SIEVE)).alias("place")).distinct().toArrow().column("place").to_numpy()
+    sieve = np.zeros(SIEVE, bool)
+    sieve[places] = True
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
+
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([text_node(t) for t in texts_of(batch)], pa.int64()), batch.column("text")], ["node", "text"])
+            node = np.array([text_node(t) for t in texts_of(batch)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), batch.column("text")], ["node", "text"]).filter(pa.array(sent.value[node % SIEVE]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +210,6 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: Fraction
                 keep.append(common * similarity.denominator >= (len(x) + len(y) - common) * similarity.numerator)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     texts = stored(docs.select("text").mapInArrow(name, "node long, text string").join(needed, "node", "left_semi").dropDuplicates(["node"]))
     of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
@@ -210,7 +221,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: flo
     Two texts are linked as by ``simhash.near_duplicates``, or if their sets of
     ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
     All such pairs are found: those that op3's links do not join already are
-    searched for by shared shingles, bounded by parities and verified by their whole sets.
+    searched for by shared shingles, bounded by parities and counts and verified by their whole sets.
 
     Edge cases: as in ``simhash.near_duplicates``. Texts with the same words in
     order are one node, and texts without words have no shingles.
