@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their SQL."""
 
-from codelattice.llm import bpe, decontaminate, language_id, line_dedup, pseudonyms, quality_model, quality_rules, secret_scan, simhash, tree_model
+from codelattice.llm import bpe, decontaminate, divergence, language_id, line_dedup, pseudonyms, quality_model, quality_rules, secret_scan, simhash, tree_model, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,10 +13,13 @@ QUERIES = {
     "op8_quality_model": quality_model.op8_quality_model,
     "op9_context_tree_score": tree_model.op9_context_tree_score,
     "op10_subword_codec": bpe.op10_subword_codec,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_secret_scan": secret_scan.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
 }
