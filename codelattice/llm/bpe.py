@@ -57,7 +57,9 @@ class PrefixTable:
         self.automaton.add_word(SPACE, SPACE)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        #: Ids of chunks that decode to themselves, and the decoded texts of the others of the text at hand.
+        self.known: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     def last_merges(self, words: list[str]) -> dict[str, tuple[str, str]]:
         """The two parts from which each piece is made at last; none for one that merging never makes."""
@@ -178,24 +180,27 @@ class PrefixTable:
         text = "".join(out)
         return text[1:] if first and text[:1] == " " else text
 
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, and the text that they decode to."""
-        found = self.known.get(chunk)
-        if found is None:
-            ids = self.ids(chunk)
-            found = len(ids), ",".join(map(str, ids)), self.decode(ids, first=False)
-            if len(chunk) <= LONGEST_CACHED:
-                if len(self.known) >= CACHED_CHUNKS:
-                    self.known.clear()
-                self.known[chunk] = found
+    def learn(self, chunk: str) -> str:
+        """The ids of ``chunk``, joined by commas; what they decode to is kept in ``odd`` if it isn't the chunk itself."""
+        ids = self.ids(chunk)
+        found, decoded = ",".join(map(str, ids)), self.decode(ids, first=False)
+        if decoded != chunk.replace(SPACE, " "):
+            self.odd[chunk] = decoded
+        elif len(chunk) <= LONGEST_CACHED:
+            if len(self.known) >= CACHED_CHUNKS:
+                self.known.clear()
+            self.known[chunk] = found
         return found
 
     def encode(self, text: str) -> tuple[int, str, str]:
-        """As ``chunk``, for a whole text. A chunk never holds part of a byte sequence."""
+        """Number of ids, the ids joined by commas, and the text that they decode to. A chunk never holds part of a byte sequence."""
         if not text:
             return 0, "", ""
-        parts = [self.chunk(c) for c in self.chunks(SPACE + text.replace(" ", SPACE))]
-        return sum(p[0] for p in parts), ",".join([p[1] for p in parts]), "".join([p[2] for p in parts])[1:]
+        known, learn, self.odd = self.known.get, self.learn, {}
+        chunks = self.chunks(SPACE + text.replace(" ", SPACE))
+        joined = ",".join([known(c) or learn(c) for c in chunks])
+        decoded = [self.odd.get(c, c) for c in chunks] if self.odd else chunks
+        return joined.count(",") + 1, joined, "".join(decoded).replace(SPACE, " ")[1:]
 
 
 def vocabulary(path: str) -> tuple[list[str], list[float], list[str]]:
