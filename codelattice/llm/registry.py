@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their SQL."""
 
-from codelattice.llm import bpe, decontaminate, divergence, language_id, line_dedup, pseudonyms, quality_model, quality_rules, secret_scan, simhash, tree_model, whitening
+from codelattice.llm import bpe, decontaminate, divergence, language_id, license_scan, line_dedup, pseudonyms, quality_model, quality_rules, secret_scan, simhash, tree_model, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_subword_codec": bpe.op10_subword_codec,
     "op11_embedding_whitening": whitening.op11_embedding_whitening,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_license_scan": license_scan.op13_license_scan,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_quality_rules": quality_rules.ORACLE,
     "op7_secret_scan": secret_scan.ORACLE,
     "op12_source_divergence": divergence.ORACLE,
+    "op13_license_scan": license_scan.ORACLE,
 }
