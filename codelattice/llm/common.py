@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,14 @@ def is_held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system: workers outlive their tasks, and hold freed memory otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose texts hold about ``limit`` bytes, one row at least."""
     for batch in batches:
@@ -42,6 +51,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import finished, stored, text_batches, texts_of
+from codelattice.llm.common import finished, give_back, stored, text_batches, texts_of
 from codelattice.llm.components import connected_components
 from codelattice.llm.simhash import fingerprints_of, hamming_links, shingle_hashes
 
@@ -159,6 +159,7 @@ def candidates(signed: DataFrame, similarity: Fraction) -> DataFrame:
             held.append(frame.iloc[whole:])
         if held:
             yield from _pairs(pd.concat(held, ignore_index=True), similarity)
+        give_back()
 
     rows = signed.select("node", "root", "size", "odd0", "odd1", F.posexplode("keys").alias("at", "key"))
     return rows.repartition("key").sortWithinPartitions("key", "size").mapInPandas(meet, "a long, b long").distinct()
@@ -202,7 +203,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: Fraction
             yield pa.RecordBatch.from_arrays([pa.array(node), batch.column("text")], ["node", "text"]).filter(pa.array(sent.value[node % SIEVE]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(text_batches(batches, "text_a"), "text_b"):
             keep = []
             for one, other in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 x, y = shingle_set(one, words), shingle_set(other, words)
