@@ -633,6 +633,12 @@ def ingest_script_endpoints(c: Catalog) -> DataFrame:
     return rows.filter(fn.is_endpoint(F.col("http_method"), F.col("http_path"))).select("project_id", "identifier", "method_name", "http_method", "http_path")
 
 
+@query("select project_id, full_class_name as identifier, method_name, count(*) as times from kg_methods m join kg_classes c on c.id = class_id group by 1, 2, 3")
+def ingest_script_members(c: Catalog) -> DataFrame:
+    """Members of objects, functions and named arrows."""
+    return ingest.script(generated.script_modules(c))["methods"].groupBy("project_id", "identifier", "method_name").agg(F.count("*").alias("times"))
+
+
 @query("select project_id, src, dst from kg_edges")
 def ingest_script_edges(c: Catalog) -> DataFrame:
     return ingest.script_edges(ingest.script(generated.script_files(c)))
@@ -651,6 +657,25 @@ def ingest_go_methods(c: Catalog) -> DataFrame:
     return rows.select("project_id", F.translate(F.regexp_replace("identifier", "^example.org/m/", ""), "/", ".").alias("identifier"), "method_name", (F.size("exceptions") > 0).alias("panics"))
 
 
+@query(
+    """with found as (
+  select project_id, full_class_name, (select count(*) from kg_edges e where e.project_id = c.project_id and e.src = c.full_class_name) as n_edges,
+    (select count(*) from kg_methods m where m.class_id = c.id) as n_methods from kg_classes c)
+select project_id, full_class_name as identifier, t.type as type, t.kind as kind,
+  case when t.type = 'Service' then n_edges + 3 else 0 end as n_fields, case when t.type = 'Service' then n_methods else 0 end as n_bound, t.n_asked as n_asked, t.held as held
+from found cross join (values ('Service', 'struct', 0, 'Base'), ('Keeper', 'interface', 1, 'io.Closer'), ('Base', 'struct', 0, '')) as t(type, kind, n_asked, held)"""
+)
+def ingest_go_types(c: Catalog) -> DataFrame:
+    """Structs and interfaces of packages, with fields, embedded types and the methods of all files that are bound to them."""
+    of = ingest.go_types(ingest.go(generated.go_type_files(c)))
+    base = ["project_id", "identifier", "type"]
+    counted = lambda part, name: of[part].groupBy(*base).agg(F.count("*").cast("int").alias(name))
+    held = of["embedded"].groupBy(*base).agg(text_of(F.array_sort(F.collect_list("embedded"))).alias("held"))
+    rows = of["types"].select(*base, "kind").join(counted("fields", "n_fields"), base, "left").join(counted("bound", "n_bound"), base, "left").join(counted("signatures", "n_asked"), base, "left").join(held, base, "left")
+    named = F.translate(F.regexp_replace("identifier", "^example.org/m/", ""), "/", ".").alias("identifier")
+    return rows.na.fill(0).na.fill("", ["held"]).select("project_id", named, "type", "kind", "n_fields", "n_bound", "n_asked", "held")
+
+
 # ---------------------------------------------------------------- other tables
 
 
