@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelattice.functions.columns import dotted_prefixes, is_endpoint
+from codelattice.functions.columns import is_endpoint
 from codelattice.schema import Catalog
 
 
@@ -79,11 +79,22 @@ def classes_by_name(catalog: Catalog, names: DataFrame) -> DataFrame:
 def classes_in_packages(catalog: Catalog, prefixes: DataFrame) -> DataFrame:
     """(prefix, class columns) for each ``prefix`` that is a class's package or one above it.
 
-    A package has as many prefixes as segments, so the prefix test is a join by
-    equality on these.
+    A package begins with a prefix of so many segments if its first segments
+    are equal to it, so the test is a join by equality. Of a class only the
+    lengths that prefixes have are tried, mostly one; they are as few as the
+    segments of the longest. Files whose packages are all before the first
+    prefix or behind the last are not read.
     """
-    each = catalog.classes.withColumn("prefix", F.explode(dotted_prefixes(F.col("package_name"))))
-    return each.join(prefixes.select("prefix").distinct(), "prefix")
+    segments = lambda c: F.size(F.split(c, "[.]"))
+    asked = prefixes.select("prefix").distinct().filter(F.col("prefix").isNotNull())
+    lengths, first, last = prefixes.agg(F.sort_array(F.collect_set(segments(F.col("prefix")))), F.min("prefix"), F.max("prefix")).first()
+    if not lengths:
+        return catalog.classes.limit(0).join(asked, F.lit(False)).select(*catalog.classes.columns, "prefix")
+    package = F.col("package_name")
+    begins = F.array(*(F.when(segments(package) >= n, F.substring_index(package, ".", n)) for n in lengths))
+    near = catalog.classes.filter((package >= first) & (package <= last + "\U0010ffff"))
+    each = near.withColumn("prefix", begins[0] if len(lengths) == 1 else F.explode(begins))
+    return each.join(asked, "prefix")
 
 
 def _grams(text: Column) -> Column:

@@ -1,15 +1,26 @@
-"""Versions of a catalog on disk, and changes of its tables as new versions."""
+"""Versions of a catalog on disk, and changes of its tables as new versions.
+
+Tables that belong to projects are folders by project. A version holds those
+projects that were written with it, and its mark names for each table the
+versions that hold the others, so a project is replaced by writing its rows only.
+"""
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from codelattice.schema import Catalog, DomainError, check_transition
 
 TABLES = ("projects", "classes", "methods", "params", "edges")
+OWNED = TABLES[1:]
+#: A table that so many versions hold is written anew, whole, by the next that changes some projects.
+MOST_PARTS = 16
 
 
 def _root(spark: SparkSession, folder: str):
@@ -29,33 +40,92 @@ def current_version(spark: SparkSession, folder: str) -> str:
     return marked[-1]
 
 
-def places(spark: SparkSession, folder: str, version: str | None = None) -> dict[str, str]:
-    """Folder of each table of a version, the newest by default: its own or, for tables that did not change, an earlier version's."""
+def manifest(spark: SparkSession, folder: str, version: str | None = None) -> dict[str, dict]:
+    """Of each table its ``schema`` and its ``parts``, [version, project ids] from the first; the first holds all other projects."""
     version = version or current_version(spark, folder)
-    rows = spark.read.text(f"{folder}/{version}/whole.txt").collect()
-    named = dict(r.value.split("=", 1) for r in rows)
-    return {name: f"{folder}/{named[name]}/{name}" for name in TABLES}
-
-
-def publish(catalog: Catalog, folder: str, changed: tuple[str, ...] = TABLES) -> str:
+    (row,) = spark.read.text(f"{folder}/{version}/whole.txt", wholetext=True).collect()
+    return json.loads(row.value)
+
+
+def _named(spark: SparkSession, project_id: str) -> str:
+    return f"project_id={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(project_id)}"
+
+
+def read_table(spark: SparkSession, folder: str, name: str, of: dict, projects: list[str] | None = None) -> DataFrame:
+    """A table as its part of a manifest says; of ``projects`` only their files are listed and read."""
+    schema = StructType.fromJson(of["schema"])
+    if name not in OWNED:
+        return spark.read.schema(schema).parquet(f"{folder}/{of['parts'][0][0]}/{name}")
+    stored = schema if "project_id" in schema.names else StructType([*schema.fields, StructField("project_id", StringType())])
+    _, system = _root(spark, folder)
+    frames, later = [], set()
+    for version, ids in reversed(of["parts"]):
+        at = f"{folder}/{version}/{name}"
+        mine = None if ids is None else [i for i in ids if i not in later]
+        held = F.lit(True) if mine is None and not later else ~F.coalesce(F.col("project_id").isin(*later), F.lit(False)) if mine is None else F.col("project_id").isin(*mine)
+        if projects is None:
+            frames.append(spark.read.schema(stored).parquet(at).filter(held))
+        else:
+            wanted = [i for i in projects if i not in later and (mine is None or i in mine)]
+            found = [path for path in (f"{at}/{_named(spark, i)}" for i in wanted) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(path))]
+            if found:
+                frames.append(spark.read.schema(stored).option("basePath", at).parquet(*found))
+        later |= set(ids or ())
+    whole = reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], stored)
+    return whole.select(schema.names)
+
+
+def _with_owners(catalog: Catalog) -> dict[str, DataFrame]:
+    """The owned tables with the project of each row; null where a method's class, or a parameter's method, is not there."""
+    of_class = catalog.classes.select(F.col("id").alias("class_id"), "project_id").dropDuplicates(["class_id"])
+    methods = catalog.methods.join(of_class, "class_id", "left").select(*catalog.methods.columns, "project_id")
+    of_method = methods.select(F.col("id").alias("method_id"), "project_id").dropDuplicates(["method_id"])
+    params = catalog.params.join(of_method, "method_id", "left").select(*catalog.params.columns, "project_id")
+    return {"classes": catalog.classes, "methods": methods, "params": params, "edges": catalog.edges}
+
+
+def publish(catalog: Catalog, folder: str, changed: tuple[str, ...] = TABLES, projects: DataFrame | None = None) -> str:
     """Writes the ``changed`` tables of a version beside those before it and marks it whole at the end.
 
-    The mark names the version that holds each table, so those that did not
-    change are not written again. Readers see the new version once it has its
-    mark; what a plan is reading is never overwritten. Classes are sorted by
-    name within files, so their row groups can be skipped by name.
+    With ``projects`` (project_id) the version holds the rows of these only, and
+    a project without rows is one that went; ``catalog`` need not have the rows
+    of others. What did not change is not written again. Readers see the new
+    version once it has its mark; what a plan is reading is never overwritten.
+    A project's rows are split over as many files as their size asks for, and
+    classes are sorted by name within files, so their row groups can be skipped.
     """
     spark = catalog.projects.sparkSession
     path, system = _root(spark, folder)
     number = len(system.listStatus(path)) if system.exists(path) else 0
     version = f"v{number:06d}"
-    held = {} if set(changed) == set(TABLES) else {name: at.rsplit("/", 2)[-2] for name, at in places(spark, folder).items()}
+    of = {} if set(changed) == set(TABLES) and projects is None else manifest(spark, folder)
+    ids = None if projects is None else sorted(r.project_id for r in projects.select("project_id").distinct().collect())
+    owned = _with_owners(catalog) if set(changed) & set(OWNED) else {}
     for name in changed:
         table = getattr(catalog, name)
-        ordered = table.sortWithinPartitions("project_id", "full_class_name") if name == "classes" else table
-        ordered.write.mode("errorifexists").parquet(f"{folder}/{version}/{name}")
+        schema = json.loads(table.schema.json())
+        if name not in OWNED:
+            table.write.mode("errorifexists").parquet(f"{folder}/{version}/{name}")
+            of[name] = {"schema": schema, "parts": [[version, None]]}
+            continue
+        table, parts = owned[name], [[version, None]]
+        if ids is not None:
+            table = table.join(projects.select("project_id").distinct(), "project_id", "left_semi").select(table.columns)
+            before = of[name]
+            if len(before["parts"]) < MOST_PARTS:
+                # What a part held of these projects isn't named any more.
+                kept = [[v, held if held is None else [i for i in held if i not in set(ids)]] for v, held in before["parts"]]
+                parts = [[v, held] for v, held in kept if held is None or held] + [[version, ids]]
+            else:
+                rest = read_table(spark, folder, name, before | {"schema": json.loads(table.schema.json())})
+                rest = rest.join(projects.select("project_id").distinct(), "project_id", "left_anti")
+                table = table.unionByName(rest.select(table.columns))
+        dealt = table.hint("rebalance", "project_id")
+        ordered = dealt.sortWithinPartitions("project_id", *(["full_class_name"] if name == "classes" else []))
+        ordered.write.mode("errorifexists").partitionBy("project_id").parquet(f"{folder}/{version}/{name}")
+        of[name] = {"schema": schema, "parts": parts}
     mark = system.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{version}", "whole.txt"))
-    mark.write("\n".join(f"{name}={version if name in changed else held[name]}" for name in TABLES).encode())
+    mark.write(json.dumps({name: of[name] for name in TABLES}).encode())
     mark.close()
     return version
 

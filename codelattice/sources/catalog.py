@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codelattice.schema import Catalog
 
@@ -90,12 +91,17 @@ def from_orders(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog(*(frames[f"kg_{name}"] for name in ("projects", "classes", "methods", "params", "edges", "frames")))
 
 
-def load(spark: SparkSession, folder: str) -> Catalog:
-    """A catalog that ``operators.snapshots.publish`` wrote: its latest version."""
-    from codelattice.operators.snapshots import places
+def load(spark: SparkSession, folder: str, projects: list[str] | None = None) -> Catalog:
+    """A catalog that ``operators.snapshots.publish`` wrote: its latest version.
 
-    at = places(spark, folder)
-    return Catalog(*(spark.read.parquet(at[name]) for name in ("projects", "classes", "methods", "params", "edges")))
+    With ``projects`` (ids) it has these only, and only their files are read.
+    """
+    from codelattice.operators.snapshots import OWNED, manifest, read_table
+
+    of = manifest(spark, folder)
+    all_projects = read_table(spark, folder, "projects", of["projects"])
+    mine = all_projects if projects is None else all_projects.filter(F.col("id").isin(*projects))
+    return Catalog(mine, *(read_table(spark, folder, name, of[name], projects) for name in OWNED))
 
 
 def from_jdbc(spark: SparkSession, url: str, properties: dict[str, str], parts: int = 16) -> dict[str, DataFrame]:
