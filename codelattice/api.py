@@ -6,18 +6,23 @@ import json
 import sys
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.functions.columns import is_repository_url, repository_name
-from codelattice.operators import analyze, context, enrich, lookup, snapshots
+from codelattice.operators import analyze, context, enrich, lookup, snapshots, sync
 from codelattice.plans import dsl
 from codelattice.schema import PROJECTS, Catalog, DomainError
 from codelattice.sources import catalog as catalogs
 from codelattice.storage import finished, scratch, stored
 
 
+#: Projects that are read by their own files, and how often a plan that fails is halved.
+FEW, HALVINGS = 1000, 60
+
+
 class Service:
     """Answers from the newest version of a catalog folder; every change is a new version."""
 
@@ -33,6 +38,11 @@ class Service:
         kind, rows = dsl.run(self.catalog, text)
         return dsl.envelope(kind, dsl.parse(text).project, rows)
 
+    def query_pages(self, text: str, size: int = 100) -> DataFrame:
+        """The same results as pages of ``size``, a row each: resultType, project, count, page and results."""
+        kind, rows = dsl.run(self.catalog, text)
+        return dsl.pages(kind, dsl.parse(text).project, rows, dsl.total_order(rows), size)
+
     def query_json(self, text: str) -> str:
         """The same as JSON; an error is ``{"error": code, "message": ...}``."""
         try:
@@ -88,7 +98,7 @@ class Service:
                 catalog = self.catalog
                 fresh = analyze.settled(analyze.analyze(catalog.projects, files))
                 fresh = analyze.keeping_descriptions(catalog, fresh) if keep_descriptions else fresh
-                self._publish(analyze.replaced(catalog, enrich.enriched(fresh, client, files) if client else fresh, ids))
+                self._publish(enrich.enriched(fresh, client, files) if client else fresh, *snapshots.OWNED, projects=ids)
         except Exception as failure:
             self._publish(snapshots.set_statuses(self.catalog, ids, "ERROR"), "projects")
             raise DomainError(str(failure), "REBUILD_FAILED" if keep_descriptions else "ANALYSIS_FAILED") from failure
@@ -98,8 +108,16 @@ class Service:
         """The same without a client: what is said of classes and methods stays."""
         self.analyze(files, keep_descriptions=True)
 
-    def _publish(self, catalog: Catalog, *changed: str) -> None:
-        snapshots.publish(catalog, self.folder, changed or snapshots.TABLES)
+    def _publish(self, catalog: Catalog, *changed: str, projects: DataFrame | None = None) -> None:
+        snapshots.publish(catalog, self.folder, changed or snapshots.TABLES, projects)
+
+    def _catalog_of(self, ids: DataFrame) -> Catalog:
+        """The catalog of the projects ``ids`` (project_id), read from their files alone where they are few."""
+        few = [r.project_id for r in ids.select("project_id").distinct().limit(FEW + 1).collect()]
+        if len(few) <= FEW:
+            return catalogs.load(self.spark, self.folder, few)
+        whole = self.catalog
+        return snapshots.cascade(replace(whole, projects=whole.projects.join(ids.select(F.col("project_id").alias("id")).distinct(), "id", "left_semi").select(whole.projects.columns)))
 
     def register(self, url: str, branch: str = "main") -> DataFrame:
         """A version with one more project, PENDING; PROJECT_ALREADY_EXISTS for a URL that is there."""
@@ -118,22 +136,71 @@ class Service:
         self._publish(snapshots.set_status(self.catalog, project_id, status), "projects")
 
     def delete(self, project_id: str) -> None:
-        self._publish(snapshots.delete_projects(self.catalog, self._keys([(project_id,)], "id string")))
+        catalog = self.catalog
+        gone = self._keys([(project_id,)], "project_id string")
+        none = replace(catalog, **{name: getattr(catalog, name).limit(0) for name in snapshots.OWNED}, projects=snapshots.delete(catalog.projects, gone.select(F.col("project_id").alias("id")), "id"))
+        self._publish(none, projects=gone)
 
-    def synchronise(self, old_files: DataFrame, new_files: DataFrame, client: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    def synchronise(self, old_files: DataFrame, new_files: DataFrame, client: Callable[[list[str]], list[str]] | None = None, full: DataFrame | None = None) -> DataFrame:
         """Publishes the catalog for the new files and returns what became of each class.
 
-        A client is asked about classes without a description. Where no file changed, no version is written.
+        Of the projects ``full`` (project_id) every class is read and asked about
+        again, changed or not. A client is asked about classes without a
+        description. Where no file changed, no version is written, and only the
+        projects in which one did are.
+        """
+        return finished(self.spark, lambda: self._synchronised(self.catalog, old_files, new_files, client, full))
+
+    def _synchronised(self, catalog: Catalog, old_files: DataFrame, new_files: DataFrame, client, full: DataFrame | None) -> DataFrame:
+        fresh, actions = analyze.synchronise(catalog, old_files, new_files, full)
+        changed = stored(actions.filter("action != 'keep'").select("project_id").distinct())
+        if not changed.isEmpty():
+            self._publish(enrich.enriched(fresh, client, new_files) if client else fresh, *snapshots.OWNED, projects=changed)
+        return actions
+
+    def synchronise_all(self, old_files: DataFrame, new_files: DataFrame, client: Callable[[list[str]], list[str]] | None = None, full: DataFrame | None = None) -> DataFrame:
+        """Synchronises every project that is ANALYZED or ERROR, and returns ``sync.outcomes`` of each.
+
+        They are SYNCING meanwhile, then ANALYZED or, each for itself, ERROR.
+        Projects that could not be read (``sync.project_errors``) stay as they
+        were. All others are one plan; where that fails, its halves are tried,
+        until what fails is one project, so the others are published.
         """
 
         def made() -> DataFrame:
-            catalog, actions = analyze.synchronise(self.catalog, old_files, new_files)
-            if not actions.filter("action != 'keep'").isEmpty():
-                self._publish(enrich.enriched(catalog, client, new_files) if client else catalog)
-            return actions
+            catalog = self.catalog
+            eligible = stored(lookup.projects_in(catalog, "ANALYZED", "ERROR"))
+            ids = eligible.select(F.col("id").alias("project_id"))
+            if eligible.isEmpty():
+                return sync.outcomes(eligible, self._keys([], "project_id string, action string"), self._keys([], "project_id string, error string"))
+            self._publish(snapshots.set_statuses(catalog, ids, "SYNCING"), "projects")
+            lost = stored(sync.project_errors(new_files).join(ids, "project_id", "left_semi"))
+            done, failed = self._in_halves(stored(ids.join(lost, "project_id", "left_anti")), old_files, new_files, client, full)
+            errors = stored(reduce(DataFrame.union, failed, lost))
+            actions = reduce(DataFrame.union, done, self._keys([], "project_id string, full_class_name string, action string"))
+            out = stored(sync.outcomes(eligible, actions, errors))
+            for status in ("ERROR", "ANALYZED"):
+                of = out.filter(F.col("status") == status)
+                if not of.isEmpty():
+                    self._publish(snapshots.set_statuses(self.catalog, of, status), "projects")
+            return out
 
         return finished(self.spark, made)
 
+    def _in_halves(self, ids: DataFrame, old_files: DataFrame, new_files: DataFrame, client, full: DataFrame | None, level: int = 0) -> tuple[list[DataFrame], list[DataFrame]]:
+        """What became of the classes of the projects ``ids``, and the error of each project whose plan fails alone."""
+        if ids.isEmpty():
+            return [], []
+        mine = lambda frame: frame.join(ids, "project_id", "left_semi")
+        try:
+            return [stored(self._synchronised(self._catalog_of(ids), mine(old_files), mine(new_files), client, None if full is None else mine(full)))], []
+        except Exception as failure:
+            if level == HALVINGS or ids.count() == 1:
+                return [], [ids.select("project_id", F.lit(str(failure).split("\n")[0][:500]).alias("error"))]
+        halves = [stored(ids.filter(F.getbit(F.xxhash64("project_id"), F.lit(level)) == bit)) for bit in (0, 1)]
+        done, failed = zip(*(self._in_halves(half, old_files, new_files, client, full, level + 1) for half in halves), strict=True)
+        return sum(done, []), sum(failed, [])
+
 
 def create(spark: SparkSession, folder: str, projects: DataFrame | None = None, files: DataFrame | None = None) -> Service:
     """A service over a new folder, with the projects and files given."""

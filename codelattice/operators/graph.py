@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.functions.columns import common_prefix
+from codelattice.operators.ranks import ranked
 from codelattice.schema import Catalog
 from codelattice.storage import finished, stored
 
@@ -92,8 +93,8 @@ def analysis_order(catalog: Catalog) -> DataFrame:
     nodes = catalog.classes.select("project_id", "full_class_name", "entry_point", "ordinal")
     seen = finished(catalog.classes.sparkSession, lambda: _depths(nodes, catalog.edges))
     ordered = nodes.join(seen, ["project_id", "full_class_name"], "left")
-    by = Window.partitionBy("project_id").orderBy(F.asc_nulls_last("depth"), F.when(F.col("depth").isNull(), F.col("ordinal")), "full_class_name")
-    return ordered.select("project_id", "full_class_name", "depth", F.col("depth").isNull().alias("orphan"), F.row_number().over(by).alias("place"))
+    order = [F.asc_nulls_last("depth"), F.when(F.col("depth").isNull(), F.col("ordinal")), F.col("full_class_name")]
+    return ranked(ordered.select("project_id", "full_class_name", "depth", F.col("depth").isNull().alias("orphan"), "ordinal"), ["project_id"], order).drop("ordinal")
 
 
 def _depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Paths of source files.
+SOURCES = r"[.](java|ts|tsx|js|jsx|go)$"
+
 
 def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(project_id, path, change) of two listings (project_id, path, digest): added, modified, deleted or same.
@@ -88,3 +91,31 @@ def merged_methods(old: DataFrame, new: DataFrame, actions: DataFrame) -> DataFr
     take = actions.filter("action in ('add', 'update')").select("project_id", "full_class_name")
     blank = new.withColumns({c: F.lit(None).cast(new.schema[c].dataType) for c in ("description", "business_logic") if c in new.columns})
     return old.join(keep, ["project_id", "full_class_name"], "left_semi").unionByName(blank.join(take, ["project_id", "full_class_name"], "left_semi"), allowMissingColumns=True)
+
+
+def project_errors(files: DataFrame) -> DataFrame:
+    """(project_id, error) of the projects that can't be synchronised from ``files`` (project_id, path, content, maybe error).
+
+    A row without a path says that its project could not be listed, and why. A
+    project whose source files all hold no text is not read either.
+    """
+    why = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    listed = files.groupBy("project_id").agg(
+        F.max(F.col("path").isNull()).alias("lost"),
+        F.min(F.when(F.col("path").isNull(), why)).alias("why"),
+        F.count_if(F.regexp_like("path", F.lit(SOURCES))).alias("sources"),
+        F.count_if(F.regexp_like("path", F.lit(SOURCES)) & F.col("content").isNotNull()).alias("texts"),
+    )
+    error = F.when(F.col("lost"), F.coalesce("why", F.lit("the project could not be read"))).when((F.col("sources") > 0) & (F.col("texts") == 0), "no source file could be read")
+    return listed.select("project_id", error.alias("error")).filter("error is not null")
+
+
+def outcomes(projects: DataFrame, actions: DataFrame, errors: DataFrame) -> DataFrame:
+    """Of each project of ``projects``: projectName, success, error, the status that it comes to, and its counters.
+
+    What fails in one project says nothing of the others.
+    """
+    first = errors.groupBy("project_id").agg(F.min("error").alias("error"))
+    counted = counters(projects, actions.join(first, "project_id", "left_anti")).join(first, "project_id", "left")
+    failed = F.col("error").isNotNull()
+    return counted.select("project_id", "projectName", (~failed).alias("success"), "error", F.when(failed, "ERROR").otherwise("ANALYZED").alias("status"), "addedClasses", "updatedClasses", "deletedClasses", "unchangedClasses")

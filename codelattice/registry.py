@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from codelattice.functions import columns as fn
 from codelattice.operators import analyze, context, graph, ingest, lookup, snapshots, sync
+from codelattice.operators.ranks import ranked
 from codelattice.plans import dsl, graph_json
-from codelattice.schema import Catalog
-from codelattice.sources import generated
+from codelattice.schema import GRAPH_JSON, Catalog
+from codelattice.sources import files, generated
 from codelattice.sources.catalog import from_orders, with_views
 from codelattice.streaming import frames as frame_stream
 
@@ -53,10 +54,7 @@ _BY_LINE = "line_number nulls last, method_name, id"
 
 @query("select id, name, repository_url, status, row_number() over (order by created_at desc, id) as place from kg_projects")
 def projects_latest_first(c: Catalog) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(F.desc("created_at"), "id"))
-    return lookup.all_projects(c).select("id", "name", "repository_url", "status", place.alias("place"))
+    return ranked(c.projects, [], [F.desc("created_at"), F.col("id")]).select("id", "name", "repository_url", "status", "place")
 
 
 @query("select id, name from kg_projects where status in ('ANALYZED', 'ERROR')")
@@ -90,9 +88,7 @@ def classes_by_package_prefix(c: Catalog) -> DataFrame:
 
 @query("select project_id, full_class_name, row_number() over (partition by project_id order by full_class_name) as place from kg_classes")
 def classes_of_each_project(c: Catalog) -> DataFrame:
-    from pyspark.sql import Window
-
-    return c.classes.select("project_id", "full_class_name", F.row_number().over(Window.partitionBy("project_id").orderBy("full_class_name")).alias("place"))
+    return ranked(c.classes.select("project_id", "full_class_name"), ["project_id"], [F.col("full_class_name")])
 
 
 @query("select project_id, count(*) as class_count from kg_classes group by project_id")
@@ -278,6 +274,31 @@ def graph_json_methods(c: Catalog) -> DataFrame:
     return rows.select("project_id", "full_class_name", F.col("methodName").alias("method_name"), "description", F.col("httpMethod").alias("http_method"), F.col("httpPath").alias("http_path"), F.col("lineNumber").alias("line_number"), F.coalesce(text_of("businessLogic"), F.lit("")).alias("logic"))
 
 
+@query(f"select project_id, full_class_name, method_name, m.description, http_method, http_path, line_number, {_JSON_LIST.format('business_logic')} as logic from kg_methods m join kg_classes c on c.id = class_id")
+def graph_parts_methods(c: Catalog) -> DataFrame:
+    """The same from documents of 50 items."""
+    rows = graph_json.methods(graph_json.from_json(graph_json.to_parts(c, 50)))
+    return rows.select("project_id", "full_class_name", F.col("methodName").alias("method_name"), "description", F.col("httpMethod").alias("http_method"), F.col("httpPath").alias("http_path"), F.col("lineNumber").alias("line_number"), F.coalesce(text_of("businessLogic"), F.lit("")).alias("logic"))
+
+
+@query(
+    f"""with items as (
+  select project_id, 'nodes' as section, count(*) as n from kg_classes group by 1 union all
+  select project_id, 'edges', count(*) from kg_edges group by 1 union all
+  select project_id, 'parameters', count(*) from (select distinct project_id, owner, method_name, position, target from ({_LINKS})) group by 1 union all
+  select project_id, 'methods', count(*) from kg_methods m join kg_classes c on c.id = class_id group by 1)
+select project_id, section, n as items, (n + 49) // 50 as parts, least(n, 50) as largest from items"""
+)
+def graph_parts_sizes(c: Catalog) -> DataFrame:
+    """How many items the parts of each project's sections hold."""
+    graph_of = F.from_json("graph_data", GRAPH_JSON)
+    parts = graph_json.to_parts(c, 50).withColumn("g", graph_of)
+    total = lambda lists: F.aggregate(F.transform(lists, F.size), F.lit(0), lambda a, b: a + b)
+    inner = F.flatten(F.transform(F.map_values("g.methodParameters"), lambda m: F.map_values(m)))
+    n = F.when(F.col("section") == "nodes", F.size("g.nodes")).when(F.col("section") == "edges", total(F.map_values("g.edges"))).when(F.col("section") == "methods", total(F.map_values("g.methodInfo"))).otherwise(total(inner))
+    return parts.withColumn("n", n).groupBy("project_id", "section").agg(F.sum("n").alias("items"), F.count("*").alias("parts"), F.max("n").cast("long").alias("largest"))
+
+
 @query("select m.id, coalesce('about ' || full_class_name, m.description) as description, exceptions, line_number from kg_methods m left join (select c.id, full_class_name from kg_classes c where description is null) c on c.id = class_id")
 def enriched_methods(c: Catalog) -> DataFrame:
     blank = lookup.unenriched(c).select(F.col("id").alias("class_id"), F.concat(F.lit("about "), "full_class_name").alias("description"))
@@ -288,6 +309,17 @@ def enriched_methods(c: Catalog) -> DataFrame:
 # ---------------------------------------------------------------- graph queries
 
 
+@query(f"""with found as (
+  select name as project, full_class_name as class_name, method_name, http_path, m.id, row_number() over (order by full_class_name, http_path, m.id) - 1 as nth
+  from kg_methods m join kg_classes c on c.id = class_id join kg_projects p on p.id = project_id where {_ENDPOINT})
+select nth // 100 as page, count(*) as n, (select count(*) from found) as count, min(class_name || http_path) as first, max(class_name || http_path) as last from found group by 1""")
+def endpoint_pages(c: Catalog) -> DataFrame:
+    """All endpoints as pages of a hundred."""
+    rows = lookup.endpoints(c).select(F.col("full_class_name").alias("className"), F.col("http_path").alias("httpPath"), "id")
+    each = dsl.pages("endpoints", "all", rows, dsl.total_order(rows)).select("page", "count", F.transform("results", lambda r: F.concat(r["className"], r["httpPath"])).alias("r"))
+    return each.select("page", F.size("r").cast("long").alias("n"), "count", F.array_min("r").alias("first"), F.array_max("r").alias("last"))
+
+
 @query(f"select name as project, full_class_name as class_name, class_type, method_name, http_method, http_path, m.description, {_JSON_LIST.format('business_logic')} as logic from kg_methods m join kg_classes c on c.id = class_id join kg_projects p on p.id = project_id where {_ENDPOINT}")
 def dsl_endpoints_all(c: Catalog) -> DataFrame:
     rows = dsl.endpoints(c, logic=True)
@@ -575,6 +607,25 @@ def sync_merged_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.merged(old, new, _actions(old, new), parsed).select("id", "project_id", "full_class_name", "content")
 
 
+def sync_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the projects that are ANALYZED or ERROR: two could not be listed, one has no readable file, the others go on."""
+    catalog, old, new = _states(spark, sf_dir)
+    texts = new.select("project_id", "path", F.when(F.col("project_id") != "9", F.col("content")).alias("content"), F.lit(None).cast("string").alias("error"))
+    lost = catalog.projects.filter(F.col("id").isin("7", "12")).select(F.col("id").alias("project_id"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("content"), F.lit("no access").alias("error"))
+    eligible = lookup.projects_in(catalog, "ANALYZED", "ERROR")
+    return sync.outcomes(eligible, _actions(old, new), sync.project_errors(texts.union(lost))).drop("project_id")
+
+
+QUERIES |= {"sync_outcomes": sync_outcomes}
+ORACLES |= {
+    "sync_outcomes": with_views(f"""with {_STATES},
+held as (select project_id, count(*) as n from states join kg_classes on id = 'c' || o_custkey where b > 0 group by 1),
+failed as (select id, case when id in ('7', '12') then 'no access' when id = '9' and n > 0 then 'no source file could be read' end as error from kg_projects left join held on project_id = id)
+select name as projectName, error is null as success, error, case when error is null then 'ANALYZED' else 'ERROR' end as status,
+  count(*) filter (error is null and action = 'add') as addedClasses, count(*) filter (error is null and action = 'update') as updatedClasses,
+  count(*) filter (error is null and action = 'delete') as deletedClasses, count(*) filter (error is null and action = 'keep') as unchangedClasses
+from kg_projects p join failed using (id) left join actions on project_id = p.id where p.status in ('ANALYZED', 'ERROR') group by name, error""")
+}
 QUERIES |= {"sync_merged_unreadable": sync_merged_unreadable, "sync_actions": sync_actions, "sync_counters": sync_counters, "sync_merged": sync_merged}
 ORACLES |= {
     "sync_actions": with_views(f"with {_STATES} select * from actions"),
@@ -676,6 +727,93 @@ def ingest_go_types(c: Catalog) -> DataFrame:
     return rows.na.fill(0).na.fill("", ["held"]).select("project_id", named, "type", "kind", "n_fields", "n_bound", "n_asked", "held")
 
 
+# ---------------------------------------------------------------- discovery
+
+_PATHS = """paths as (
+  select project_id, simple_name, case cast(hash_of % 8 as int)
+    when 0 then 'src/main/java/org/' || simple_name || '.java' when 1 then 'mod/src/test/java/org/' || simple_name || '.java'
+    when 2 then 'src/api/' || lower(simple_name) || '.service.ts' when 3 then 'node_modules/x/src/' || simple_name || '.js'
+    when 4 then 'src/' || simple_name || '.spec.tsx' when 5 then 'internal/store/' || lower(simple_name) || '.go'
+    when 6 then 'vendor/x/' || simple_name || '.go' else 'api/' || simple_name || '.pb.go' end as path
+  from (select project_id, simple_name, cast(right(simple_name, 6) as bigint) as hash_of from kg_classes))"""
+
+
+def _paths(c: Catalog) -> DataFrame:
+    """A path for each class, by its number: of each language, some of them in places that are passed over."""
+    name, low = F.col("simple_name"), F.lower("simple_name")
+    made = [("src/main/java/org/", name, ".java"), ("mod/src/test/java/org/", name, ".java"), ("src/api/", low, ".service.ts"), ("node_modules/x/src/", name, ".js"), ("src/", name, ".spec.tsx"), ("internal/store/", low, ".go"), ("vendor/x/", name, ".go"), ("api/", name, ".pb.go")]
+    at = F.pmod(F.right(name, F.lit(6)).cast("long"), F.lit(len(made)))
+    return c.classes.select("project_id", F.get(F.array(*(F.concat(F.lit(a), n, F.lit(z)) for a, n, z in made)), at.cast("int")).alias("path"))
+
+
+@query(
+    f"""with {_PATHS}
+select project_id, path, case when path like 'src/main/java/%' then 'java' when path like 'src/api/%' then 'script' else 'go' end as language,
+  case when path like 'src/main/java/%' then 'org.' || simple_name when path like 'src/api/%' then 'api.' || lower(simple_name) || '.service' else 'example.org/m/internal/store' end as identifier
+from paths where path like 'src/main/java/%' or path like 'src/api/%' or path like 'internal/%'"""
+)
+def discovered_files(c: Catalog) -> DataFrame:
+    """Source files by language, and what they are called."""
+    path = F.col("path")
+    language = F.when(files.is_java(path), "java").when(files.is_script(path, F.lit(1)), "script").when(files.is_go(path), "go")
+    name = F.when(F.col("language") == "java", files.java_identifier(path)).when(F.col("language") == "script", files.script_identifier(path)).otherwise(files.go_identifier(F.lit("example.org/m"), path))
+    return _paths(c).withColumn("language", language).filter("language is not null").select("project_id", "path", "language", name.alias("identifier"))
+
+
+_DEPENDENCIES = ("@nestjs/core", "next", "vue", "left-pad")
+
+
+@query(
+    """select id as project_id, case when cast(id as int) % 4 = 0 then 'go' when cast(id as int) % 4 in (1, 2) and cast(id as int) % 3 > 0 then 'node' else 'java' end as language,
+  case when cast(id as int) % 4 in (1, 2) then case cast(id as int) % 5 when 0 then 'nestjs' when 1 then 'nextjs' when 2 then 'vue' else 'unknown' end end as framework
+from kg_projects"""
+)
+def project_languages(c: Catalog) -> DataFrame:
+    """What the build files of projects say: go.mod, package.json with a framework, pom.xml."""
+    n = F.col("id").cast("int")
+    dependency = F.get(F.array(*map(F.lit, _DEPENDENCIES)), F.least(n % 5, F.lit(3)))
+    build = F.array(
+        F.when(n % 4 == 0, F.struct(F.lit("go.mod").alias("path"), F.lit("module m").alias("content"))),
+        F.when((n % 4).isin(1, 2), F.struct(F.lit("package.json").alias("path"), F.concat(F.lit('{"dependencies": {"'), dependency, F.lit('": "1"}}')).alias("content"))),
+        F.when(n % 3 == 0, F.struct(F.lit("pom.xml").alias("path"), F.lit("<project/>").alias("content"))),
+        F.struct(F.lit("README.md").alias("path"), F.col("description").alias("content")),
+    )
+    rows = c.projects.select(F.col("id").alias("project_id"), F.explode(F.array_compact(build)).alias("f")).select("project_id", "f.*")
+    return files.languages(rows).join(files.frameworks(rows).select("project_id", "framework"), "project_id", "left")
+
+
+@query("select project_id, full_class_name, class_type is not null or description is not null or exists (select 1 from kg_methods m where m.class_id = c.id) as has_metadata from kg_classes c")
+def nodes_with_metadata(c: Catalog) -> DataFrame:
+    return lookup.has_metadata(c)
+
+
+@query("select project_id, src, dst from kg_edges")
+def graph_known_edges(c: Catalog) -> DataFrame:
+    """Of edges to and from anything, those between nodes."""
+    nodes = c.classes.select("project_id", F.col("full_class_name").alias("identifier"))
+    stray = c.edges.select("project_id", "src", F.concat("dst", F.lit(".Gone")).alias("dst")).union(c.edges.select("project_id", F.concat(F.lit("gone."), "src"), "dst")).union(c.edges)
+    return graph.known_edges(nodes, stray.union(c.edges))
+
+
+@query(f"select project_id, owner, method_name, position, target from ({_LINKS})")
+def graph_known_links(c: Catalog) -> DataFrame:
+    nodes = c.classes.select("project_id", F.col("full_class_name").alias("identifier"))
+    links = graph.parameter_links(c)
+    return graph.known_links(nodes, links.union(links.withColumn("target", F.lit("gone.Type")).select(links.columns)))
+
+
+@query("select id, full_class_name from kg_classes where id in (select class_id from kg_methods)")
+def classes_with_methods(c: Catalog) -> DataFrame:
+    """Classes by id, for the ids that methods name."""
+    return lookup.classes_by_id(c, c.methods.select("class_id")).select("id", "full_class_name")
+
+
+@query("select c.id, c.full_class_name from kg_classes c join (select distinct project_id, dst from kg_edges) e on e.project_id = c.project_id and dst = full_class_name")
+def classes_depended_on(c: Catalog) -> DataFrame:
+    """Classes by project and name, for the ends of edges."""
+    return lookup.classes_in_projects(c, c.edges.select("project_id", F.col("dst").alias("full_class_name"))).select("id", "full_class_name")
+
+
 # ---------------------------------------------------------------- other tables
 
 

@@ -122,3 +122,49 @@ def test_answers_of_the_service(service, sources, spark, tmp_path):
     with pytest.raises(DomainError) as error:
         own.analyze(sources.filter("project_id = 'p2'"))
     assert error.value.code == "PROJECT_NOT_FOUND"
+
+
+def states(service):
+    return {r.name: r.status for r in service.catalog.projects.collect()}
+
+
+@pytest.fixture()
+def four(spark, sources, tmp_path):
+    projects = spark.createDataFrame([(f"p{i}", n, f"https://git.example.org/x/{n}.git", "main", None, "ANALYZED", None) for i, n in enumerate(("java", "script", "golang", "waiting"), 1)], PROJECT)
+    return api.create(spark, str(tmp_path / "catalog"), projects.withColumn("status", F.when(F.col("id") == "p4", "PENDING").when(F.col("id") == "p3", "ERROR").otherwise(F.col("status"))), sources)
+
+
+def test_a_broken_project_keeps_none_back(spark, sources, four):
+    """One project can't be listed, the enrichment of another fails, the third is synchronised."""
+    edited = F.when(F.col("path").endswith("OrderService.java"), F.regexp_replace("content", "all", "every")).when(F.col("path") == "internal/store/store.go", F.lit("package store\n\nfunc Fresh() {\n}\n")).otherwise(F.col("content"))
+    new = sources.filter("project_id <> 'p2'").withColumn("content", edited).withColumn("error", F.lit(None).cast("string"))
+    new = new.unionByName(spark.createDataFrame([("p2", None, None, None, "no access")], "project_id string, path string, length long, content string, error string"))
+
+    def client(prompts):
+        if any("store" in p and "Fresh" in p for p in prompts):
+            raise RuntimeError("no answer")
+        return ['{"description": "said"}' for _ in prompts]
+
+    out = {r.projectName: r for r in four.synchronise_all(sources, new, client).collect()}
+    assert out.keys() == {"java", "script", "golang"}
+    assert (out["java"].success, out["java"].updatedClasses) == (True, 1)
+    assert (out["script"].success, out["script"].error) == (False, "no access")
+    assert not out["golang"].success and "no answer" in out["golang"].error
+    assert states(four) == {"java": "ANALYZED", "script": "ERROR", "golang": "ERROR", "waiting": "PENDING"}
+    assert {r["methodName"] for r in answer(four, "java:OrderService:methods")["results"]} == {"every"}
+    assert {r["methodName"] for r in answer(four, "golang:example.org/shop/internal/store:methods")["results"]} == {"Store.Get"}
+    assert answer(four, "script:endpoints")["count"] == 1
+    again = {r.projectName: (r.success, r.addedClasses, r.updatedClasses) for r in four.synchronise_all(sources, sources.withColumn("content", edited)).collect()}
+    assert again["golang"] == (True, 0, 1) and again["script"] == (True, 0, 0)
+    assert states(four) == {"java": "ANALYZED", "script": "ANALYZED", "golang": "ANALYZED", "waiting": "PENDING"}
+
+
+def test_full_resync_and_pages(spark, sources, four):
+    full = spark.createDataFrame([("p1",)], "project_id string")
+    actions = four.synchronise(sources, sources, full=full)
+    assert {r.action for r in actions.filter("project_id = 'p1'").collect()} == {"update"} and {r.action for r in actions.filter("project_id <> 'p1'").collect()} == {"keep"}
+    parts = snapshots.manifest(spark, four.folder)["classes"]["parts"]
+    assert parts[-1][1] == ["p1"]
+    pages = four.query_pages("java:classes", 3).orderBy("page").collect()
+    assert [len(p.results) for p in pages] == [3, 3, 2] and {p["count"] for p in pages} == {8}
+    assert [r.className for p in pages for r in p.results] == sorted(r.className for p in pages for r in p.results)

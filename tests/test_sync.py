@@ -1,4 +1,7 @@
+from dataclasses import replace
+
 import pytest
+from pyspark.sql import functions as F
 
 from codelattice.operators import enrich, snapshots, sync
 from codelattice.plans import dsl
@@ -103,3 +106,47 @@ def test_listing_of_repositories(spark):
 
     lines = spark.createDataFrame([("https://a/b.git dev # note",), ("# only a note",), ("",), ("git@a:b.git",)], "value string")
     assert {(r.url, r.branch) for r in files.repository_list(lines).collect()} == {("https://a/b.git", "dev"), ("git@a:b.git", "main")}
+
+
+def test_one_project_is_replaced_by_its_own_files(spark, tmp_path):
+    catalog, folder = shop(spark), str(tmp_path / "catalog")
+    more = catalog.classes.withColumns({"id": F.concat("id", F.lit("x")), "project_id": F.lit("p/2 ü")})
+    both = replace(catalog, classes=catalog.classes.union(more))
+    snapshots.publish(both, folder)
+    only = catalogs.load(spark, folder, ["p1"])
+    assert only.classes.count() == 5 and only.methods.count() == 5 and {r.project_id for r in only.classes.collect()} == {"p1"}
+    assert all("project_id=p1" in f for table in (only.classes, only.methods, only.edges) for f in table.inputFiles())
+    assert catalogs.load(spark, folder, ["p/2 ü"]).classes.count() == 5 and catalogs.load(spark, folder, ["none"]).methods.count() == 0
+    changed = replace(catalog, classes=catalog.classes.filter("id <> 'c5'"), methods=catalog.methods.filter("id <> 'm5'"))
+    ids = spark.createDataFrame([("p1",)], "project_id string")
+    version = snapshots.publish(changed, folder, snapshots.OWNED, ids)
+    written = {p.relative_to(tmp_path / "catalog" / version).parts[:2] for p in (tmp_path / "catalog" / version).rglob("*.parquet")}
+    assert written == {(name, "project_id=p1") for name in snapshots.OWNED}
+    latest = catalogs.load(spark, folder)
+    assert {(r.project_id, r["count"]) for r in latest.classes.groupBy("project_id").count().collect()} == {("p1", 4), ("p/2 ü", 5)}
+    assert latest.methods.count() == 4 and latest.methods.columns == catalog.methods.columns
+    read = catalogs.load(spark, folder, ["p1"]).classes
+    assert read.count() == 4 and all(f"/{version}/" in f for f in read.inputFiles())
+    snapshots.publish(replace(catalog, **{t: getattr(catalog, t).limit(0) for t in snapshots.OWNED}), folder, snapshots.OWNED, ids)
+    assert {r.project_id for r in catalogs.load(spark, folder).classes.collect()} == {"p/2 ü"}
+
+
+def test_many_versions_are_gathered(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "MOST_PARTS", 2)
+    catalog, folder = shop(spark), str(tmp_path / "catalog")
+    snapshots.publish(catalog, folder)
+    for n in range(3):
+        ids = spark.createDataFrame([(f"new{n}",)], "project_id string")
+        one = replace(catalog, classes=catalog.classes.filter("id = 'c1'").withColumns({"id": F.lit(f"n{n}"), "project_id": F.lit(f"new{n}")}), methods=catalog.methods.limit(0))
+        snapshots.publish(one, folder, snapshots.OWNED, ids)
+    assert len(snapshots.manifest(spark, folder)["classes"]["parts"]) == 2
+    latest = catalogs.load(spark, folder)
+    assert {(r.project_id, r["count"]) for r in latest.classes.groupBy("project_id").count().collect()} == {("p1", 5), ("new0", 1), ("new1", 1), ("new2", 1)}
+    assert latest.methods.count() == 5 and latest.edges.count() == catalog.edges.count()
+
+
+def test_project_errors_and_outcomes(spark):
+    rows = [("lost", None, None, "no access"), ("lost", "A.java", "x", None), ("blank", "A.java", None, None), ("blank", "README", "x", None), ("fine", "A.java", None, None), ("fine", "B.java", "x", None), ("none", "README", "x", None)]
+    errors = sync.project_errors(spark.createDataFrame(rows, "project_id string, path string, content string, error string"))
+    assert {tuple(r) for r in errors.collect()} == {("lost", "no access"), ("blank", "no source file could be read")}
+    assert sync.project_errors(spark.createDataFrame([("a", None, None)], "project_id string, path string, content string")).first().error == "the project could not be read"
