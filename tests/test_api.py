@@ -134,18 +134,22 @@ def four(spark, sources, tmp_path):
     return api.create(spark, str(tmp_path / "catalog"), projects.withColumn("status", F.when(F.col("id") == "p4", "PENDING").when(F.col("id") == "p3", "ERROR").otherwise(F.col("status"))), sources)
 
 
-def test_a_broken_project_keeps_none_back(spark, sources, four):
-    """One project can't be listed, the enrichment of another fails, the third is synchronised."""
+def test_a_broken_project_keeps_none_back(spark, sources, four, monkeypatch):
+    """One project can't be listed, the plan of another fails, the third is synchronised."""
     edited = F.when(F.col("path").endswith("OrderService.java"), F.regexp_replace("content", "all", "every")).when(F.col("path") == "internal/store/store.go", F.lit("package store\n\nfunc Fresh() {\n}\n")).otherwise(F.col("content"))
     new = sources.filter("project_id <> 'p2'").withColumn("content", edited).withColumn("error", F.lit(None).cast("string"))
     new = new.unionByName(spark.createDataFrame([("p2", None, None, None, "no access")], "project_id string, path string, length long, content string, error string"))
 
-    def client(prompts):
-        if any("store" in p and "Fresh" in p for p in prompts):
+    whole = api.Service._synchronised
+
+    def failing(self, catalog, *rest):
+        if not catalog.projects.filter("id = 'p3'").isEmpty():
             raise RuntimeError("no answer")
-        return ['{"description": "said"}' for _ in prompts]
+        return whole(self, catalog, *rest)
 
-    out = {r.projectName: r for r in four.synchronise_all(sources, new, client).collect()}
+    monkeypatch.setattr(api.Service, "_synchronised", failing)
+    out = {r.projectName: r for r in four.synchronise_all(sources, new).collect()}
+    monkeypatch.undo()
     assert out.keys() == {"java", "script", "golang"}
     assert (out["java"].success, out["java"].updatedClasses) == (True, 1)
     assert (out["script"].success, out["script"].error) == (False, "no access")
