@@ -17,6 +17,7 @@ from codelattice.plans import dsl
 from codelattice.schema import PROJECTS, Catalog, DomainError
 from codelattice.sources import catalog as catalogs
 from codelattice.storage import finished, scratch, stored
+from codelattice.streaming import arrivals
 
 
 #: Projects that are read by their own files, and how often a plan that fails is halved.
@@ -158,6 +159,25 @@ class Service:
             self._publish(enrich.enriched(fresh, client, new_files) if client else fresh, *snapshots.OWNED, projects=changed)
         return actions
 
+    def follow(self, folder: str, client: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+        """Synchronises with what arrived in ``folder`` (``streaming.arrivals``) since the last time, and returns what became of each class.
+
+        Only what arrived is read and compared; of the projects in which a file
+        changed, the files are put together from the changes so far.
+        """
+
+        def made() -> DataFrame:
+            found, _ = arrivals.read_arrivals(self.spark, folder)
+            touched = stored(found.filter("change != 'same'").select("project_id").distinct())
+            if touched.isEmpty():
+                return self._keys([], "project_id string, full_class_name string, action string")
+            first = found.agg(F.min("batch")).first()[0]
+            mine = arrivals.all_changes(self.spark, folder).join(touched, "project_id", "left_semi")
+            old, new = stored(arrivals.files_after(mine.filter(F.col("batch") < first))), stored(arrivals.files_after(mine))
+            return self._synchronised(self._catalog_of(touched), old, new, client, None)
+
+        return finished(self.spark, made)
+
     def synchronise_all(self, old_files: DataFrame, new_files: DataFrame, client: Callable[[list[str]], list[str]] | None = None, full: DataFrame | None = None) -> DataFrame:
         """Synchronises every project that is ANALYZED or ERROR, and returns ``sync.outcomes`` of each.
 

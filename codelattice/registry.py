@@ -8,6 +8,7 @@ are flattened or joined to text, so that other engines can be compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from codelattice.plans import dsl, graph_json
 from codelattice.schema import GRAPH_JSON, Catalog
 from codelattice.sources import files, generated
 from codelattice.sources.catalog import from_orders, with_views
+from codelattice.storage import discard, shared_folder, stored
+from codelattice.streaming import arrivals
 from codelattice.streaming import frames as frame_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -842,6 +845,23 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_stream.count_events(spark, sf_dir)
 
 
+def streamed_file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of the sources arrive one after the other, and a class that is gone as a null; each run reads what is new."""
+    _, old, new = _states(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    gone = old.join(new, ["project_id", "path"], "left_anti").withColumn("content", F.lit(None).cast("string"))
+    arrivals.arrive(old, folder, 1)
+    arrivals.read_arrivals(spark, folder)
+    arrivals.arrive(new.unionByName(gone.select(new.columns)), folder, 2)
+    found, _ = arrivals.read_arrivals(spark, folder)
+    out = stored(found.select("project_id", "path", "change"))
+    discard(spark, folder)
+    return out
+
+
+QUERIES |= {"streamed_file_changes": streamed_file_changes}
+ORACLES |= {"streamed_file_changes": with_views(f"with {_STATES} select a.project_id, source_file as path, case action when 'add' then 'added' when 'update' then 'modified' when 'delete' then 'deleted' else 'same' end as change from actions a join kg_classes c on c.project_id = a.project_id and c.full_class_name = a.full_class_name")}
+
 QUERIES |= {"readme_fields": readme_fields, "page_imports": page_imports, "event_properties": event_properties, "streamed_frames": streamed_frames, "streamed_counts": streamed_counts}
 ORACLES |= {
     "readme_fields": "select doc_id, length(case when length(text) > 10000 then text[1:10000] || chr(10) || '...(truncated)' else text end)::bigint as kept, sha256(text[1:500]) as description_sha256 from documents where trim(text) <> '' union all select doc_id, null, null from documents where trim(coalesce(text, '')) = ''",
