@@ -219,7 +219,9 @@ def find_leaks(
     Edge cases: null and empty texts, and items without words, match nothing.
     An item of fewer than ``words`` words has one shingle, all its words, and
     matches where these stand in order. Items with equal texts are reported
-    each. Repeated rows are reported each; nulls among ids stay null.
+    each. Repeated rows are reported each; nulls among ids stay null. A very long
+    text is searched by one task, in blocks of windows. No column but the ids and
+    texts is read, so others may have any name.
     """
     spark = docs.sparkSession
     item_kind, doc_kind = benchmark.schema["item_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()

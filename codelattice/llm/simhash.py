@@ -271,7 +271,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     Edge cases: texts without words, null or empty, have fingerprint zero and
     are linked like others. Rows that repeat an id are one node of the graph
     for each of their fingerprints. A null id is never a component_id, unless
-    all ids of the component are null. An empty table gives an empty result.
+    all ids of the component are null. An empty table gives an empty result. A
+    very long text is fingerprinted by one task. Only ``doc_id`` and ``text`` are
+    read, so other columns may have any name.
     """
     return finished(docs.sparkSession, lambda: _grouped(docs, words, radius, cell_rows))
 

@@ -484,7 +484,9 @@ def score_texts(docs: DataFrame, training: Column, depth: int = DEPTH, block_byt
     Edge cases: a null or empty text is only an end. Without training rows every
     bit has probability one half. Rows are told apart by the place that they
     are written at once, so repeated and null ids are fine, and so is a
-    ``docs`` whose order changes when it is computed again.
+    ``docs`` whose order changes when it is computed again. A very long text is
+    a block of its own, scored by one task. Columns beside the id and the text
+    are not read.
     """
     if not 1 <= depth <= 6:
         raise ValueError("depth: 1 to 6 bytes")
