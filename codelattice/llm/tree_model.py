@@ -11,14 +11,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelattice.llm.common import finished, in_training, is_held_out, stored, table, text_batches, texts_of
+from codelattice.llm.common import finished, give_back, in_training, is_held_out, stored, table, text_batches, texts_of
 
 DEPTH = 6
 #: Contexts of so many bytes are dealt to tasks with all longer ones; shorter ones are few.
 LEAST = 3
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 BLOCK_BYTES, BLOCK_ROWS = 20 << 20, 1 << 20
-LEAST_BUCKETS = 32
+LEAST_BUCKETS = 64
 COUNT_BYTES = 8 << 20
 FREQUENT_WORDS = 250_000
 AT_ONCE = 1 << 18
@@ -177,6 +177,7 @@ def gram_parts(blocks: DataFrame, depth: int, least: int, buckets: int) -> DataF
                     pa.array([_squeezed(n[c]) for c in cuts], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "n", "grams", "counts"])
+        give_back()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
@@ -192,6 +193,7 @@ def gram_parts(blocks: DataFrame, depth: int, least: int, buckets: int) -> DataF
                 parts.append(part)
         if current is not None:
             yield row()
+        give_back()
 
     dealt = blocks.mapInArrow(count, f"bucket int, {PART}").repartition("bucket").sortWithinPartitions("bucket", "block")
     return dealt.mapInArrow(gather, f"bucket int, parts array<struct<{PART.replace(' ', ':').replace(',:', ',')}>>")
@@ -317,6 +319,7 @@ def top_of_tree(parts: DataFrame, depth: int, least: int) -> dict[int, list[Leve
                 if n.any():
                     for k, x in enumerate(subtree(grams[n > 0], n[n > 0], depth, least)[least]):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x.keys), k)), pa.array(x.keys.view(np.int64)), pa.array(x.zeros), pa.array(x.ones), pa.array(x.weighted)], ["k", "key", "zeros", "ones", "weighted"])
+        give_back()
 
     ends = parts.select("parts").mapInArrow(roots, "k long, key long, zeros double, ones double, weighted double")
     above = F.expr(f"key & (shiftleft(1L, cast({8 * (least - 1)} + k as int)) - 1)").alias("key")
@@ -422,6 +425,8 @@ def gram_lengths(parts: DataFrame, top: dict[int, list[Level]], depth: int, leas
                 found = [_squeezed(known[np.searchsorted(every, _grams(x["grams"], x["n"], depth, least))]) for x in blocks]
                 columns = [pa.array([x[c] for x in blocks], t) for c, t in (("block", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], ["block", "n", "grams", "lengths"])
+                del blocks, every, n, known, found, columns
+                give_back()
 
     return parts.select("parts").mapInArrow(price, "block long, n int, grams binary, lengths binary")
 
@@ -497,7 +502,7 @@ def _scored(docs: DataFrame, training: Column, depth: int, block_bytes: int, fre
     least = min(LEAST, depth)
     spark = docs.sparkSession
     blocks = stored(blocks_of(docs, training, block_bytes))
-    parts = stored(gram_parts(blocks, depth, least, max(LEAST_BUCKETS, blocks.count())))
+    parts = stored(gram_parts(blocks, depth, least, max(LEAST_BUCKETS, 2 * blocks.count())))
     lengths = gram_lengths(parts, top_of_tree(parts, depth, least), depth, least)
     counts = stored(word_counts(docs.filter(training)))
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -529,6 +534,7 @@ def _scored(docs: DataFrame, training: Column, depth: int, block_bytes: int, fre
                 columns = [pa.array((current << 20) + np.arange(len(texts))), table_.column("doc_id").combine_chunks(), pa.array(bits * float(np.log10(2))), pa.array(sizes - 1)]
                 columns += [pa.array([x[i] for x in words], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "score", "n_bytes", "n_tokens", "n_known", "base_score", "rare", "times"])
+        give_back()
 
     nothing = F.lit(None).cast("binary")
     both = lengths.withColumn("rows", nothing).unionByName(blocks.select("block", F.lit(None).cast("int").alias("n"), nothing.alias("grams"), nothing.alias("lengths"), "rows"))
