@@ -17,7 +17,7 @@ DEPTH = 6
 #: Contexts of so many bytes are dealt to tasks with all longer ones; shorter ones are few.
 LEAST = 3
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
-BLOCK_BYTES, BLOCK_ROWS = 20 << 20, 1 << 20
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 20
 LEAST_BUCKETS = 64
 COUNT_BYTES = 8 << 20
 FREQUENT_WORDS = 250_000
@@ -526,15 +526,18 @@ def _scored(docs: DataFrame, training: Column, depth: int, block_bytes: int, fre
                     continue
                 table_ = _unpacked(rows)
                 texts = table_.column("text")
-                known_lengths = Lengths(np.concatenate(grams), np.concatenate(priced))
+                every, each = np.concatenate(grams), np.concatenate(priced)
                 grams, priced = [], []
+                known_lengths = Lengths(every, each)
+                del every, each
                 bits, sizes = text_bits(texts, known_lengths, depth)
                 del known_lengths
                 words = [_word_parts(text.as_py(), known, complete, floor) for text in texts]
                 columns = [pa.array((current << 20) + np.arange(len(texts))), table_.column("doc_id").combine_chunks(), pa.array(bits * float(np.log10(2))), pa.array(sizes - 1)]
                 columns += [pa.array([x[i] for x in words], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "score", "n_bytes", "n_tokens", "n_known", "base_score", "rare", "times"])
-        give_back()
+                del table_, texts, words, columns, bits, sizes
+                give_back()
 
     nothing = F.lit(None).cast("binary")
     both = lengths.withColumn("rows", nothing).unionByName(blocks.select("block", F.lit(None).cast("int").alias("n"), nothing.alias("grams"), nothing.alias("lengths"), "rows"))
