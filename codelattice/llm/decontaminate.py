@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,11 @@ from codelattice.llm.common import stored, table, text_batches, texts_of
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 20
+#: Three wide blocks leave a ninth of random pairs; items by the ten thousands are looked up by blocks of 16 bits.
 BLOCKS = 3
+LOOKED_UP, LOOKUP_BLOCKS, TABLE_BITS = 1 << 15, 4, 20
 ITEM_BYTES = 8 << 20
+SIEVE_BITS = 1 << 27
 PAIR_BLOCK = 1 << 16
 
 _BREAK = np.ones(256, bool)
@@ -82,42 +87,89 @@ def bit_rows(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of each run of ``lengths`` from ``starts``, one after another."""
+    return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+
+
+def flips(bits: int, most: int) -> np.ndarray:
+    """All values of ``bits`` bits of which ``most`` at most are set."""
+    return np.array([sum(1 << b for b in some) for n in range(most + 1) for some in combinations(range(bits), n)], np.uint64)
+
+
+class BlockTable:
+    """Item places by the value of one block of bits.
+
+    A query looks up its own value with all flips of up to ``most`` bits. Where
+    the table has fewer values than there are flips, each of its values is
+    compared instead; both find the same items.
+    """
+
+    def __init__(self, codes: np.ndarray, start: int, end: int, most: int):
+        self.start, self.mask, self.most = np.uint64(start), np.uint64((1 << (end - start)) - 1), most
+        self.kind = np.uint32 if end - start <= 32 else np.uint64
+        own = self.of(codes)
+        self.items = np.argsort(own, kind="stable")
+        self.values, counts = np.unique(own, return_counts=True)
+        self.edges = np.r_[0, np.cumsum(counts)]
+        self.flips = None
+        if end - start <= TABLE_BITS and sum(comb(end - start, n) for n in range(most + 1)) < len(self.values):
+            self.flips = flips(end - start, most)
+            self.edges = np.searchsorted(own[self.items], np.arange((1 << (end - start)) + 1))
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes >> self.start) & self.mask).astype(self.kind)
+
+    @property
+    def probes(self) -> int:
+        """Lookups or comparisons of a query."""
+        return len(self.values if self.flips is None else self.flips)
+
+    def close(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, item) places of all pairs that differ in at most ``most`` bits of the block."""
+        if self.flips is None:
+            query, at = np.divmod(np.flatnonzero(np.bitwise_count(self.of(queries)[:, None] ^ self.values) <= self.most), max(1, len(self.values)))
+            if len(self.values) == len(self.items):
+                return query, self.items[at]
+        else:
+            at = (self.of(queries)[:, None] ^ self.flips).astype(np.int64).ravel()
+            query = np.repeat(np.arange(len(queries)), len(self.flips))
+            held = np.flatnonzero(self.edges[at + 1] > self.edges[at])
+            query, at = query[held], at[held]
+        sizes = self.edges[at + 1] - self.edges[at]
+        return np.repeat(query, sizes), self.items[spans(self.edges[at], sizes)]
+
+
 class BlockIndex:
-    """Item fingerprints, by block of bits.
+    """Item fingerprints in a table for each block of bits.
 
-    Of ``blocks`` blocks, one has at most ``radius // blocks`` of up to
-    ``radius`` differences, so the items that are that close to a query in one
-    block or more hold all within the radius. Wide blocks leave few others: of
-    random codes about one in ten with 3 blocks and a radius of 20.
+    The tables' limits add up to ``radius - blocks + 1``: a pair beyond the limit
+    of each block would have more than ``radius`` differences, so the pairs within
+    the limit of one block hold all within the radius.
     """
 
     def __init__(self, codes: np.ndarray, blocks: int, radius: int):
-        self.codes, self.radius, self.near_block = codes, radius, radius // blocks
+        self.codes, self.radius = codes, radius
         edges = [64 * i // blocks for i in range(blocks + 1)]
-        self.parts = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
-        self.own = [self.block(codes, *part) for part in self.parts]
+        total = radius - blocks + 1
+        limits = [(total + i) // blocks for i in range(blocks)]
+        self.tables = [BlockTable(codes, a, b, most) for a, b, most in zip(edges, edges[1:], limits, strict=False)]
 
-    @staticmethod
-    def block(codes: np.ndarray, shift: np.uint64, mask: np.uint64) -> np.ndarray:
-        return ((codes >> shift) & mask).astype(np.uint32 if mask < 1 << 32 else np.uint64)
-
-    def candidates(self, queries: np.ndarray) -> np.ndarray:
-        """Whether each pair of a query and an item is close in one block."""
-        close = np.zeros((len(queries), len(self.codes)), bool)
-        for part, own in zip(self.parts, self.own, strict=True):
-            close |= np.bitwise_count(self.block(queries, *part)[:, None] ^ own) <= self.near_block
-        return close
+    def candidates(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, item) places of the pairs that are close in a block, once for each such block."""
+        return tuple(np.concatenate(each) for each in zip(*(t.close(queries) for t in self.tables), strict=True))
 
     def near(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) places of all pairs within the radius."""
-        found = [np.zeros((2, 0), np.int64)]
-        step = max(1, PAIR_BLOCK // max(1, len(self.codes)))
+        found = [np.zeros(0, np.int64)]
+        step = max(1, PAIR_BLOCK // max(1, *(t.probes for t in self.tables)))
+        n = max(1, len(self.codes))
         for start in range(0, len(queries), step):
             some = queries[start : start + step]
-            q, i = np.nonzero(self.candidates(some))
+            q, i = self.candidates(some)
             close = np.bitwise_count(some[q] ^ self.codes[i]) <= self.radius
-            found.append(np.stack([q[close] + start, i[close]]))
-        return tuple(np.concatenate(found, axis=1))
+            found.append(np.unique((q[close] + start) * n + i[close]))
+        return np.divmod(np.concatenate(found), n)
 
 
 class Items:
@@ -133,7 +185,7 @@ class Items:
             each = [shingles(hashes[ends[i] - size : ends[i]], run) for i in at]
             codes = np.array([fingerprint(bit_rows(e).sum(0, dtype=np.int64), len(e)) for e in each], np.uint64)
             own = np.unique(np.concatenate(each))
-            self.by_size[int(size)] = ([ids[i] for i in at], [Counter(e.tolist()) for e in each], BlockIndex(codes, blocks, radius), own, run)
+            self.by_size[int(size)] = ([ids[i] for i in at], [Counter(e.tolist()) for e in each], BlockIndex(codes, blocks if len(codes) < LOOKED_UP else LOOKUP_BLOCKS, radius), own, run)
             known.setdefault(run, []).append(own)
         self.known = {run: np.unique(np.concatenate(all_of)) for run, all_of in known.items()}
 
@@ -150,6 +202,20 @@ def weighted_similarity(one: Counter, other: Counter) -> float:
     return common / (sum(one.values()) + sum(other.values()) - common)
 
 
+def least_shared(one: int, other: int, similarity: float) -> int:
+    """How many shingles two windows of so many share at least if they are ``similarity`` alike."""
+    return max(1, ceil(similarity * (one + other) / (1 + similarity) - 1e-9))
+
+
+def openings(hits: np.ndarray, per: int, least: int) -> np.ndarray:
+    """First places of the windows of ``per`` shingles that have ``least`` of the sorted ``hits``."""
+    if len(hits) < least:
+        return hits[:0]
+    left, right = hits[least - 1 :] - per + 1, hits[: len(hits) - least + 1]
+    left = np.maximum(left, np.r_[left[0], right[:-1] + 1])
+    return spans(left, np.maximum(right - left + 1, 0))
+
+
 def leaks_in(hashes: np.ndarray, sizes: np.ndarray, items: Items, similarity: float) -> list[tuple]:
     """(text, item id, first word, words, hamming, similarity): the best window for each text and item."""
     best: dict[tuple, tuple] = {}
@@ -174,9 +240,9 @@ def leaks_in(hashes: np.ndarray, sizes: np.ndarray, items: Items, similarity: fl
         hits = shared[run][members(rolled[shared[run]], own)]
         if not len(hits):
             continue
-        # A window without any shingle of these items has similarity 0; all others are fingerprinted.
+        # A window with fewer shingles of these items than a similar one shares is none; all others are fingerprinted.
         per = size - run + 1
-        first = np.unique((hits[:, None] - np.arange(per)).ravel())
+        first = openings(hits, per, least_shared(per, per, similarity))
         first = first[(first >= 0) & (first + size <= len(hashes))]
         first = first[owner[first] == owner[first + size - 1]]
         for start in range(0, len(first), PAIR_BLOCK // 8):
@@ -197,6 +263,41 @@ def leaks_in(hashes: np.ndarray, sizes: np.ndarray, items: Items, similarity: fl
     return [(text, item, int(-f[1] - (ends[text] - sizes[text])), f[3], f[2], f[0]) for (text, _, _), (item, f) in best.items()]
 
 
+class Sieve:
+    """Which shingles items have, in a table of fixed size, and the items' numbers of words."""
+
+    def __init__(self, words: int, similarity: float, bits: int = SIEVE_BITS):
+        self.words, self.similarity, self.held, self.sizes = words, similarity, np.zeros(bits // 8, np.uint8), set()
+
+    def _has(self, values: np.ndarray) -> np.ndarray:
+        at = values % np.uint64(8 * len(self.held))
+        return (self.held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def add(self, texts: list[str]) -> None:
+        items = Items(list(range(len(texts))), texts, self.words, 0, 1)
+        self.sizes.update(items.by_size)
+        for own in items.known.values():
+            at = own % np.uint64(8 * len(self.held))
+            np.bitwise_or.at(self.held, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def may_hold(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each text may hold an item; those that do always may."""
+        out = np.zeros(len(sizes), bool)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        for run in {min(self.words, size) for size in self.sizes}:
+            hits = np.flatnonzero(self._has(shingles(hashes, run)))
+            hits = hits[owner[hits] == owner[hits + run - 1]]
+            for per in (size - run + 1 for size in self.sizes if min(self.words, size) == run):
+                reach = least_shared(per, per, self.similarity) - 1
+                first, last = hits[: max(0, len(hits) - reach)], hits[reach:]
+                out[owner[first[(last - first < per) & (owner[first] == owner[last])]]] = True
+            # Texts shorter than an item, as a whole.
+            some = sizes - run + 1
+            share = 2 * self.similarity / (1 + self.similarity)
+            out |= (some > 0) & (some < max(self.sizes)) & (np.bincount(owner[hits], minlength=len(sizes)) >= share * some - 1e-9)
+        return out
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, item_bytes: int = ITEM_BYTES
 ) -> DataFrame:
@@ -208,13 +309,15 @@ def find_leaks(
     are verified by the similarity of the two sets of shingles, each counted
     as often as it occurs. At similarity 0.8 ten bits differ on average with a
     deviation of three, so the radius of 20 loses about one in two thousand
-    of the weakest. Windows without a shingle of any item of that size would
-    verify as 0 and are passed over. The best window of a document and item is
+    of the weakest. Windows with fewer shingles of items of that size than
+    similar ones share are passed over. The best window of a document and item is
     returned, the earliest of equals.
 
     The items are the query set. They go to the workers in blocks of
-    about ``item_bytes`` of text, dealt by a hash, and the documents are read
-    once for each block; no document is shuffled or sent anywhere.
+    about ``item_bytes`` of text, dealt by a hash. With more than one block the
+    documents are read once with a sieve of all items' shingles, of fixed size,
+    and those that may hold an item are stored and read for each block; no
+    document is shuffled or sent anywhere.
 
     Edge cases: null and empty texts, and items without words, match nothing.
     An item of fewer than ``words`` words has one shingle, all its words, and
@@ -230,9 +333,25 @@ def find_leaks(
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(total) // item_bytes))
     schema = f"doc_id {doc_kind}, item_id {item_kind}, first_word long, n_words long, hamming int, similarity double"
+
+    def block_of(block: int) -> pa.Table:
+        return sized.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(n_blocks)) == block).orderBy("item_id", "text").select("item_id", "text").toArrow()
+
+    docs = docs.select("doc_id", "text")
+    if n_blocks > 1:
+        sieve = Sieve(words, similarity)
+        for block in range(n_blocks):
+            sieve.add(block_of(block).column("text").to_pylist())
+        shaken = spark.sparkContext.broadcast(sieve)
+
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in text_batches(batches):
+                yield batch.filter(pa.array(shaken.value.may_hold(*hashed_words(texts_of(batch)))))
+
+        docs = stored(docs.mapInArrow(sift, docs.schema))
     parts = []
     for block in range(n_blocks):
-        rows = sized.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(n_blocks)) == block).orderBy("item_id", "text").toArrow()
+        rows = block_of(block)
         ids, texts = rows.column("item_id"), rows.column("text").to_pylist()
         sent = spark.sparkContext.broadcast((ids.to_pylist(), texts))
         item_type = ids.type
@@ -248,7 +367,7 @@ def find_leaks(
                     ["doc_id", "item_id", "first_word", "n_words", "hamming", "similarity"],
                 )
 
-        part = docs.select("doc_id", "text").mapInArrow(search, schema)
+        part = docs.mapInArrow(search, schema)
         if n_blocks > 1:  # one block is held at a time
             part = stored(part)
             sent.destroy()

@@ -78,7 +78,43 @@ def test_block_index_is_complete(blocks):
 def test_block_index_leaves_out_most():
     rng = np.random.default_rng(5)
     codes, queries = rng.integers(0, 2**64, 500, dtype=np.uint64), rng.integers(0, 2**64, 500, dtype=np.uint64)
-    assert decontaminate.BlockIndex(codes, decontaminate.BLOCKS, decontaminate.RADIUS).candidates(queries).mean() < 0.15
+    query, _ = decontaminate.BlockIndex(codes, decontaminate.BLOCKS, decontaminate.RADIUS).candidates(queries)
+    assert len(query) < 0.15 * 500 * 500
+
+
+def test_block_index_looks_flips_up():
+    """Small blocks full of values are probed by flips; what is found is what comparing finds."""
+    rng = np.random.default_rng(7)
+    codes, queries = rng.integers(0, 2**64, 8000, dtype=np.uint64), rng.integers(0, 2**64, 60, dtype=np.uint64)
+    queries[:20] = codes[:20] ^ rng.choice(np.array([1, 5, 1 << 40, (1 << 18) - 1], np.uint64), 20)
+    index = decontaminate.BlockIndex(codes, 4, 20)
+    assert sum(t.flips is not None for t in index.tables) >= 3
+    want = np.bitwise_count(queries[:, None] ^ codes) <= 20
+    got = np.zeros_like(want)
+    got[index.near(queries)] = True
+    assert (got == want).all() and want.sum() > 60 and len(index.near(queries)[0]) == want.sum()
+
+
+def test_openings_are_the_windows_with_enough_hits():
+    rng = random.Random(2)
+    for _ in range(200):
+        hits = np.array(sorted(rng.sample(range(60), rng.randrange(25))), np.int64)
+        per, least = rng.randrange(1, 12), rng.randrange(1, 6)
+        want = [s for s in range(-per, 61) if ((hits >= s) & (hits < s + per)).sum() >= least]
+        assert decontaminate.openings(hits, per, least).tolist() == want
+
+
+def test_sieve_keeps_what_holds_items_and_little_else():
+    items = [" ".join(words(i, n)) for i, n in enumerate((15, 30, 50, 4, 1))]
+    sieve = decontaminate.Sieve(5, 0.8, 1 << 22)
+    for item in items:
+        sieve.add([item])
+    near = items[2].split()
+    near[20] = "changed"
+    texts = [" ".join(words(50 + i, 90)) for i in range(20)] + [f"some before {' '.join(near)} after", items[1].rsplit(" ", 1)[0], items[3], "", items[4]]
+    kept = sieve.may_hold(*decontaminate.hashed_words(texts))
+    assert kept.tolist()[20:] == [True, True, True, False, True]
+    assert kept[:20].sum() < 3
 
 
 def test_radius_loses_nothing_here(spark):
