@@ -24,6 +24,8 @@ COMMON_MOST = 100_000
 SIEVE = 1 << 20
 #: Parities are compared within a key, counts for the pairs that are left.
 PARITY_BITS, BUCKETS = 128, 512
+#: Texts of one key that a task compares with each other; more are dealt to cells of two such parts.
+CELL = 1 << 13
 
 
 def shingle_set(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -72,11 +74,13 @@ def _pairs(frame: pd.DataFrame, similarity: Fraction) -> Iterator[pd.DataFrame]:
     """Candidates among rows of equal ``key``; ``frame`` is sorted by key and size and holds whole keys.
 
     A shingle that one set of a pair has alone changes one parity, so sets with
-    more different parities than shingles that may be apart are no pair.
+    more different parities than shingles that may be apart are no pair. Where
+    there is a ``side``, rows of the same side are not compared but those of -1.
     """
     key, node, root, size, at = (frame[c].to_numpy() for c in ("key", "node", "root", "size", "at"))
     odd = np.ascontiguousarray(frame[["odd0", "odd1"]].to_numpy()).view(np.uint64)
     size, at = size.astype(np.int64), at.astype(np.int64)
+    side = frame["side"].to_numpy() if "side" in frame else None
     first, step = np.arange(len(key)), 0
     while len(first):
         step += 1
@@ -88,6 +92,8 @@ def _pairs(frame: pd.DataFrame, similarity: Fraction) -> Iterator[pd.DataFrame]:
         reach = np.minimum(at[first], at[second]) + 1 + np.minimum(size[first] - at[first], size[second] - at[second]) - 1
         common = least_common(size[first], size[second], similarity)
         good = (root[first] != root[second]) & (reach >= common)
+        if side is not None:
+            good &= (side[first] < 0) | (side[first] != side[second])
         first_good, second_good, common = first[good], second[good], common[good]
         apart = np.bitwise_count(odd[first_good] ^ odd[second_good]).sum(1, dtype=np.int64)
         good[good] = apart <= size[first_good] + size[second_good] - 2 * common
@@ -138,31 +144,87 @@ def signatures(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, fp long, node long, size int, keys array<long>, counts binary, odd0 long, odd1 long")
 
 
-def candidates(signed: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b), nodes of different ``root`` that share a key and may be alike by sizes, places and parities.
+class Meeting:
+    """Rows sorted by key and size, compared within their key, ``cell`` of them at most.
 
-    Only keys are shuffled. The pairs of one key are gone through step by step,
-    so a key costs the square of its texts of like size, and no more memory
-    than its rows.
+    Yields pairs as (a, b) with a part of -1. The rows of a larger key come back
+    as they pass, with the key in a, the node in b and their part, so no key is
+    held in memory.
     """
 
-    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ("root", "size", "odd0", "odd1", "at")
+    schema = "a long, b long, root long, size int, odd0 long, odd1 long, at int, part long"
+
+    def __init__(self, similarity: Fraction, cell: int):
+        self.similarity, self.cell = similarity, cell
+
+    def compared(self, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Pairs of whole keys."""
+        for pairs in _pairs(frame, self.similarity):
+            yield pairs.assign(**dict.fromkeys(self.columns, 0), part=-1)
+
+    def returned(self, frame: pd.DataFrame, before: int) -> pd.DataFrame:
+        """Rows of one key, ``before`` others of which came earlier."""
+        part = (before + np.arange(len(frame))) // self.cell
+        return pd.DataFrame({"a": frame.key, "b": frame.node, **{c: frame[c] for c in self.columns}, "part": part})
+
+    def settled(self, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Whole keys of any size."""
+        keys, of, counts = np.unique(frame.key.to_numpy(), return_inverse=True, return_counts=True)
+        large = counts > self.cell
+        for key in keys[large]:
+            yield self.returned(frame[frame.key == key], 0)
+        yield from self.compared(frame[~large[of]])
+
+    def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # the last key may go on in the next frame
+        passing, passed = None, 0  # the large key that is passing by, and its rows so far
         for frame in frames:
+            if passing is not None:
+                same = int(np.searchsorted(frame.key.to_numpy(), passing, "right"))
+                yield self.returned(frame.iloc[:same], passed)
+                passed, frame = passed + same, frame.iloc[same:]
             if not len(frame):
                 continue
-            last = frame.key.iloc[-1]
+            passing, last = None, frame.key.iloc[-1]
             whole = int(np.searchsorted(frame.key.to_numpy(), last))
             if whole or (held and held[-1].key.iloc[-1] != last):
-                yield from _pairs(pd.concat([*held, frame.iloc[:whole]], ignore_index=True), similarity)
+                yield from self.settled(pd.concat([*held, frame.iloc[:whole]], ignore_index=True))
                 held = []
             held.append(frame.iloc[whole:])
+            if sum(map(len, held)) > self.cell:
+                rows = pd.concat(held, ignore_index=True)
+                yield self.returned(rows, 0)
+                held, passing, passed = [], last, len(rows)
         if held:
-            yield from _pairs(pd.concat(held, ignore_index=True), similarity)
+            yield from self.settled(pd.concat(held, ignore_index=True))
         give_back()
 
+
+def candidates(signed: DataFrame, similarity: Fraction, cell: int = CELL) -> DataFrame:
+    """(a, b), nodes of different ``root`` that share a key and may be alike by sizes, places and parities.
+
+    Only keys are shuffled. The pairs of one key are gone through step by step.
+    A key of more than ``cell`` texts is cut into parts by size, and each two
+    parts whose sizes may be alike are a cell of their own: its work stays the
+    square of its texts of like size, but in tasks of bounded rows and time.
+    """
     rows = signed.select("node", "root", "size", "odd0", "odd1", F.posexplode("keys").alias("at", "key"))
-    return rows.repartition("key").sortWithinPartitions("key", "size").mapInPandas(meet, "a long, b long").distinct()
+    # By node as well, so that a task run again cuts a key at the same rows.
+    met = stored(rows.repartition("key").sortWithinPartitions("key", "size", "node").mapInPandas(Meeting(similarity, cell), Meeting.schema).distinct())
+    pairs, large = met.filter("part < 0").select("a", "b"), met.filter("part >= 0")
+    if large.isEmpty():
+        return pairs
+    ends = large.groupBy("a", "part").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    of = lambda c: ends.select("a", F.col("part").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}"))
+    near = F.col("most_one").cast("long") * similarity.denominator >= F.col("least_two").cast("long") * similarity.numerator
+    cells = stored(of("one").join(of("two"), "a").filter((F.col("one") <= F.col("two")) & near).select("a", "one", "two"))
+    first = cells.withColumn("part", F.col("one")).withColumn("side", F.when(F.col("one") == F.col("two"), -1).otherwise(0))
+    second = cells.filter("one < two").withColumn("part", F.col("two")).withColumn("side", F.lit(1))
+    dealt = large.join(first.union(second), ["a", "part"]).select(F.xxhash64("a", "one", "two").alias("key"), F.col("b").alias("node"), *Meeting.columns, "side")
+    # A cell has two parts at most, so none is cut again, whatever cells share a hash.
+    in_cells = dealt.repartition("key").sortWithinPartitions("key", "size").mapInPandas(Meeting(similarity, 1 << 62), Meeting.schema)
+    return pairs.union(in_cells.select("a", "b")).distinct()
 
 
 def bounded(pairs: DataFrame, signed: DataFrame, similarity: Fraction) -> DataFrame:
@@ -223,6 +285,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: flo
     ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
     All such pairs are found: those that op3's links do not join already are
     searched for by shared shingles, bounded by parities and counts and verified by their whole sets.
+    A very long text is signed and verified by one task; only ids and texts are
+    read, so other columns may have any name.
 
     Edge cases: as in ``simhash.near_duplicates``. Texts with the same words in
     order are one node, and texts without words have no shingles.
@@ -236,7 +300,7 @@ def _grouped(docs: DataFrame, words: int, exact: Fraction) -> DataFrame:
     roots = connected_components(hamming_links(classes.select("fp"))).withColumnRenamed("node", "fp")
     rooted = stored(signed.select("node", "fp").distinct().join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")))
     nodes = signed.filter(F.col("size") > 0).select("node", "size", "keys", "odd0", "odd1").dropDuplicates(["node"]).join(rooted, "node")
-    pairs = stored(bounded(stored(candidates(nodes, exact)), signed, exact))
+    pairs = stored(bounded(candidates(nodes, exact), signed, exact))
     alike = stored(verified(docs, pairs, words, exact))
     of = lambda c: rooted.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     links = alike.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
