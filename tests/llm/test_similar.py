@@ -73,24 +73,6 @@ def test_parities_bound_the_difference():
     assert not list(similar._pairs(rows, Fraction(4, 5)))
 
 
-def test_large_keys_are_dealt_to_cells(spark):
-    """Keys of many more texts than a cell, in frames that cut them anywhere: the same pairs."""
-    rng = random.Random(6)
-    rows = [(n, n, rng.randrange(5, 60), [rng.choice([1, 1, 2, 100 + n % 9]), 7 + n], 0, 0) for n in range(400)]
-    frame = spark.createDataFrame(rows, "node long, root long, size int, keys array<long>, odd0 long, odd1 long")
-    exact = Fraction(4, 5)
-    pairs = lambda cell: {(r.a, r.b) for r in similar.candidates(frame, exact, cell).collect()}
-    want = pairs(1 << 20)
-    assert len(want) > 1000
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    try:
-        for cell, batch in ((16, 10000), (16, 7), (1, 50), (60, 90)):
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-            assert pairs(cell) == want
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-
-
 def test_edges(spark):
     frame = clashing(edge_docs(spark), "node", "root", "key")
     rows = similar.near_duplicates(frame).collect()
