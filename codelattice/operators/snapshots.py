@@ -155,7 +155,7 @@ def cascade(catalog: Catalog) -> Catalog:
     params = catalog.params.join(key(methods, "id", "method_id"), "method_id", "left_semi").join(key(classes, "id", "class_id"), "class_id", "left_semi").select(catalog.params.columns)
     at = lambda end: classes.select("project_id", F.col("full_class_name").alias(end))
     edges = catalog.edges.join(at("src"), ["project_id", "src"], "left_semi").join(at("dst"), ["project_id", "dst"], "left_semi").select(catalog.edges.columns)
-    return replace(catalog, classes=classes, methods=methods, params=params, edges=edges)
+    return replace(catalog, classes=classes, methods=methods, params=params, edges=edges, bundles=None)
 
 
 def delete_classes(catalog: Catalog, ids: DataFrame) -> Catalog:
