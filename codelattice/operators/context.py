@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelattice.functions.columns import bare_method_name, http_endpoint, json_list
-from codelattice.operators.graph import adjacency, base_packages, neighbours, parameter_links, type_histogram
+from codelattice.operators import bundles
+from codelattice.operators.graph import base_packages, neighbours, parameter_links, type_histogram
 from codelattice.operators.lookup import has_endpoint, class_counts, classes_by_name, endpoint_counts, names_that_hold
 from codelattice.schema import Catalog
 
@@ -67,24 +68,23 @@ def class_context(catalog: Catalog, names: DataFrame) -> DataFrame:
     found = classes_by_name(catalog, names)
     method = F.struct(F.col("method_name").alias("name"), "description", json_list(F.col("business_logic")).alias("businessLogic"))
     listed = catalog.methods.groupBy(F.col("class_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(_line().alias("l"), F.col("method_name").alias("n"), F.col("id").alias("i"), method.alias("m")))).alias("_m"))
-    graph = adjacency(catalog)
-    joined = found.join(listed, "id", "left").join(graph, ["project_id", "full_class_name"], "left")
     urls = catalog.projects.select(F.col("id").alias("project_id"), F.col("repository_url").alias("projectUrl"), F.col("description").alias("projectDescription"))
-    rows = joined.join(urls, "project_id", "left").select(
+    joined = found.join(listed, "id", "left").join(urls, "project_id", "left").withColumn("found", F.lit(True))
+    asked = names.select(F.col("class_name").alias("full_class_name")).distinct()
+    whole = asked.join(joined, "full_class_name", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    rows = bundles.listed(whole, bundles.of(catalog), src="dependencies", dst="dependents").select(
         F.col("full_class_name").alias("className"),
         F.col("class_type").alias("classType"),
         "description",
         "projectDescription",
         F.transform("_m", lambda x: x["m"]).alias("methods"),
         "projectUrl",
-        F.when(F.col("dependencies").isNotNull(), F.struct("dependencies", "dependents", F.col("entry_point").alias("entryPoint"))).alias("graphInfo"),
+        F.when(F.col("found"), F.struct("dependencies", "dependents", F.col("entry_point").alias("entryPoint"))).alias("graphInfo"),
         "ambiguous",
-        F.lit(True).alias("found"),
+        "found",
     )
-    asked = names.select(F.col("class_name").alias("className")).distinct()
-    whole = asked.join(rows, "className", "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    whole = whole.withColumn("message", F.when(~F.col("found"), F.lit("No context available for this class")))
-    return _with_known_projects(catalog, whole, ~F.col("found"))
+    rows = rows.withColumn("message", F.when(~F.col("found"), F.lit("No context available for this class")))
+    return _with_known_projects(catalog, rows, ~F.col("found"))
 
 
 def _first_methods(catalog: Catalog) -> DataFrame:
@@ -191,19 +191,14 @@ def class_dependencies(catalog: Catalog) -> DataFrame:
     summary = F.struct(F.col("full_class_name").alias("className"), F.col("class_type").alias("classType"), "description")
     info = catalog.classes.select("project_id", F.col("full_class_name").alias("other"), summary.alias("s"))
 
-    def side(mine: str, other: str, name: str) -> DataFrame:
-        rows = catalog.edges.select("project_id", F.col(mine).alias("full_class_name"), F.col(other).alias("other")).join(info, ["project_id", "other"], "left")
-        return rows.groupBy("project_id", "full_class_name").agg(F.array_sort(F.collect_list("s")).alias(name))
-
     links = parameter_links(catalog).select("project_id", F.col("owner").alias("full_class_name"), "method_name", "position", F.col("target").alias("other")).distinct()
     typed = links.join(info, ["project_id", "other"], "left").groupBy("project_id", "full_class_name", "method_name").agg(F.array_sort(F.collect_list(F.struct("position", "s"))).alias("_p"))
     params = typed.groupBy("project_id", "full_class_name").agg(F.array_sort(F.collect_list(F.struct(F.col("method_name").alias("methodName"), F.transform("_p", lambda x: x["s"]).alias("parameterTypes")))).alias("methodParameterTypes"))
     out = catalog.classes.select("project_id", "full_class_name", F.col("entry_point").alias("entryPoint"))
-    for part in (side("src", "dst", "dependencies"), side("dst", "src", "dependents"), params):
-        out = out.join(part, ["project_id", "full_class_name"], "left")
-    for name in ("dependencies", "dependents", "methodParameterTypes"):
-        out = out.withColumn(name, F.coalesce(name, F.from_json(F.lit("[]"), out.schema[name].dataType)))
-    return out.withColumnRenamed("full_class_name", "className")
+    out = out.join(params, ["project_id", "full_class_name"], "left")
+    out = out.withColumn("methodParameterTypes", F.coalesce("methodParameterTypes", F.from_json(F.lit("[]"), out.schema["methodParameterTypes"].dataType)))
+    out = bundles.listed(out, bundles.of(catalog), F.col("s"), info.withColumnRenamed("other", "name"), src="dependencies", dst="dependents")
+    return out.select("project_id", F.col("full_class_name").alias("className"), "entryPoint", "dependencies", "dependents", "methodParameterTypes")
 
 
 def project_overview(catalog: Catalog) -> DataFrame:
