@@ -214,3 +214,12 @@ def test_script_parameters(spark):
     found = found.filter(files.is_script(F.col("path"), F.col("length"))).withColumn("identifier", files.script_identifier(F.col("path"))).withColumn("framework", F.lit("nestjs"))
     params = {(r.identifier, r.method_name, r.position, r.target) for r in ingest.resolve_script_params(ingest.script(found)).collect()}
     assert params == {("users.order", "first", 0, "users.user.service"), ("users.order", "first", 1, "users.user.dto"), ("users.order", "second", 0, "users.user.dto")}
+
+
+def test_generated_files_are_dealt_to_as_many_tasks_as_asked_for(spark):
+    from codelattice.sources import generated
+    from codelattice.sources.catalog import from_orders
+
+    for made in (generated.java_files, generated.script_modules):
+        of_task = made(from_orders(spark, "/root/testdata/sf0.001")).groupBy(F.spark_partition_id()).count().collect()
+        assert len(of_task) == int(spark.conf.get("spark.sql.shuffle.partitions"))
