@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -22,8 +22,10 @@ SAMPLE_TEXTS = 5_000
 COMMON_IN_SAMPLE = 3
 COMMON_MOST = 100_000
 SIEVE = 1 << 20
-#: Parities are compared within a key, counts for the pairs that are left.
+#: Parities are compared within a key, counts among its rows that are left.
 PARITY_BITS, BUCKETS = 128, 512
+#: Pairs whose counts are compared at a time.
+CHUNK = 1 << 12
 
 
 def shingle_set(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -68,14 +70,16 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return counted.toArrow().column("h").to_numpy()[::-1].copy()
 
 
-def _pairs(frame: pd.DataFrame, similarity: Fraction) -> Iterator[pd.DataFrame]:
-    """Candidates among rows of equal ``key``; ``frame`` is sorted by key and size and holds whole keys.
+def _met(frame: pd.DataFrame, similarity: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows of equal ``key`` that may be alike; ``frame`` is sorted by key and size and holds whole keys.
 
     A shingle that one set of a pair has alone changes one parity, so sets with
-    more different parities than shingles that may be apart are no pair.
+    more different parities than shingles that may be apart are no pair. Nor are
+    those whose counts by bucket differ by more, where ``frame`` has ``counts``.
     """
     key, node, root, size, at = (frame[c].to_numpy() for c in ("key", "node", "root", "size", "at"))
     odd = np.ascontiguousarray(frame[["odd0", "odd1"]].to_numpy()).view(np.uint64)
+    counts = np.frombuffer(b"".join(frame["counts"]), np.uint8).reshape(-1, BUCKETS) if "counts" in frame else None
     size, at = size.astype(np.int64), at.astype(np.int64)
     first, step = np.arange(len(key)), 0
     while len(first):
@@ -88,12 +92,35 @@ def _pairs(frame: pd.DataFrame, similarity: Fraction) -> Iterator[pd.DataFrame]:
         reach = np.minimum(at[first], at[second]) + 1 + np.minimum(size[first] - at[first], size[second] - at[second]) - 1
         common = least_common(size[first], size[second], similarity)
         good = (root[first] != root[second]) & (reach >= common)
-        first_good, second_good, common = first[good], second[good], common[good]
-        apart = np.bitwise_count(odd[first_good] ^ odd[second_good]).sum(1, dtype=np.int64)
-        good[good] = apart <= size[first_good] + size[second_good] - 2 * common
-        if good.any():
-            a, b = node[first[good]], node[second[good]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        one, other, most = first[good], second[good], (size[first] + size[second] - 2 * common)[good]
+        good = np.bitwise_count(odd[one] ^ odd[other]).sum(1, dtype=np.int64) <= most
+        one, other, most = one[good], other[good], most[good]
+        if counts is not None and len(one):
+            good = np.concatenate([_apart(counts[one[i : i + CHUNK]], counts[other[i : i + CHUNK]]) <= most[i : i + CHUNK] for i in range(0, len(one), CHUNK)])
+            one, other = one[good], other[good]
+        if len(one):
+            yield one, other
+
+
+def _apart(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return (np.maximum(one, other) - np.minimum(one, other)).sum(1, dtype=np.int64)
+
+
+def _pairs(frame: pd.DataFrame, similarity: Fraction) -> Iterator[pd.DataFrame]:
+    """(a, b), the nodes that ``_met`` leaves."""
+    node = frame["node"].to_numpy()
+    for first, second in _met(frame, similarity):
+        a, b = node[first], node[second]
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def _open(frame: pd.DataFrame, similarity: Fraction) -> Iterator[pd.DataFrame]:
+    """(key, node, at) of the rows that ``_met`` leaves with any other, each row once."""
+    open_ = np.zeros(len(frame), bool)
+    for first, second in _met(frame, similarity):
+        open_[first] = open_[second] = True
+    if open_.any():
+        yield frame.loc[open_, ["key", "node", "at"]]
 
 
 def signatures(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
@@ -138,13 +165,8 @@ def signatures(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, fp long, node long, size int, keys array<long>, counts binary, odd0 long, odd1 long")
 
 
-def candidates(signed: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b), nodes of different ``root`` that share a key and may be alike by sizes, places and parities.
-
-    Only keys are shuffled. The pairs of one key are gone through step by step,
-    so a key costs the square of its texts of like size, and no more memory
-    than its rows.
-    """
+def _by_key(rows: DataFrame, of: Callable[[pd.DataFrame, Fraction], Iterator[pd.DataFrame]], similarity: Fraction, schema: str) -> DataFrame:
+    """What ``of`` makes of frames of whole keys, sorted by key and size."""
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # the last key may go on in the next frame
@@ -154,37 +176,33 @@ def candidates(signed: DataFrame, similarity: Fraction) -> DataFrame:
             last = frame.key.iloc[-1]
             whole = int(np.searchsorted(frame.key.to_numpy(), last))
             if whole or (held and held[-1].key.iloc[-1] != last):
-                yield from _pairs(pd.concat([*held, frame.iloc[:whole]], ignore_index=True), similarity)
+                yield from of(pd.concat([*held, frame.iloc[:whole]], ignore_index=True), similarity)
                 held = []
             held.append(frame.iloc[whole:])
         if held:
-            yield from _pairs(pd.concat(held, ignore_index=True), similarity)
+            yield from of(pd.concat(held, ignore_index=True), similarity)
         give_back()
 
-    rows = signed.select("node", "root", "size", "odd0", "odd1", F.posexplode("keys").alias("at", "key"))
-    return rows.repartition("key").sortWithinPartitions("key", "size").mapInPandas(meet, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "size").mapInPandas(meet, schema)
 
 
-def bounded(pairs: DataFrame, signed: DataFrame, similarity: Fraction) -> DataFrame:
-    """The ``pairs`` that ``counts`` leave open, before any text is read.
+def candidates(nodes: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b), nodes of different ``root`` that share a key and may be alike by sizes, places, parities and counts.
 
-    The counts of two sets differ by no more than the number of shingles that
-    one of them has alone, so no pair that is alike goes.
+    Keys meet twice. First each row of a key is kept, once, that may be alike
+    with any other by sizes, places and parities; parities say little of sets of
+    more than twice their bits, and texts that share a passage would be as many
+    pairs as the square of their number. Only the rows that are left, a few, get
+    the counts of their node, which tell such texts apart, and meet again. The
+    pairs of one key are gone through step by step, so a key costs the time of
+    the square of its texts of like size, but no more memory than its rows, and
+    no more rows come of it than it has, and than pairs that are nearly alike.
     """
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 1 << 12) for i in range(0, batch.num_rows, 1 << 12)):
-                of = [np.frombuffer(b"".join(part.column(f"counts_{c}").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in "ab"]
-                total = part.column("total").to_numpy().astype(np.int64)
-                apart = np.abs(of[0] - of[1]).sum(1, dtype=np.int64)
-                open_ = apart <= total - 2 * least_common(total, np.zeros_like(total), similarity)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(open_))
-
-    once = signed.groupBy("node").agg(F.first("counts").alias("counts"), F.first("size").alias("size"))
-    of = lambda c: once.select(F.col("node").alias(c), F.col("counts").alias(f"counts_{c}"), F.col("size").alias(f"size_{c}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
-    return met.select("a", "b", "counts_a", "counts_b", (F.col("size_a") + F.col("size_b")).alias("total")).mapInArrow(compare, "a long, b long")
+    signs = ["root", "size", "odd0", "odd1"]
+    rows = nodes.select("node", *signs, F.posexplode("keys").alias("at", "key"))
+    left = _by_key(rows, _open, similarity, "key long, node long, at int")
+    again = left.join(nodes.select("node", *signs, "counts"), "node")
+    return _by_key(again, _pairs, similarity, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
@@ -235,8 +253,8 @@ def _grouped(docs: DataFrame, words: int, exact: Fraction) -> DataFrame:
     classes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected_components(hamming_links(classes.select("fp"))).withColumnRenamed("node", "fp")
     rooted = stored(signed.select("node", "fp").distinct().join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")))
-    nodes = signed.filter(F.col("size") > 0).select("node", "size", "keys", "odd0", "odd1").dropDuplicates(["node"]).join(rooted, "node")
-    pairs = stored(bounded(stored(candidates(nodes, exact)), signed, exact))
+    nodes = signed.filter(F.col("size") > 0).select("node", "size", "keys", "odd0", "odd1", "counts").dropDuplicates(["node"]).join(rooted, "node")
+    pairs = stored(candidates(nodes, exact))
     alike = stored(verified(docs, pairs, words, exact))
     of = lambda c: rooted.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     links = alike.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))

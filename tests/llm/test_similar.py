@@ -78,3 +78,26 @@ def test_edges(spark):
     rows = similar.near_duplicates(frame).collect()
     assert len(rows) == 9
     assert similar.near_duplicates(docs(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_texts_that_share_a_passage_are_no_candidates(spark, monkeypatch):
+    """Long texts, half alike, of which one has a copy that is nine tenths alike: too long for parities, and too rare for the sample."""
+    monkeypatch.setattr(similar, "COMMON_MOST", 0)
+    random.seed(8)
+    word = lambda: f"w{random.randrange(10**6)}"
+    passage = [word() for _ in range(400)]
+    texts = [passage + [word() for _ in range(400)] for _ in range(24)]
+    texts.append(texts[5][:770] + [word() for _ in range(30)])
+    exact, of = Fraction(4, 5), {similar.text_node(" ".join(t)): i for i, t in enumerate(texts)}
+    signed = similar.signatures(docs(spark, [" ".join(t) for t in texts]), 5, exact)
+    found = similar.candidates(signed.withColumn("root", signed.node), exact).collect()
+    assert {frozenset((of[r.a], of[r.b])) for r in found} == {frozenset((5, 24))}
+
+
+def test_rows_of_a_key_are_left_once():
+    rows = pd.DataFrame({"key": [1] * 6 + [2], "node": range(7), "root": range(7), "size": [10] * 5 + [90, 10], "at": 0, "odd0": 0, "odd1": 0})
+    (left,) = similar._open(rows, Fraction(4, 5))
+    assert left.node.tolist() == [0, 1, 2, 3, 4]
+    assert sum(map(len, similar._pairs(rows, Fraction(4, 5)))) == 10
+    same = rows.assign(counts=[bytes(similar.BUCKETS)] * 4 + [bytes([9]) * similar.BUCKETS] * 3)
+    assert sum(map(len, similar._pairs(same, Fraction(4, 5)))) == 6
