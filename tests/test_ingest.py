@@ -223,3 +223,13 @@ def test_generated_files_are_dealt_to_as_many_tasks_as_asked_for(spark):
     for made in (generated.java_files, generated.script_modules):
         of_task = made(from_orders(spark, "/root/testdata/sf0.001")).groupBy(F.spark_partition_id()).count().collect()
         assert len(of_task) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_imports_that_nobody_asks_for_are_not_stored(spark):
+    source = "package a;\n\nimport b.B;\nimport b.C;\n\n@Service\nclass A {\n  B b(C c) { return null; }\n}\n"
+    found = tree(spark, {"src/main/java/a/A.java": source}).withColumn("identifier", files.java_identifier(F.col("path")))
+    asked, bare = ingest.java(found), ingest.java(found, imports=False)
+    assert "imports" not in bare and {r.imported for r in asked["imports"].collect()} == {"b.B", "b.C"}
+    assert all(asked[part].collect() == bare[part].collect() for part in ("nodes", "methods", "params"))
+    held = ingest.cut(found.select("project_id", "path", "identifier", "content"), "java", deepest=1, heads=False)
+    assert [r.head for r in held.collect()] == [None]
