@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from codelattice.operators import ingest
@@ -233,3 +234,37 @@ def test_imports_that_nobody_asks_for_are_not_stored(spark):
     assert all(asked[part].collect() == bare[part].collect() for part in ("nodes", "methods", "params"))
     held = ingest.cut(found.select("project_id", "path", "identifier", "content"), "java", deepest=1, heads=False)
     assert [r.head for r in held.collect()] == [None]
+
+
+@pytest.mark.parametrize("language", ["java", "script", "go"])
+def test_files_that_share_a_head(spark, language):
+    """Heads are stored once, and edges are as of each file by itself; a comment, a second head and an import further down count as before."""
+    n = 60
+    if language == "java":
+        head = "".join(f"import o.T{i};\n" for i in range(n))
+        tree_of = {f"src/main/java/o/T{i}.java": f"package o;\nclass T{i} {{ }}\n" for i in range(n)} | {f"src/main/java/o/S{i}.java": f"package o;\n{head}class S{i} {{ }}\n" for i in range(5)}
+        tree_of |= {"src/main/java/o/Late.java": f"package o;\n{head}class Late {{ }}\nimport o.S1; /* import o.S2; */ // x\nimport o.T1;\n", "m/src/main/java/o/S1.java": "import o.Late;\nclass S1 { }\n", "src/main/java/o/None.java": "class None { String s = \"import o.T1;\"; }"}
+        more = {("o.Late", "o.S1"), ("o.S1", "o.Late")}
+        named, wide = (lambda rows: rows.withColumn("identifier", files.java_identifier(F.col("path")))), ["o.S0", "o.S1", "o.S2", "o.S3", "o.S4", "o.Late"]
+        wanted = {(s, f"o.T{i}") for s in wide for i in range(n)} | more
+    elif language == "script":
+        head = "".join(f"import {{ X }} from './t{i}';\n" for i in range(n))
+        tree_of = {f"src/a/t{i}.ts": f"export const x{i} = 1;\n" for i in range(n)} | {f"src/b/t{i}.ts": f"export const x{i} = 1;\n" for i in range(0, n, 2)} | {f"src/{d}/s{i}.ts": f"{head}class S{i} {{ }}\n" for d in "ab" for i in range(3)}
+        tree_of |= {"src/a/late.ts": f"{head}class Late {{ }}\nimport {{ S }} from './s1'; // import z from './s2'\n", "src/b/none.ts": "const s = 1; // from\n"}
+        named = lambda rows: rows.withColumn("identifier", files.script_identifier(F.col("path"))).withColumn("framework", F.lit("nestjs"))
+        wanted = {(f"a.{s}", f"a.t{i}") for s in ("s0", "s1", "s2", "late") for i in range(n)} | {(f"b.s{k}", f"b.t{i}") for k in range(3) for i in range(0, n, 2)} | {("a.late", "a.s1")}
+    else:
+        head = "import (\n" + "".join(f'\t"m/t{i}"\n' for i in range(n)) + ")\n"
+        tree_of = {f"t{i}/x.go": "package t\n" for i in range(n)} | {f"s{i}/x.go": f"package s\n\n{head}func run() {{\n}}\n" for i in range(4)}
+        tree_of |= {"s1/y.go": 'package s\n\nimport "m/s0" // import "m/s3"\n', "s2/z.go": f'package s\n\n{head}import "m/t1"\n'}
+        named = lambda rows: rows.withColumn("module", F.lit("m")).withColumn("identifier", files.go_identifier(F.col("module"), F.col("path")))
+        wanted = {(f"m/s{k}", f"m/t{i}") for k in range(4) for i in range(n)} | {("m/s1", "m/s0")}
+    found = named(tree(spark, tree_of)).coalesce(1)
+    edges_of = {"java": ingest.java_edges, "script": ingest.script_edges, "go": ingest.go_edges}[language]
+    whole = {"java": ingest.java, "script": ingest.script, "go": ingest.go}[language](found)
+    fewer = ingest.imports_of(found, language)
+    for parsed in (whole, fewer):
+        rows = [(r.src, r.dst) for r in edges_of(parsed).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == wanted
+    # A head's imports are kept once for all files that have it.
+    assert fewer["shared"].count() <= 2 * n + 1
