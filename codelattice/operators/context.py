@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from codelattice.functions.columns import bare_method_name, http_endpoint, json_list
 from codelattice.operators import bundles
-from codelattice.operators.graph import base_packages, neighbours, parameter_links, type_histogram
+from codelattice.operators.graph import base_packages, parameter_links, type_histogram
 from codelattice.operators.lookup import has_endpoint, class_counts, classes_by_name, endpoint_counts, names_that_hold
 from codelattice.schema import Catalog
+from codelattice.storage import stored
 
 
 def _line() -> Column:
@@ -176,14 +177,37 @@ def related_dependencies(catalog: Catalog, traced: DataFrame, one_project: bool
     if one_project:
         first = matched.groupBy("trace_id").agg(F.min_by("project_id", "ord").alias("_project"))
         matched = matched.join(first, "trace_id").withColumn("project_id", F.col("_project")).drop("_project")
-    own = matched.select("trace_id", "project_id", "className").distinct()
-    near = own.join(neighbours(catalog.edges).withColumnRenamed("node", "className"), ["project_id", "className"]).select("trace_id", "project_id", F.col("neighbour").alias("className")).distinct()
-    near = near.join(own.select("trace_id", "className").distinct(), ["trace_id", "className"], "left_anti")
-    info = catalog.classes.select("project_id", F.col("full_class_name").alias("className"), F.col("class_type").alias("classType"), F.col("id").alias("class_id"))
+    own = stored(matched.select("trace_id", "project_id", "className").distinct())
+    held = bundles.of(catalog)
     methods = catalog.methods.select("class_id", F.col("id").alias("method_id"), F.col("method_name").alias("methodName"), "description", "line_number", http_endpoint(F.col("http_method"), F.col("http_path")).alias("httpEndpoint"))
-    rows = near.join(info, ["project_id", "className"]).join(methods, "class_id", "left")
-    by = Window.partitionBy("trace_id").orderBy("className", F.asc_nulls_last("line_number"), F.asc_nulls_last("methodName"), "method_id")
-    return rows.select("trace_id", F.row_number().over(by).alias("order"), "className", "methodName", "classType", "description", "httpEndpoint")
+    known = catalog.classes.select("project_id", F.col("full_class_name").alias("className"), F.col("class_type").alias("classType"), F.col("id").alias("class_id"))
+    # A neighbour's methods in the order in which they are numbered.
+    method = F.struct("className", F.col("line_number").isNull().alias("l"), "line_number", F.col("methodName").isNull().alias("n"), "methodName", "method_id", "project_id", "classType", "description", "httpEndpoint")
+    said = known.join(methods, "class_id", "left").groupBy("project_id", F.col("className").alias("name")).agg(F.collect_list(method).alias("m"))
+    # Of bundles a trace has the keys; the list of all bundles of a trace is made once for the traces that have just these.
+    ends = [(held.sources, "src", "dst"), (held.targets, "dst", "src")]
+    keys = [own.join(rows.withColumnRenamed(mine, "className"), ["project_id", "className"]).select("trace_id", F.struct("project_id", F.lit(other).alias("end"), "bundle").alias("key")) for rows, mine, other in ends]
+    members = [rows.select(F.struct("project_id", F.lit(mine).alias("end"), "bundle").alias("key"), "project_id", F.col(mine).alias("name")) for rows, mine, _ in ends]
+    single = [own.join(held.single.withColumnRenamed(mine, "className"), ["project_id", "className"]).select("trace_id", "project_id", F.col(other).alias("name")) for _, mine, other in ends]
+    of_trace, of_bundle = stored(keys[0].union(keys[1]).distinct()), members[0].union(members[1])
+    names = own.select("trace_id", F.col("className").alias("name")).distinct()
+    # Single neighbours that no bundle of the trace has and that are not in the trace, and traces whose lists have classes of their own.
+    single = single[0].union(single[1]).distinct()
+    held_too = single.join(of_trace, "trace_id").join(of_bundle, ["key", "project_id", "name"], "left_semi").select("trace_id", "project_id", "name")
+    single = single.join(held_too, ["trace_id", "project_id", "name"], "left_anti").join(names, ["trace_id", "name"], "left_anti")
+    meets = of_trace.join(names, "trace_id").join(of_bundle.select("key", "name"), ["key", "name"], "left_semi").select("trace_id").distinct().withColumn("meets", F.lit(True))
+    alone = single.join(said, ["project_id", "name"]).groupBy("trace_id").agg(F.flatten(F.collect_list("m")).alias("alone"))
+    facts = own.groupBy("trace_id").agg(F.collect_set("className").alias("own")).join(of_trace.groupBy("trace_id").agg(F.array_sort(F.collect_set("key")).alias("keys")), "trace_id", "left")
+    facts = stored(facts.join(alone, "trace_id", "left").join(meets, "trace_id", "left"))
+    asked = facts.select("keys").distinct().select("keys", F.explode("keys").alias("key"))
+    near = asked.join(of_bundle, "key").select("keys", "project_id", "name").distinct()
+    lists = near.join(said, ["project_id", "name"]).groupBy("keys").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("inside"))
+    spark = own.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    whole = facts.repartition(parts, "trace_id").join(lists, "keys", "left")
+    inside = F.when(F.col("meets"), F.filter("inside", lambda m: ~F.array_contains("own", m["className"]))).otherwise(F.col("inside"))
+    rest = F.when(F.col("alone").isNull(), inside).when(F.col("inside").isNull(), F.array_sort("alone")).otherwise(F.array_sort(F.concat(inside, "alone")))
+    return whole.select("trace_id", F.posexplode(rest).alias("order", "m")).select("trace_id", (F.col("order") + 1).alias("order"), *(F.col(f"m.{c}").alias(c) for c in ("className", "methodName", "classType", "description", "httpEndpoint")))
 
 
 def class_dependencies(catalog: Catalog) -> DataFrame:

@@ -93,3 +93,37 @@ def test_contexts(spark):
     assert listed == [("bare", 0, 0, None), ("shop", 5, 2, "org.shop")]
     queries = spark.createDataFrame([("shop", "ORDERS"), ("shop", "zzz")], "project string, query string")
     assert [(r.className, r.total) for r in context.search(catalog, queries).collect()] == [("org.shop.OrderService", 5)]
+
+
+def test_related_methods_of_bundles_are_as_of_single_edges(spark):
+    """Traces of several classes and projects; neighbours in bundles, alone, in both, and in the trace; edges one by one are not read."""
+    from dataclasses import replace
+
+    from codelattice.operators import bundles
+    from codelattice.schema import EDGES, METHODS
+
+    names = [f"n{i}" for i in range(9)]
+    sources = [(p, m, n) for p in "pq" for i, n in enumerate(names[:5]) for m in range(3) if (i + m) % 3]
+    targets = [(p, m, n) for p in "pq" for i, n in enumerate(names[3:]) for m in range(3) if (i * m) % 2 == 0]
+    single = [("p", "n8", "n0"), ("p", "n0", "n3"), ("p", "n7", "n7"), ("q", "n6", "n8"), ("p", "n0", "gone"), ("q", "n1", "n2")]
+    make = spark.createDataFrame
+    held = bundles.bundled(make(single, EDGES), make(sources, "project_id string, mark int, src string"), make(targets, "project_id string, mark int, dst string"))
+    classes = make([(f"{p}{n}", p, n, f"kind of {n}") for p in "pq" for n in names], "id string, project_id string, full_class_name string, class_type string")
+    methods = make([(f"m{i}", f"{p}{names[i % 7]}", f"do{i % 3}", f"text {i}", None, None, "GET" if i % 2 else None, "/x", i % 4 or None) for i in range(30) for p in "pq"], METHODS).withColumn("id", F.concat("id", F.substring("class_id", 1, 1)))
+    traced = make([(1, "p", "n0", 1), (1, "p", "n4", 2), (2, "q", "n6", 1), (3, "p", "n8", 1), (3, "q", "n2", 2), (4, None, "x", 1), (5, "p", "n7", 1), (6, "p", "n1", 1)], "trace_id int, project_id string, className string, ord int")
+    catalog = replace(shop(spark), classes=classes, methods=methods, edges=bundles.flat(held), bundles=held)
+    edges = {tuple(r) for r in catalog.edges.select("project_id", "src", "dst").collect()}
+    near = edges | {(p, b, a) for p, a, b in edges}
+    said = {}
+    for m in methods.collect():
+        said.setdefault(m.class_id, []).append(m)
+    wanted = []
+    for trace in (1, 2, 3, 5, 6):
+        own = {(r.project_id, r.className) for r in traced.collect() if r.trace_id == trace}
+        other = {(p, b) for p, a, b in near if (p, a) in own and b != "gone" and b not in {n for _, n in own}}
+        rows = [(n, p, m) for p, n in other for m in said.get(p + n, [None])]
+        rows.sort(key=lambda x: (x[0], *((x[2].line_number is None, x[2].line_number or 0, x[2].method_name, x[2].id) if x[2] else (True, 0, "~", "")), x[1]))
+        wanted += [(trace, i, n, m and m.method_name, f"kind of {n}", m and m.description) for i, (n, _, m) in enumerate(rows, 1)]
+    for c in (replace(catalog, edges=None), replace(catalog, bundles=None)):
+        found = context.related_dependencies(c, traced).select("trace_id", "order", "className", "methodName", "classType", "description").collect()
+        assert sorted(map(tuple, found), key=lambda r: r[:2]) == wanted
