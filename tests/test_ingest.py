@@ -268,3 +268,18 @@ def test_files_that_share_a_head(spark, language):
         assert len(rows) == len(set(rows)) and set(rows) == wanted
     # A head's imports are kept once for all files that have it.
     assert fewer["shared"].count() <= 2 * n + 1
+
+
+def test_scripts_without_imports_store_none_and_classes_alone_make_no_edges(spark, monkeypatch):
+    from codelattice.operators import analyze
+
+    found = tree(spark, SCRIPTS).filter(files.is_script(F.col("path"), F.col("length"))).withColumn("identifier", files.script_identifier(F.col("path"))).withColumn("framework", F.lit("nestjs"))
+    asked, bare = ingest.script(found), ingest.script(found, imports=False)
+    assert set(asked) - set(bare) == {"imports", "locals", "shared", "headed", "own"}
+    assert all(sorted(map(str, asked[part].collect())) == sorted(map(str, bare[part].collect())) for part in ("nodes", "methods"))
+    whole = tree(spark, {**JAVA, "pom.xml": "<project/>"})
+    with monkeypatch.context() as m:
+        for name in ("java_edges", "script_edges", "go_edges"):
+            m.setattr(ingest, name, None)
+        alone = analyze.parse(whole, related=False)
+    assert set(alone) == {"nodes", "methods"} and sorted(map(str, alone["nodes"].collect())) == sorted(map(str, analyze.parse(whole)["nodes"].collect()))
