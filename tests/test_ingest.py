@@ -283,3 +283,16 @@ def test_scripts_without_imports_store_none_and_classes_alone_make_no_edges(spar
             m.setattr(ingest, name, None)
         alone = analyze.parse(whole, related=False)
     assert set(alone) == {"nodes", "methods"} and sorted(map(str, alone["nodes"].collect())) == sorted(map(str, analyze.parse(whole)["nodes"].collect()))
+
+
+def test_a_row_holds_few_pieces(spark):
+    """Files of more pieces have several rows, and what is read off them is as before."""
+    n = 3 * ingest.ROW_PIECES
+    source = "package s\n\ntype A struct {\n" + "".join(f"\tF{i} int\n" for i in range(n)) + "}\n\nfunc (a A) Do() {\n}\n"
+    found = tree(spark, {"s/a.go": source, "s/b.go": "package s\n"}).withColumn("module", F.lit("m")).withColumn("identifier", files.go_identifier(F.col("module"), F.col("path")))
+    held = ingest.cut(found.drop("length"), "go", code=True)
+    assert max(r.n for r in held.select(F.size("pieces").alias("n")).collect()) == ingest.ROW_PIECES and held.filter("code is not null").count() == 2
+    parsed = ingest.go(found)
+    of = ingest.go_types(parsed)
+    assert [r.field for r in of["fields"].orderBy("place").collect()] == [f"F{i}" for i in range(n)]
+    assert [(r.type, r.method, r.line_number) for r in of["bound"].collect()] == [("A", "Do", n + 6)] and parsed["nodes"].count() == 1
